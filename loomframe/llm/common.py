@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 
+import atexit
 import os
+import shutil
+import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -34,6 +37,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, unless their PYTHONPATH is known to hold it."""
+    import loomframe
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(loomframe.__file__)))
+    sc = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_loomframe_sent", False):
+        return
+    tmp = tempfile.mkdtemp()  # Spark serves the archive from here as long as the session lasts
+    atexit.register(shutil.rmtree, tmp, True)
+    sc.addPyFile(shutil.make_archive(f"{tmp}/loomframe-{uuid.uuid4().hex}", "zip", root, "loomframe"))
+    sc._loomframe_sent = True
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, token_files, token_histogram
+from . import decontaminate, exact_topk, packing, simhash, token_files, token_histogram
+from .common import ship
 
 
 def table(spark, sf_dir, name):
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -17,9 +19,21 @@ def op3_token_wavelet(spark, sf_dir):
     return token_files.token_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_wu_manber(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_exact_topk(spark, sf_dir):
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op9_simhash_trie(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_pattern_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_histogram, op3_token_wavelet, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_histogram, op3_token_wavelet, op4_wu_manber, op7_exact_topk, op9_simhash_trie, op10_pattern_packing)}
 ORACLE_SQL: dict[str, str] = {}
