@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; bounds memory in a Python worker.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 
 #: Entries an encoder cache may hold in one Python worker; later chunks are encoded each time.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 1_200_000
+#: The cache's hash table has 2**TABLE_BITS places, 12 bytes each.
+TABLE_BITS = 21
 
 #: ASCII bytes that are not in a word [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ become spaces, once A-Z are lower case.
 WORD_TABLE = bytes(
@@ -146,11 +148,12 @@ class Encoder:
         self.base = 0x9E3779B97F4A7C15 | 1
         self.powers = np.ones(1, np.uint64)
         self.inverse = np.ones(1, np.uint64)
-        self.seen: dict[int, int] = {}
+        self.table = np.zeros(1 << TABLE_BITS, np.uint64)
+        self.entry = np.zeros(1 << TABLE_BITS, np.int32)
         self.ids = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int32)
-        self.kept = self.used = 0
+        self.kept = self.used = self.stored = 0
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -167,18 +170,43 @@ class Encoder:
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps, dtype=np.uint64))
 
-    def _add(self, key: int, got: list[int]) -> int:
-        if self.used + len(got) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(got)), np.int32)])
-        if self.kept == len(self.at):
-            self.at = np.concatenate([self.at, np.zeros(len(self.at), np.int64)])
-            self.length = np.concatenate([self.length, np.zeros(len(self.length), np.int32)])
-        self.ids[self.used : self.used + len(got)] = got
-        self.at[self.kept], self.length[self.kept] = self.used, len(got)
-        self.used += len(got)
-        self.kept += 1
-        self.seen[key] = self.kept - 1
-        return self.kept - 1
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entry of each hash, or -1; linear probing of all at once."""
+        out = np.full(len(hashes), -1, np.int64)
+        rest, at = np.arange(len(hashes)), (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        while len(rest):
+            there = self.table[at]
+            same = there == hashes[rest]
+            out[rest[same]] = self.entry[at[same]]
+            on = ~same & (there != 0)
+            rest, at = rest[on], (at[on] + 1) & ((1 << TABLE_BITS) - 1)
+        return out
+
+    def _keep(self, hashes: np.ndarray, entries: np.ndarray) -> None:
+        """Puts new, distinct hashes in the table."""
+        rest, at = np.arange(len(hashes)), (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        while len(rest):
+            free = self.table[at] == 0
+            self.table[at[free]] = hashes[rest[free]]  # of several for a place, one stays
+            won = self.table[at] == hashes[rest]
+            self.entry[at[won]] = entries[rest[won]]
+            rest, at = rest[~won], (at[~won] + 1) & ((1 << TABLE_BITS) - 1)
+
+    def _add(self, got: list[list[int]]) -> np.ndarray:
+        """New entries for lists of ids."""
+        sizes = np.array([len(x) for x in got], np.int64)
+        while self.used + int(sizes.sum()) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) // 2, np.int32)])
+        while self.kept + len(got) > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(len(self.at) // 2, np.int64)])
+            self.length = np.concatenate([self.length, np.zeros(len(self.length) // 2, np.int32)])
+        new = np.arange(self.kept, self.kept + len(got))
+        self.length[new] = sizes
+        self.at[new] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : self.used + int(sizes.sum())] = [x for y in got for x in y]
+        self.used += int(sizes.sum())
+        self.kept += len(got)
+        return new
 
     def encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other (int32), and where each text's begin, with their number last."""
@@ -188,10 +216,6 @@ class Encoder:
         n = len(data)
         if not n:
             return np.zeros(0, np.int32), np.zeros(len(parts) + 1, np.int64)
-        if self.kept > CACHE_ENTRIES + (1 << 18):
-            # the entries of a step beyond the bound were only for that step
-            self.seen = {k: v for k, v in self.seen.items() if v < CACHE_ENTRIES}
-            self.kept, self.used = CACHE_ENTRIES, int(self.at[CACHE_ENTRIES])
         cut = np.zeros(n, bool)
         kind = KIND[data]
         cut[1:] = ((kind[1:] == 2) & (kind[:-1] & 1 == 1)) | ((kind[1:] == 5) & (kind[:-1] == 3))
@@ -205,20 +229,24 @@ class Encoder:
         sizes = np.diff(starts, append=n)
         self._powers(n)
         hashes = np.add.reduceat(self.codes[data] * self.powers[:n], starts) * self.inverse[starts]
-        hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + sizes.astype(np.uint64)
+        hashes = ((hashes ^ (hashes >> np.uint64(29))) + sizes.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
         codes, uniques = pd.factorize(hashes)
         first = np.empty(len(uniques), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        keys = uniques.tolist()
-        entry = np.array([self.seen.get(k, -1) for k in keys], np.int64)
+        entry = self._find(uniques)
         if len(new := np.flatnonzero(entry < 0)):
             whole, of = data.tobytes(), first[new]
             texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(starts[of].tolist(), (starts[of] + sizes[of]).tolist())]
-            for i, got in zip(new.tolist(), self.lib.encode_batch_fast(texts, add_special_tokens=False)):
-                entry[i] = self._add(keys[i], got.ids)
+            entry[new] = self._add([x.ids for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)])
+            if self.stored + len(new) <= CACHE_ENTRIES:
+                self._keep(uniques[new], entry[new])
+                self.stored = self.kept
         entry = entry[codes]
         lengths = self.length[entry].astype(np.int64)
         ids = self.ids[gathered(self.at[entry], lengths)]
+        if self.kept > self.stored:  # entries of this step alone
+            self.kept = self.stored
+            self.used = int(self.at[self.kept])
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return ids, ends[np.searchsorted(starts, bounds)]
 
