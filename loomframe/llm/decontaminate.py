@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, stream, text_bytes, words
+from .common import gathered, sliced, stream, text_bytes, words
 
 #: Words of all patterns that one table may hold; more patterns are searched table by table.
 TABLE_WORDS = 4_000_000
@@ -113,6 +113,23 @@ def found_in(texts: list[bytes], vocabulary: dict[bytes, int], patterns: list[Pa
     return counts, hits
 
 
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, table_words: int) -> tuple[list[list[tuple[int, list[bytes]]]], list[str]]:
+    """The items' words as (number, words) in blocks of at most table_words words or one item, and names by number."""
+    held, total, blocks, names = [], 0, [], []
+    numbers: dict[str, int] = {}
+    for r in benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
+        w = words((r["t"] or "").encode())
+        number = numbers.setdefault(r["i"], len(numbers))
+        if number == len(names):
+            names.append(r["i"])
+        if total and total + len(w) > table_words:
+            blocks.append(held)
+            held, total = [], 0
+        held.append((number, w))
+        total += len(w)
+    return [*blocks, held], names
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
     """Which words of each document lie in a window of a benchmark item: doc_id, n_words, n_hit, n_items,
     items_sha256, contaminated.
@@ -127,20 +144,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    held, total, blocks, names = [], 0, [], []
-    numbers: dict[str, int] = {}
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(item_text_col).cast("string").alias("t"))
-    for r in items.toLocalIterator():
-        w = words((r["t"] or "").encode())
-        number = numbers.setdefault(r["i"], len(numbers))
-        if number == len(names):
-            names.append(r["i"])
-        if total and total + len(w) > table_words:
-            blocks.append(held)
-            held, total = [], 0
-        held.append((number, w))
-        total += len(w)
-    blocks.append(held)
+    blocks, names = item_blocks(benchmark, item_col, item_text_col, table_words)
     named = spark.sparkContext.broadcast(names)
     cols = [F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")]
 
@@ -220,7 +224,25 @@ def digest(counts, own, verdict, nothing, share) -> list:
     return [counts, n_hit, n_items, pa.array(sha, pa.string()), pa.array((n_hit > 0) & (share * n_hit >= counts))]
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows that contamination() marks; ids are taken as unique among documents of different text."""
-    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("bad_id")), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
+    """docs, all their columns, without the rows that contamination() marks. For one block of items each row is judged
+    where it is; for more, rows go by id, which documents of different text are taken not to share."""
+    blocks, _ = item_blocks(benchmark, item_col, item_text_col, table_words)
+    if len(blocks) > 1:
+        bad = contamination(docs, benchmark, size, share, id_col, text_col, item_col, item_text_col, table_words).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
+        return docs.join(bad, F.col(id_col).eqNullSafe(F.col("bad_id")), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(blocks[0])  # at most table_words words, or one item
+
+    def run(batches):
+        known = None
+        for batch in batches:
+            known = known or tables(shared.value, size)
+            at = batch.schema.get_field_index(text_col)
+            for few in sliced(batch):
+                counts, hits = found_in(text_bytes(few.column(at).cast(pa.string())), *known)
+                n_hit = np.zeros(len(counts), np.int64)
+                for i, (spans, _) in merged(hits).items():
+                    n_hit[i] = covered(spans)
+                yield few.filter(pa.array((n_hit == 0) | (share * n_hit < counts)))
+
+    return docs.mapInArrow(run, docs.schema)

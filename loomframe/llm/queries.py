@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_topk, packing, simhash, token_files, token_histogram
-from .common import ship
+from . import decontaminate, exact_topk, language, licenses, main_text, packing, quality, simhash, token_files, token_histogram
+from .common import fold, ship
 
 
 def table(spark, sf_dir, name):
@@ -15,6 +15,12 @@ def op1_token_histogram(spark, sf_dir):
     return token_histogram.length_histogram(table(spark, sf_dir, "documents"))
 
 
+def op2_attention_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.learned(docs, labels.where(fold("doc_id", 5) != 0))
+    return quality.scored(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op3_token_wavelet(spark, sf_dir):
     return token_files.token_digest(table(spark, sf_dir, "documents"))
 
@@ -23,10 +29,24 @@ def op4_wu_manber(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_line_blocks(spark, sf_dir):
+    return main_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op6_ppm_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    trees = language.learned(docs.where(fold("doc_id", 3) != 1))
+    return language.identified(docs, trees).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op7_exact_topk(spark, sf_dir):
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_rare_word_index(spark, sf_dir):
+    return licenses.licence_marks(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_trie(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,5 +55,12 @@ def op10_pattern_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_histogram, op3_token_wavelet, op4_wu_manber, op7_exact_topk, op9_simhash_trie, op10_pattern_packing)}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    ship(spark)
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_histogram, op2_attention_quality, op3_token_wavelet, op4_wu_manber, op5_line_blocks, op6_ppm_language, op7_exact_topk, op8_rare_word_index, op9_simhash_trie, op10_pattern_packing, pipeline)}
 ORACLE_SQL: dict[str, str] = {}

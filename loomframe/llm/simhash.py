@@ -208,6 +208,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3) -> DataFrame:
-    """docs with one row of each component: that of the smallest id (of equal ids, one)."""
-    found = near_duplicates(docs, id_col, text_col, budget).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates([id_col])
+    """docs, all their columns, with one row of each component: that of the smallest id. Rows that repeat id and text
+    are one; a component without any id keeps one row."""
+    found = written(near_duplicates(docs, id_col, text_col, budget).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")), "kept")
+    once = found.groupBy("kept_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = once.where("n > 1").limit(1).count()
+    kept = docs.join(once.select("kept_id"), F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
