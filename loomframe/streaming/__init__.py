@@ -1,0 +1 @@
+"""The data model has no streams; nothing is needed here for parity."""
