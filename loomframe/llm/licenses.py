@@ -32,8 +32,9 @@ LOOKED_UP = 8
 #: Share of a notice's words that must stand in place.
 ALIKE = 0.7
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Places of one template in a document are numbered apart by so much.
-PLACES = 1 << 40
+#: Places of one notice in a document are numbered apart by so much, from a bit over their beginning, as a notice's first
+#: words may be missing before the document's.
+PLACES, SHIFT = 1 << 40, 1 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -85,9 +86,9 @@ def licence_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def share_in_place(k: int, w: list[str], mandatory: tuple[str, ...]) -> Column:
         """The largest share of a notice's words in place, over the verified places where it may begin."""
-        own = F.transform(F.filter("starts", lambda s: (s >= k * PLACES) & (s < k * PLACES + PLACES // 2)), lambda s: s - k * PLACES)
+        own = F.transform(F.filter("starts", lambda s: (s >= k * PLACES) & (s < (k + 1) * PLACES)), lambda s: s - (k * PLACES + SHIFT))
         own = F.filter(own, lambda s: reduce(and_, (stands(s, m.split(), find(w, m.split())) for m in mandatory)))
-        in_place = lambda s: reduce(add, (F.coalesce(F.get("words", (s + o).cast("int")) == x, F.lit(False)).cast("int") for o, x in enumerate(w)))
+        in_place = lambda s: reduce(add, (F.coalesce(F.when(s + o >= 0, F.get("words", (s + o).cast("int"))) == x, F.lit(False)).cast("int") for o, x in enumerate(w)))
         return F.coalesce(F.array_max(F.transform(own, lambda s: in_place(s) / F.lit(float(len(w))))), F.lit(0.0))
 
     base = []
@@ -104,12 +105,12 @@ def licence_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for k, (t, *_) in enumerate(notices):
         for o, w in enumerate(t.split()):
             if w in place:
-                posted.setdefault(w, []).append(k * PLACES - o)
+                posted.setdefault(w, []).append(k * PLACES + SHIFT - o)
     postings = F.create_map(*(x for w, p in sorted(posted.items()) for x in (F.lit(w), F.array(*(F.lit(v).cast("long") for v in p)))))
     best = F.slice(F.array_intersect(rarest, F.transform("hits", lambda x: x["w"])), 1, LOOKED_UP)
     marked = marked.withColumn("best", best)
     looked = F.filter("hits", lambda x: F.array_contains("best", x["w"]))
-    # notice * PLACES + start of the notice in the document; starts before the first word are no match
+    # notice * PLACES + SHIFT + where the notice would start in the document
     starts = F.flatten(F.transform(looked, lambda x: F.transform(F.coalesce(postings[x["w"]], F.array().cast("array<bigint>")), lambda p: p + x["i"])))
     marked = marked.withColumn("starts", F.array_distinct(starts))
     shares = [share_in_place(k, t.split(), mandatory) for k, (t, _, mandatory) in enumerate(notices)]

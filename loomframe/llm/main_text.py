@@ -121,8 +121,7 @@ def lines_of(page: str) -> tuple[list[Line], dict[int, str]]:
             stack.append((tag, number, off))
         if tag in LINES and not hidden:
             fresh()
-    rest = page[at:]
-    write(rest if not re.match(r"<[a-zA-Z/!?][^>]*\Z", rest) else "")
+    write(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", page[at:]))  # without a tag that the page's end cut
     return lines, containers
 
 

@@ -55,33 +55,45 @@ def nnls(rows: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 300)
     return x
 
 
+#: Shares of the fitted counts that plans are tried with; the rest is left to best fit.
+SHARES = (1.0, 0.5, 0.2)
+
+
 def plan(counts: np.ndarray, capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], int]:
     """Sequences for counts[n] pieces of each length n <= capacity: (lengths, how many such), and their number.
 
-    Full pieces stand alone. Patterns take their fitted counts, rounded, as far as pieces last; best fit by decreasing
-    length, whole classes of equal sequences at a time, packs the rest. Bounded by the capacity, not by the pieces.
+    Full pieces stand alone. Patterns whose longest piece takes at least half a sequence get a share of their fitted
+    counts, rounded, as far as pieces last; best fit packs the rest. The share that needs the fewest sequences wins.
+    Bounded by the capacity, not by the number of pieces.
     """
     left = counts.astype(np.int64).copy()
-    out = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    whole = [((capacity,), int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
     rows = patterns(left, capacity)
-    if len(rows):
-        fit = nnls(rows, left, capacity)
-        for rounding in (0.0, 0.5):
-            for k in np.argsort(-fit, kind="stable"):
-                want = int(fit[k] + rounding)
-                if want <= 0:
-                    break
-                lens = tuple(int(n) for n in rows[k] if n)
-                need = {n: lens.count(n) for n in lens}
-                times = min(want, *(int(left[n]) // m for n, m in need.items()))
-                if times > 0:
-                    out.append((lens, times))
-                    fit[k] -= times
-                    for n, m in need.items():
-                        left[n] -= m * times
-    # best fit: open sequences by what is free in them, as classes of equal ones
-    free: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    rows = rows[rows.max(axis=1) * 2 >= capacity] if len(rows) else rows
+    fit = nnls(rows, left, capacity) if len(rows) else np.zeros(0)
+    best = min((whole + filled(rows, fit * share, left, capacity) for share in SHARES), key=lambda made: sum(k for _, k in made))
+    return best, sum(k for _, k in best)
+
+
+def filled(rows: np.ndarray, fit: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences by the fitted counts of patterns, then by best fit of decreasing lengths, whole classes of equal
+    sequences at a time."""
+    left, fit, out = counts.copy(), fit.copy(), []
+    for rounding in (0.0, 0.5):
+        for k in np.argsort(-fit, kind="stable"):
+            want = int(fit[k] + rounding)
+            if want <= 0:
+                break
+            lens = tuple(int(n) for n in rows[k] if n)
+            need = {n: lens.count(n) for n in lens}
+            times = min(want, *(int(left[n]) // m for n, m in need.items()))
+            if times > 0:
+                out.append((lens, times))
+                fit[k] -= times
+                for n, m in need.items():
+                    left[n] -= m * times
+    free: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # open sequences by what is free in them, in classes
     for n in range(capacity - 1, 0, -1):
         m = int(left[n])
         for room in sorted(k for k in free if k >= n):
@@ -98,8 +110,7 @@ def plan(counts: np.ndarray, capacity: int) -> tuple[list[tuple[tuple[int, ...],
         put(free, capacity - each * n, (n,) * each, m // each)
         if m % each:
             put(free, capacity - m % each * n, (n,) * (m % each), 1)
-    out += [c for classes in free.values() for c in classes]
-    return out, sum(k for _, k in out)
+    return out + [c for classes in free.values() for c in classes]
 
 
 def put(free: dict, room: int, lens: tuple[int, ...], times: int) -> None:

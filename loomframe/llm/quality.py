@@ -56,10 +56,13 @@ def encoded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     shares = np.bincount(pair, minlength=total * KINDS * KINDS).reshape(total, -1)
     x[:, : KINDS * KINDS] = np.sqrt(shares / np.maximum(1, shares.sum(axis=1, keepdims=True)))
     inside = kinds > 1
-    begin = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))
+    apart = np.concatenate([[True], ~inside[:-1]])
+    apart[bounds[:-1][lengths > 0]] = True  # a text's first word is its own
+    begin = np.flatnonzero(inside & apart)
     if len(begin):
         words = np.add.reduceat(np.where(inside, WORD_CODES[data], 0), begin)
-        again = np.concatenate([[False], words[1:] == words[:-1]])
+        text = of[own[begin]]
+        again = np.concatenate([[False], (words[1:] == words[:-1]) & (text[1:] == text[:-1])])
         count = np.bincount(own[begin], minlength=total)
         x[:, -4] = count / np.maximum(1, sizes) * 5
         x[:, -3] = np.minimum(4, np.bincount(own[inside], minlength=total) / np.maximum(1, count) / 8)

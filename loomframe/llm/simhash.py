@@ -208,10 +208,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3) -> DataFrame:
-    """docs, all their columns, with one row of each component: that of the smallest id. Rows that repeat id and text
-    are one; a component without any id keeps one row."""
-    found = written(near_duplicates(docs, id_col, text_col, budget).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")), "kept")
-    once = found.groupBy("kept_id").agg(F.count(F.lit(1)).alias("n"))
-    repeated = once.where("n > 1").limit(1).count()
-    kept = docs.join(once.select("kept_id"), F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
+    """docs, all their columns, with one row of each component: that of the smallest id. Rows that repeat id and text are
+    one. Rows without an id go if they are linked to one with an id; of the others, equal texts are one."""
+    found = written(near_duplicates(docs, id_col, text_col, budget).where("doc_id <=> component_id"), "kept")
+    once = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id").isNull()).alias("nameless"))
+    odd = once.where("n > 1 or nameless").limit(1).count()
+    ids = once.where("not nameless").select(F.col("doc_id").alias("kept_id"))
+    kept = docs.join(ids, F.col(id_col) == F.col("kept_id"), "left_semi")
+    if not odd:
+        return kept
+    nameless = docs.where(F.col(id_col).isNull())
+    alone = found.where("doc_id is null").select(F.col("fingerprint").alias("alone")).distinct()
+    texts = hashed(nameless.select(F.col(text_col).cast("string").alias("t"), F.col(text_col).alias("text")), "t").select(F.col("doc_id").alias("kept_text"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("alone"))
+    texts = texts.join(alone, "alone", "left_semi").select("kept_text").distinct()
+    more = nameless.join(texts, F.col(text_col).cast("string").eqNullSafe(F.col("kept_text")), "left_semi")
+    return kept.unionByName(more).dropDuplicates([id_col, text_col])
