@@ -377,7 +377,7 @@ class Dataset(Reader):
         self._bump("matrix", rows, cols, name)
 
 
-def memory_daf(spark: SparkSession, name: str = "memory") -> Dataset:
+def memory_dataset(spark: SparkSession, name: str = "memory") -> Dataset:
     """An empty data set in memory."""
     return Dataset(spark, name)
 
@@ -432,4 +432,4 @@ def read_only(base: Reader, name: str | None = None) -> ReadOnly:
     return base if isinstance(base, ReadOnly) and name is None else ReadOnly(base, name)
 
 
-__all__ = ["Dataset", "Matrix", "ReadOnly", "Reader", "memory_daf", "read_only"]
+__all__ = ["Dataset", "Matrix", "ReadOnly", "Reader", "memory_dataset", "read_only"]

@@ -72,7 +72,7 @@ def create_contract(name: str = "", axes=(), data=(), relaxed: bool = False) ->
 
 
 def enforced() -> bool:
-    return os.environ.get("DAF_ENFORCE_CONTRACTS", "").lower() in ("1", "true", "yes", "on")
+    return os.environ.get("LOOMFRAME_ENFORCE_CONTRACTS", "").lower() in ("1", "true", "yes", "on")
 
 
 class Contracted(Reader):
@@ -167,7 +167,7 @@ class Contracted(Reader):
 
 
 def contractor(computation: str, contract: Contract, ds: Reader, overwrite: bool = False) -> Reader:
-    """ds under the contract, or ds itself unless DAF_ENFORCE_CONTRACTS says that contracts are enforced."""
+    """ds under the contract, or ds itself unless LOOMFRAME_ENFORCE_CONTRACTS says that contracts are enforced."""
     return Contracted(computation, contract, ds, overwrite) if enforced() else ds
 
 

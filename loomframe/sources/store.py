@@ -111,7 +111,7 @@ class ParquetDataset(Dataset):
         self.axes, self.matrices = new.axes, new.matrices
 
 
-def open_daf(spark: SparkSession, uri: str = "", mode: str = "r", name: str | None = None) -> Reader:
+def open_dataset(spark: SparkSession, uri: str = "", mode: str = "r", name: str | None = None) -> Reader:
     """A data set by address: nothing or memory:// is an empty one in memory; a folder with a catalog is Parquet; one with
     daf.json is the flat-file layout; .daf.zarr is a Zarr folder."""
     from . import flat_files, zarr
@@ -133,4 +133,4 @@ def open_daf(spark: SparkSession, uri: str = "", mode: str = "r", name: str | No
     return load(spark, uri) if mode == "r" else ParquetDataset(spark, uri, mode)
 
 
-__all__ = ["ParquetDataset", "Store", "load", "open_daf", "save"]
+__all__ = ["ParquetDataset", "Store", "load", "open_dataset", "save"]

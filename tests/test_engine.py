@@ -4,13 +4,13 @@ import math
 
 import pytest
 
-from loomframe.dataset import memory_daf
+from loomframe.dataset import memory_dataset
 from loomframe.functions import registry
 
 
 @pytest.fixture(scope="module")
 def vectors(spark):
-    d = memory_daf(spark)
+    d = memory_dataset(spark)
     d.add_axis("ax", [f"e{i}" for i in range(1, 7)])
     d.set_vector("ax", "x", [1.0, 2, 3, 4, 5, 6])
     d.set_vector("ax", "g", list("aabbcc"))
@@ -22,7 +22,7 @@ def vectors(spark):
 
 @pytest.fixture(scope="module")
 def lookups(spark):
-    p = memory_daf(spark)
+    p = memory_dataset(spark)
     p.add_axis("cell", list("ABC"))
     p.add_axis("metacell", list("XY"))
     p.add_axis("type", list("UV"))
@@ -34,7 +34,7 @@ def lookups(spark):
 
 @pytest.fixture(scope="module")
 def cells(spark):
-    m = memory_daf(spark)
+    m = memory_dataset(spark)
     m.add_axis("cell", list("ABCD"))
     m.add_axis("gene", ["X", "Y"])
     m.add_axis("type", list("UVW"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomframe.dataset import memory_daf, read_only
+from loomframe.dataset import memory_dataset, read_only
 from loomframe.operators import contracts as c
 from loomframe.operators.chain import chain_reader, chain_writer
 from loomframe.operators.concat import CollectAxis, concatenate
@@ -11,12 +11,12 @@ from loomframe.operators.copies import copy_all, copy_vector, empty_data
 from loomframe.operators.reshape import collect_group_members, compact_groups, reconstruct_axis, reorder_axes, reset_reorder_axes
 from loomframe.operators.topk import top_k_per_col
 from loomframe.operators.view import VIEW_ALL_AXES, viewer
-from loomframe.sources.store import load, open_daf, save
+from loomframe.sources.store import load, open_dataset, save
 from loomframe.tidy import UnsupportedOperationError
 
 
 def small(spark, name="small", entries="ABC", ages=(10, 50, 70)):
-    d = memory_daf(spark, name)
+    d = memory_dataset(spark, name)
     d.add_axis("cell", list(entries))
     d.set_vector("cell", "age", list(ages))
     return d
@@ -41,7 +41,7 @@ def test_writing_and_reading(spark):
 
 
 def test_chains(spark):
-    a, b = small(spark, "a"), memory_daf(spark, "b")
+    a, b = small(spark, "a"), memory_dataset(spark, "b")
     both = chain_writer([a, b])
     both.set_vector("cell", "age", [1, 2, 3], True)
     both.set_vector("cell", "kind", list("xyx"))
@@ -63,14 +63,14 @@ def test_copies_and_concatenation(spark):
     a, b = small(spark, "A", ["c1", "c2"], [10, 20]), small(spark, "B", ["c1", "c3"], [30, 40])
     for d, n in ((a, 1), (b, 2)):
         d.set_scalar("n", n)
-    to = memory_daf(spark)
+    to = memory_dataset(spark)
     concatenate(to, "cell", [a, b], prefix=True, merge={"*": CollectAxis})
     assert to["@ cell : age"].collect() == {"A.c1": 10, "A.c2": 20, "B.c1": 30, "B.c3": 40}
     assert to["@ cell : dataset"].collect() == {"A.c1": "A", "A.c2": "A", "B.c1": "B", "B.c3": "B"}
     assert to["@ dataset : n"].collect() == {"A": 1, "B": 2}
     with pytest.raises(ValueError, match="repeated"):
-        concatenate(memory_daf(spark), "cell", [a, b])
-    more = memory_daf(spark)
+        concatenate(memory_dataset(spark), "cell", [a, b])
+    more = memory_dataset(spark)
     more.add_axis("cell", ["c1", "c2", "c9"])
     with pytest.raises(ValueError, match="empty value"):
         copy_vector(more, a, "cell", "age")
@@ -79,7 +79,7 @@ def test_copies_and_concatenation(spark):
 
 
 def test_reshaping(spark):
-    d = memory_daf(spark)
+    d = memory_dataset(spark)
     d.add_axis("cell", list("ABCDE"))
     d.set_vector("cell", "id", [5, 10, 5, 0, 10])
     assert [r["group"] for r in compact_groups(d, "cell", "id").orderBy("pos").collect()] == [1, 2, 1, 0, 2]
@@ -95,7 +95,7 @@ def test_reshaping(spark):
 
 
 def test_top_k(spark):
-    d = memory_daf(spark)
+    d = memory_dataset(spark)
     d.add_axis("r", ["r1", "r2", "r3", "r4"])
     d.add_axis("c", ["c1", "c2", "c3"])
     d.set_matrix("r", "c", "m", [[1.0, 2, 3], [10, 20, 30], [100, 50, 5], [0, 40, 25]])
@@ -122,7 +122,7 @@ def test_tidy(spark):
 
 
 def test_contracts(spark, monkeypatch):
-    monkeypatch.setenv("DAF_ENFORCE_CONTRACTS", "1")
+    monkeypatch.setenv("LOOMFRAME_ENFORCE_CONTRACTS", "1")
     contract = c.create_contract("net", c.axis_contract("cell", c.RequiredInput), [c.contract_vector("cell", "age", c.RequiredInput, "Int64"), c.contract_vector("cell", "next", c.CreatedOutput, "Int64")])
 
     @c.computation("net", contract)
@@ -159,8 +159,8 @@ def test_storage(spark, tmp_path):
     assert back["@ cell : age"].collect() == d["@ cell : age"].collect() and back[". pi"].collect() == 3.14 and back["@ cell @ cell :: m >> Sum"].collect() == 2.0
     with pytest.raises(FileExistsError):
         save(d, f"{tmp_path}/set")
-    w = open_daf(spark, f"{tmp_path}/set", "r+")
+    w = open_dataset(spark, f"{tmp_path}/set", "r+")
     w.set_vector("cell", "age", [1, 2, 3], True)
     w.flush()
-    assert open_daf(spark, f"{tmp_path}/set")["@ cell : age >> Sum"].collect() == 6
-    assert open_daf(spark).axes_set() == []
+    assert open_dataset(spark, f"{tmp_path}/set")["@ cell : age >> Sum"].collect() == 6
+    assert open_dataset(spark).axes_set() == []
