@@ -48,6 +48,16 @@ class Store:
             fs.delete(p, False)
         fs.rename(beside, p)
 
+    def stream(self, path: str, parts) -> None:
+        """A file of parts of bytes, one after the other."""
+        fs, p = self._at(path)
+        out = fs.create(p, True)
+        try:
+            for part in parts:
+                out.write(bytearray(part))
+        finally:
+            out.close()
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)

@@ -14,6 +14,7 @@ from loomframe.config import empty_cache, keep
 from loomframe.dataset import memory_dataset
 from loomframe.operators.complete import complete_chain, complete_dataset
 from loomframe.sources.anndata import as_anndata
+from loomframe.sources.export import files_to_zarr, zarr_to_files
 from loomframe.sources.store import ParquetDataset, open_dataset, save
 
 
@@ -111,6 +112,16 @@ def test_zarr(spark, tmp_path):
     assert ds["@ gene @ cell :: sm >| Sum"].collect() == {"X": 0.0, "Y": 9.0}
 
 
+def test_written_layouts_read_back(spark, flat, tmp_path):
+    files_to_zarr(spark, str(flat), f"{tmp_path}/a.daf.zarr")
+    checked(open_dataset(spark, f"{tmp_path}/a.daf.zarr"))
+    zarr_to_files(spark, f"{tmp_path}/a.daf.zarr", f"{tmp_path}/b")
+    checked(open_dataset(spark, f"{tmp_path}/b"))
+    assert (tmp_path / "b/matrices/cell/gene/sm.rowval").read_bytes() == np.array([2, 1, 4], "<u8").tobytes()
+    with pytest.raises(FileExistsError):
+        zarr_to_files(spark, f"{tmp_path}/a.daf.zarr", f"{tmp_path}/b")
+
+
 def test_completed_sets(spark, tmp_path):
     base = memory_dataset(spark, "base")
     base.add_axis("cell", list("ABC"))
