@@ -13,12 +13,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; bounds memory in a Python worker.
 STEP_BYTES = 1 << 20
 
+#: Rows of a batch that Spark sends to Python.
+BATCH_ROWS = 500
+
 #: Entries an encoder cache may hold in one Python worker; later chunks are encoded each time.
 CACHE_ENTRIES = 1_200_000
 #: The cache's hash table has 2**TABLE_BITS places, 12 bytes each.
@@ -53,6 +57,25 @@ def ship(spark: SparkSession) -> None:
     sc._loomframe_sent = True
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python: by default 10,000 rows, which of long documents are hundreds of MB on both
+    sides. A session that sets fewer keeps its own."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def local(shared: Broadcast):
+    """A broadcast's value, of which a Python worker keeps the one asked for last; workers outlive many queries."""
+    if not _held or _held[0] is not shared:
+        _held[:] = [shared, shared.value]
+        if shared._path is not None:  # read again from there if it is asked for again
+            shared.__dict__.pop("_value", None)
+    return _held[1]
+
+
+_held: list = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
@@ -88,6 +111,7 @@ def stream(df: DataFrame, step: Callable[[list[pa.Array], dict], list], cols: li
     from pyspark.sql.types import _parse_datatype_string
 
     names = _parse_datatype_string(schema).names
+    bounded(df.sparkSession)
     return df.select(*cols).mapInArrow(run, schema)
 
 

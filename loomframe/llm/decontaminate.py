@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, sliced, stream, text_bytes, words
+from .common import bounded, gathered, local, sliced, stream, text_bytes, words
 
 #: Words of all patterns that one table may hold; more patterns are searched table by table.
 TABLE_WORDS = 4_000_000
@@ -158,7 +158,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
 
         def whole(cols, state):
             if "tables" not in state:
-                state["tables"] = tables(shared.value, size)
+                state["tables"] = tables(local(shared), size)
             counts, hits = found_in(text_bytes(cols[1]), *state["tables"])
             return [cols[0], *digest(counts, merged(hits), verdict, nothing, share)]
 
@@ -169,7 +169,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
 
         def one(cols, state, shared=shared):
             if "tables" not in state:
-                state["tables"] = tables(shared.value, size)
+                state["tables"] = tables(local(shared), size)
             texts = text_bytes(cols[0])
             _, hits = found_in(texts, *state["tables"])
             own = merged(hits)
@@ -236,7 +236,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
     def run(batches):
         known = None
         for batch in batches:
-            known = known or tables(shared.value, size)
+            known = known or tables(local(shared), size)
             at = batch.schema.get_field_index(text_col)
             for few in sliced(batch):
                 counts, hits = found_in(text_bytes(few.column(at).cast(pa.string())), *known)
@@ -245,4 +245,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
                     n_hit[i] = covered(spans)
                 yield few.filter(pa.array((n_hit == 0) | (share * n_hit < counts)))
 
+    bounded(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

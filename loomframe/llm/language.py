@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, stream, text_bytes
+from .common import bounded, flat, local, stream, text_bytes
 
 #: Bytes of the longest context.
 ORDER = 3
@@ -197,7 +197,7 @@ def identified(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the training sample's distinct strings
 
     def step(cols, state):
-        said, score = shared.value.predicted(text_bytes(cols[1]))
+        said, score = local(shared).predicted(text_bytes(cols[1]))
         return [cols[0], pa.array(said, pa.string()), score]
 
     return stream(docs, step, [F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")], f"doc_id {kind}, lang_pred string, score double")
@@ -213,7 +213,8 @@ def kept(docs: DataFrame, trees: Trees, text_col: str = "text", least: float = 0
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for few in sliced(batch):
-                said, score = shared.value.predicted(text_bytes(few.column(at).cast(pa.string())))
+                said, score = local(shared).predicted(text_bytes(few.column(at).cast(pa.string())))
                 yield few.filter(pa.array((np.array(said) != "und") & (score >= least)))
 
+    bounded(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Encoder, crc, stream, text_bytes, tokenizer_path, written
+from .common import Encoder, crc, local, stream, text_bytes, tokenizer_path, written
 
 
 def patterns(counts: np.ndarray, capacity: int) -> np.ndarray:
@@ -191,7 +191,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, id_col: str = "
     ranked = pieces.join(bases, ["task", "length"])
 
     def place(cols, state):
-        t = shared.value
+        t = local(shared)
         length, rank = (c.to_numpy(zero_copy_only=False) for c in cols[:2])
         key = (length << 44) + rank
         i = np.searchsorted(t["key"], key, "right") - 1

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, gathered, stream, text_bytes
+from .common import bounded, flat, gathered, stream, text_bytes
 
 #: Bytes of a passage, at most; a document's passages are of nearly equal length.
 PASSAGE_BYTES = 512
@@ -173,4 +173,5 @@ def kept(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
             for few in sliced(batch):
                 yield few.filter(pa.array(model.scores(text_bytes(few.column(at).cast(pa.string()))) >= threshold))
 
+    bounded(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

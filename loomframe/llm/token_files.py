@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Encoder, crc, shared_dir, stream, text_bytes, tokenizer_path
+from .common import Encoder, bounded, crc, shared_dir, stream, text_bytes, tokenizer_path
 
 #: Tokens after which a shard ends, at the next document's end.
 SHARD_TOKENS = 1 << 21
@@ -200,6 +200,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         if held_docs:
             yield row()
 
+    bounded(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kept.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
 
