@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.columns import guarded, model_type
@@ -400,16 +400,31 @@ def filled(df: DataFrame, name: str) -> Column:
     return F.coalesce(q(name), F.lit("")) if dict(df.dtypes)[name] == "string" else q(name)
 
 
-def numbered(df: DataFrame, order: str = "entry") -> DataFrame:
-    """df with pos 0.. in the order of a column, without gathering the rows: range partitions, then counts of them."""
-    parts = df.repartitionByRange(q(order)).sortWithinPartitions(q(order)).withColumn("__id", F.monotonically_increasing_id())
-    from pyspark.sql import Window
+#: Rows of one range when rows are numbered, about.
+RANGE_ROWS = 500_000
+
 
-    parts = parts.withColumn("__part", F.shiftright("__id", 33))
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+def numbered(df: DataFrame, order: str = "entry") -> DataFrame:
+    """df with pos 0.. in the order of a column of distinct values.
+
+    Rows are numbered within ranges of the column, and each range after the rows of those before. The ranges' bounds are
+    fixed values from a sample that is taken at once, so that numbers do not depend on how a plan is cut into tasks or on
+    tasks that run again.
+    """
+    n = df.count()
+    ranges = min(500, n // RANGE_ROWS + 1)
+    bounds = []
+    if ranges > 1:
+        sample = sorted(r[0] for r in df.select(q(order)).sample(min(1.0, 100 * ranges / n), seed=1).collect())
+        bounds = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
+    key = q(order)
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= key)) if bounds else F.lit(0)
+    parted = df.withColumn("__part", part)
+    sizes = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # at most 500 rows
     base = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    return parts.join(base, "__part").withColumn("pos", F.col("__base") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__base")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
+    return parted.withColumn("__place", place).join(base, "__part").withColumn("pos", (F.col("__base") + F.col("__place")).cast("bigint")).drop("__part", "__place", "__base")
 
 
 class ReadOnly(Reader):

@@ -164,3 +164,12 @@ def test_storage(spark, tmp_path):
     w.flush()
     assert open_dataset(spark, f"{tmp_path}/set")["@ cell : age >> Sum"].collect() == 6
     assert open_dataset(spark).axes_set() == []
+
+
+def test_numbers_follow_the_order_over_many_ranges(spark, monkeypatch):
+    from loomframe import dataset
+
+    monkeypatch.setattr(dataset, "RANGE_ROWS", 50)
+    df = spark.range(1000).select(F.hex(F.xxhash64("id")).alias("entry")).repartition(7)
+    got = [(r["entry"], r["pos"]) for r in dataset.numbered(df).collect()]
+    assert sorted(got) == [(e, i) for i, e in enumerate(sorted(e for e, _ in got))]
