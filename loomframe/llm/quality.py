@@ -81,9 +81,13 @@ class Model:
         self.p = {"W": s(FEATURES, hidden) * 3, "b": np.zeros(hidden), "V": s(hidden, gate), "U": s(hidden, gate), "w": s(gate), "u": s(hidden), "c": np.zeros(1)}
         self.mean, self.scale = np.zeros(FEATURES), np.ones(FEATURES)
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean.astype(np.float32)) / self.scale.astype(np.float32)).astype(np.float32)
+
     def forward(self, x: np.ndarray, number: np.ndarray) -> dict:
+        """x: scaled features."""
         p, starts = self.p, np.cumsum(number) - number
-        h = np.tanh(((x - self.mean) / self.scale) @ p["W"] + p["b"])
+        h = np.tanh((x @ p["W"].astype(np.float32)).astype(float) + p["b"])
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-np.clip(h @ p["U"], -30, 30)))
         e = (t * g) @ p["w"]
         top = np.repeat(np.maximum.reduceat(e, starts), number)
@@ -95,11 +99,10 @@ class Model:
 
     def fit(self, x: np.ndarray, number: np.ndarray, label: np.ndarray, rounds: int = 150, rate: float = 0.01, decay: float = 1e-4) -> Model:
         """Adam on the whole sample's mean log loss."""
-        x = x.astype(float)
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 0.02
+        self.mean, self.scale = x.mean(axis=0, dtype=float), x.std(axis=0, dtype=float) + 0.02
+        x = self.scaled(x)
         p, m, v = self.p, {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}
         own = np.repeat(np.arange(len(number)), number)
-        xs = (x - self.mean) / self.scale
         for step in range(1, rounds + 1):
             f = self.forward(x, number)
             dy = (f["y"] - label) / len(label)
@@ -109,7 +112,7 @@ class Model:
             de = f["a"] * (da - mean[own])
             dt, dg = de[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
             dh = (f["a"][:, None] * dz[own] + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
-            grad = {"W": xs.T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ de, "u": f["z"].T @ dy, "c": dy.sum(keepdims=True)}
+            grad = {"W": (x.T @ dh.astype(np.float32)).astype(float), "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ de, "u": f["z"].T @ dy, "c": dy.sum(keepdims=True)}
             for k, g in grad.items():
                 g = g + decay * p[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -120,7 +123,8 @@ class Model:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        return self.forward(*encoded(texts))["y"]
+        x, number = encoded(texts)
+        return self.forward(self.scaled(x), number)["y"]
 
 
 def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", training_docs: int = TRAINING_DOCS) -> Model:
