@@ -17,6 +17,14 @@ ORDER = 3
 TRAINING_DOCS = 6000
 #: Code lengths are in 1/UNIT bits, whole numbers, so sums are exact in any order.
 UNIT = 1 << 12
+#: Held-out documents that a language's range of code lengths is taken from, at least; with fewer it has none.
+RANGE_DOCS = 5
+#: Standard deviations that a text's code may be longer than its language's documents' are.
+WIDE = 8
+#: Variance of one byte's code, in bits, and the least deviation of long texts, as a share of their bits a byte.
+BYTE_VARIANCE, LEAST_SPREAD = 9.0, 0.1
+#: Bytes of a part that is coded in one language.
+PART = 128
 #: Bytes that a text is taken to follow.
 BEFORE = b"\n" * ORDER
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -63,6 +71,9 @@ class Trees:
     never occurred costs nothing extra. Below the empty context all 256 bytes are alike.
     """
 
+    #: By language, bits a byte of its own documents, held out, and their variance; infinite where too few tell them.
+    limits: np.ndarray | None = None
+
     def __init__(self, languages: list[str], counts: dict[int, tuple[np.ndarray, np.ndarray]]):
         self.languages = languages
         n = len(languages)
@@ -105,10 +116,14 @@ class Trees:
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each whole text under each language, in 1/UNIT bits."""
-        out = np.zeros((len(texts), len(self.languages)), np.int64)
+        return self.coded(texts)[0]
+
+    def coded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """lengths(), and the length of each whole text with each part of PART bytes under the language that suits it."""
+        out, mixed = np.zeros((len(texts), len(self.languages)), np.int64), np.zeros(len(texts), np.int64)
         full = [i for i, x in enumerate(texts) if x]
         if not full or not self.languages:
-            return out
+            return out, mixed
         data, bounds = flat([x for i in full for x in (BEFORE, texts[i])])
         keys = strings(data)
         bounds = bounds[1::2] - ORDER  # where each text's strings begin; those before them span two texts
@@ -116,7 +131,10 @@ class Trees:
         mine[(bounds[1:, None] - 1 - np.arange(ORDER)).ravel()] = False
         keys = keys[mine]
         sizes = np.array([len(texts[i]) for i in full])
-        starts = np.cumsum(sizes) - sizes
+        parts = -(-sizes // PART)
+        first = np.cumsum(parts) - parts
+        starts = np.repeat(np.cumsum(sizes) - sizes, parts) + PART * (np.arange(parts.sum()) - np.repeat(first, parts))
+        least = None
         at = self.index[ORDER].find(keys)
         rest = np.flatnonzero(at < 0)
         found = self.costs(ORDER, keys[rest])
@@ -124,20 +142,34 @@ class Trees:
         for i, column in enumerate(self.columns[ORDER]):
             each = column[at] if len(column) else np.zeros(len(at), np.int32)
             each[rest] = found[:, i]
-            out[full, i] = np.add.reduceat(each, starts, dtype=np.int64)
-        return out
+            bits = np.add.reduceat(each, starts, dtype=np.int64)
+            out[full, i] = np.add.reduceat(bits, first)
+            least = bits if least is None else np.minimum(least, bits)
+        mixed[full] = np.add.reduceat(least, first)
+        return out, mixed
 
     def predicted(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
         """Language of the shortest code and its posterior under equal priors; und and 0 without letters or languages."""
-        got = self.lengths([x or b"" for x in texts]) / UNIT
-        said, score = ["und"] * len(texts), np.zeros(len(texts))
+        return self.judged(texts)[:2]
+
+    def judged(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """predicted(), and whether the text is coded about as well as that language's own documents: the posterior says
+        only which language is nearest, and nears 1 with a text's length whatever it is written in. Parts in another
+        learned language count as coded by that one."""
+        got, mixed = (x / UNIT for x in self.coded([x or b"" for x in texts]))
+        said, score, own = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         if self.languages:
             best = got.argmin(axis=1)
             p = 1 / np.exp2(np.minimum(0, got.min(axis=1)[:, None] - got)).sum(axis=1)
+            usual = np.ones(len(texts), bool)
+            if self.limits is not None:
+                middle, variance = self.limits[best].T
+                n = np.maximum(1, [len(x or b"") for x in texts])
+                usual = mixed / n <= middle + WIDE * np.sqrt(BYTE_VARIANCE / n + variance)
             for i, x in enumerate(texts):
                 if x and has_letter(x):
-                    said[i], score[i] = self.languages[best[i]], p[i]
-        return said, score
+                    said[i], score[i], own[i] = self.languages[best[i]], p[i], usual[i]
+        return said, score, own
 
 
 def has_letter(x: bytes) -> bool:
@@ -155,31 +187,59 @@ def strings(data: np.ndarray) -> np.ndarray:
 def learned(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", training_docs: int = TRAINING_DOCS) -> Trees:
     """Trees of the rows given that have text and language: about training_docs of them, by a hash of the text.
 
-    Strings are counted on the executors, over whole texts; the driver gets the distinct ones of the sample.
+    Strings are counted on the executors, over whole texts; the driver gets the distinct ones of the sample. The ranges
+    of code lengths come from the sample too: each document is coded with the trees of the half that it is not in. All
+    copies of a text are in one half.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     share = min(1.0, training_docs / max(1, known.count()))
     sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    halved = [F.col("lang"), F.col("text"), F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2)).alias("half")]
 
     def step(cols, state):
-        texts, langs = text_bytes(cols[1]), np.array(cols[0].to_pylist(), object)
-        out_lang, out_key, out_n = [], [], []
-        for lang in sorted(set(langs.tolist())):
-            data, bounds = flat([x for i in np.flatnonzero(langs == lang) for x in (BEFORE, texts[i])])
+        texts, langs, halves = text_bytes(cols[1]), np.array(cols[0].to_pylist(), object), cols[2].to_numpy()
+        out_lang, out_half, out_key, out_n = [], [], [], []
+        for lang, half in sorted(set(zip(langs.tolist(), halves.tolist()))):
+            data, bounds = flat([x for i in np.flatnonzero((langs == lang) & (halves == half)) for x in (BEFORE, texts[i])])
             keys = strings(data)
             starts = bounds[1::2] - ORDER
             mine = np.ones(len(keys) + ORDER, bool)
             mine[(starts[1:, None] - 1 - np.arange(ORDER)).ravel()] = False
             keys, n = np.unique(keys[mine[: len(keys)]], return_counts=True)
             out_lang += [lang] * len(keys)
+            out_half.append(np.full(len(keys), half, np.int64))
             out_key.append(keys.astype(np.int64))
             out_n.append(n)
-        return [pa.array(out_lang, pa.string()), np.concatenate(out_key), np.concatenate(out_n)]
+        return [pa.array(out_lang, pa.string()), *map(np.concatenate, (out_half, out_key, out_n))]
 
-    counted = stream(sample, step, [F.col("lang"), F.col("text")], "lang string, s long, n long").groupBy("lang", "s").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    counted = stream(sample, step, halved, "lang string, half long, s long, n long").groupBy("lang", "half", "s").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     languages = sorted(counted["lang"].unique().tolist())
     which = counted["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)
-    keys, n = counted["s"].to_numpy(np.int64).astype(np.uint32), counted["n"].to_numpy(np.int64)
+    half, keys, n = counted["half"].to_numpy(np.int64), counted["s"].to_numpy(np.int64).astype(np.uint32), counted["n"].to_numpy(np.int64)
+    trees = grown(languages, which, keys, n)
+    if not languages:
+        return trees
+    others = sample.sparkSession.sparkContext.broadcast([grown(languages, *(x[half != h] for x in (which, keys, n))) for h in (0, 1)])
+    place = {x: i for i, x in enumerate(languages)}
+
+    def coded(cols, state):
+        texts, langs, halves = text_bytes(cols[1]), np.array([place[x] for x in cols[0].to_pylist()], np.int64), cols[2].to_numpy()
+        bits = np.zeros(len(texts))
+        for h in (0, 1):
+            of = np.flatnonzero(halves == h)
+            bits[of] = local(others)[h].lengths([texts[i] for i in of])[np.arange(len(of)), langs[of]] / UNIT
+        return [langs, halves, np.array([len(x) for x in texts], np.int64), bits]
+
+    got = stream(sample, coded, halved, "lang long, half long, n long, bits double").toArrow()  # a row a document of the sample
+    lang, own, size, bits = (got[c].to_numpy() for c in ("lang", "half", "n", "bits"))
+    taught = np.array([[((which == i) & (half != h)).any() for h in (0, 1)] for i in range(len(languages))])
+    fit = (size > 0) & taught[lang, own]
+    trees.limits = ranges(len(languages), lang[fit], size[fit], bits[fit])
+    return trees
+
+
+def grown(languages: list[str], which: np.ndarray, keys: np.ndarray, n: np.ndarray) -> Trees:
+    """Trees of n strings each of ORDER + 1 bytes, by place of their language."""
     counts = {}
     for k in range(ORDER, -1, -1):
         tail = keys & np.uint32((1 << 8 * (k + 1)) - 1)
@@ -190,6 +250,19 @@ def learned(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", tra
     return Trees(languages, counts)
 
 
+def ranges(languages: int, lang: np.ndarray, size: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Trees.limits, from held-out documents' language, bytes and bits: the median, and the spread by the quartiles of
+    the longer half, which do not heed a few documents that are labelled wrongly."""
+    out = np.full((languages, 2), np.inf)
+    for i in range(languages):
+        of = lang == i
+        if of.sum() >= RANGE_DOCS:
+            n, rate = size[of], bits[of] / size[of]
+            low, middle, high = np.percentile(rate[n >= np.median(n)], [25, 50, 75])
+            out[i] = middle, max((high - low) / 1.349, LEAST_SPREAD * middle) ** 2
+    return out
+
+
 def identified(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row, from its whole text alone; und with score 0 for null texts and texts
     without a letter. Repeated rows get a row each."""
@@ -204,7 +277,8 @@ def identified(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col:
 
 
 def kept(docs: DataFrame, trees: Trees, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs, all their columns, whose language is told with a score of at least least."""
+    """The rows of docs, all their columns, whose language is told with a score of at least least and that
+    are coded about as well as that language's own documents."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):
@@ -213,8 +287,8 @@ def kept(docs: DataFrame, trees: Trees, text_col: str = "text", least: float = 0
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for few in sliced(batch):
-                said, score = local(shared).predicted(text_bytes(few.column(at).cast(pa.string())))
-                yield few.filter(pa.array((np.array(said) != "und") & (score >= least)))
+                said, score, own = local(shared).judged(text_bytes(few.column(at).cast(pa.string())))
+                yield few.filter(pa.array((np.array(said) != "und") & (score >= least) & own))
 
     bounded(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -208,6 +208,25 @@ def test_language_of_held_out_documents(spark):
     assert np.mean(got) > 0.98
 
 
+def test_language_keeps_only_what_is_taught(spark):
+    import base64
+
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    trees = language.learned(real.where(~held))
+    foreign = [
+        "Wczoraj wieczorem poszliśmy do kina, a potem długo rozmawialiśmy o filmie, który bardzo nam się podobał.",
+        "Ieri sera siamo andati al cinema e poi abbiamo parlato a lungo del film che ci era piaciuto molto.",
+        "Вчера вечером мы пошли в кино, а потом долго говорили о фильме.", "昨天晚上我们去看电影，然后谈了很久。", "xqzj kkvw zzqp wvxk jjqz pkzx qqvv",
+        base64.b64encode(bytes(R.choices(range(256), k=300))).decode(), "".join(R.choices("abcdefghijklmnopqrstuvwxyz ", k=3000)),
+    ]
+    rows = [(-1 - k, x * n) for k, x in enumerate(foreign) for n in (1, 20)]
+    both = real.where(held).select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("xx")))
+    kept = {r["lang"]: r["n"] for r in language.kept(both, trees).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    clean = {r["lang"]: r["n"] for r in real.where(held).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert kept == clean and len(clean) == 4
+
+
 def test_top_k(spark):
     r = np.random.default_rng(3)
     rows = [(i, r.normal(0, 0.4, 8).round(3).tolist()) for i in range(0, 330)]
