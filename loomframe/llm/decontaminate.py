@@ -226,11 +226,14 @@ def digest(counts, own, verdict, nothing, share) -> list:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
     """docs, all their columns, without the rows that contamination() marks. For one block of items each row is judged
-    where it is; for more, rows go by id, which documents of different text are taken not to share."""
+    where it is; for more, rows go by the SHA-256 of their text, so that ids may be null or repeat."""
     blocks, _ = item_blocks(benchmark, item_col, item_text_col, table_words)
     if len(blocks) > 1:
-        bad = contamination(docs, benchmark, size, share, id_col, text_col, item_col, item_text_col, table_words).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-        return docs.join(bad, F.col(id_col).eqNullSafe(F.col("bad_id")), "left_anti")
+        text = F.col(text_col).cast("string")
+        digest_ = F.sha2(text.cast("binary"), 256)  # null for a null text, which has no words and stays
+        texts = docs.select(digest_.alias("digest"), text.alias("text"))
+        bad = contamination(texts, benchmark, size, share, "digest", "text", item_col, item_text_col, table_words).where("contaminated").select(F.col("doc_id").alias("bad_digest")).distinct()
+        return docs.join(bad, digest_ == F.col("bad_digest"), "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(blocks[0])  # at most table_words words, or one item
 
     def run(batches):

@@ -122,6 +122,16 @@ def test_contamination(spark, docs, none, table_words):
     assert kept.count() == sum(not w[-1] for w in want) - (table_words == 20) * sum(not w[-1] and any(v[0] == w[0] and v[-1] for v in want) for w in want)
 
 
+@pytest.mark.parametrize("table_words", [decontaminate.TABLE_WORDS, 20])
+def test_decontaminated_judges_each_row_by_its_text(spark, table_words):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    bad = ITEMS[0][1] + " tail"
+    rows = [(None, bad), (None, "clean and nameless"), (None, None), (7, bad), (7, "clean with the same id"), (7, "clean with the same id"), (8, bad), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [r for r in rows if r[1] != bad]
+    assert listed(decontaminate.decontaminated(docs, items, table_words=table_words), "doc_id", "text") == sorted(want, key=str)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="no-sidebar">
 <header>Site</header><nav><ul><li><a href="/x">Menu</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <main><article><h1>A &amp; B</h1><p>First   one,
