@@ -27,8 +27,6 @@ NOTICES = (
 # Words too common to look up.
 COMMON = "a all and any are by can is it of or possible source the this to under use version with work you 0 2 4 v".split()
 
-#: Highest-IDF licence words of a document that are looked up.
-LOOKED_UP = 8
 #: Share of a notice's words that must stand in place.
 ALIKE = 0.7
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -60,10 +58,13 @@ def licence_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     First each licence word's document frequency is counted over all documents, which the IDFs come from. Then, for each
     document: places of licence words; for a phrase, the places of its highest-IDF word, less its offset, kept where the
-    whole phrase stands; for notices, the document's highest-IDF licence words are looked up in the postings of all
-    notices, the differences of positions give the places where a notice may begin, and each is verified.
+    whole phrase stands; for a notice, the places of its first mandatory phrase's highest-IDF word, less its offset, which
+    are all places where the notice may begin, and each is verified. A notice without a mandatory phrase may begin
+    wherever any of its words says.
     """
-    vocabulary = {w for t, *_ in (*phrases, *notices) for w in t.split()} - set(COMMON) | {min(t.split(), key=lambda w: (w in COMMON, -len(w))) for t, *_ in phrases}
+    leads = [m[0] if m else "" for *_, m in notices]
+    needed = [t for t, *_ in phrases] + [m for m in leads if m]
+    vocabulary = {w for t, *_ in (*phrases, *notices) for w in t.split()} - set(COMMON) | {min(t.split(), key=lambda w: (w in COMMON, -len(w))) for t in needed} | {w for (t, *_), m in zip(notices, leads) if not m for w in t.split()}
     split = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     present = split.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, sorted(vocabulary))))).alias("w"))
     frequency = {r["w"]: r["n"] for r in present.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a licence word
@@ -87,7 +88,7 @@ def licence_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def share_in_place(k: int, w: list[str], mandatory: tuple[str, ...]) -> Column:
         """The largest share of a notice's words in place, over the verified places where it may begin."""
         own = F.transform(F.filter("starts", lambda s: (s >= k * PLACES) & (s < (k + 1) * PLACES)), lambda s: s - (k * PLACES + SHIFT))
-        own = F.filter(own, lambda s: reduce(and_, (stands(s, m.split(), find(w, m.split())) for m in mandatory)))
+        own = F.filter(own, lambda s: reduce(and_, (stands(s, m.split(), find(w, m.split())) for m in mandatory), F.lit(True)))
         in_place = lambda s: reduce(add, (F.coalesce(F.when(s + o >= 0, F.get("words", (s + o).cast("int"))) == x, F.lit(False)).cast("int") for o, x in enumerate(w)))
         return F.coalesce(F.array_max(F.transform(own, lambda s: in_place(s) / F.lit(float(len(w))))), F.lit(0.0))
 
@@ -100,16 +101,19 @@ def licence_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     places = F.concat(*(F.col(f"base{k}") for k in range(len(base))))
     names = F.array(*(F.when(F.size(f"base{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(phrases)))
 
-    # postings: for each licence word, where it stands in each notice
+    # postings: for each word that is looked up, where it stands in each notice
     posted: dict[str, list[int]] = {}
-    for k, (t, *_) in enumerate(notices):
-        for o, w in enumerate(t.split()):
-            if w in place:
-                posted.setdefault(w, []).append(k * PLACES + SHIFT - o)
+    for k, ((t, *_), m) in enumerate(zip(notices, leads)):
+        w, part = t.split(), m.split()
+        if part:
+            anchor = min((x for x in part if x in place), key=place.get)
+            own = [(find(w, part) + part.index(anchor), anchor)]
+        else:
+            own = list(enumerate(w))
+        for o, x in own:
+            posted.setdefault(x, []).append(k * PLACES + SHIFT - o)
     postings = F.create_map(*(x for w, p in sorted(posted.items()) for x in (F.lit(w), F.array(*(F.lit(v).cast("long") for v in p)))))
-    best = F.slice(F.array_intersect(rarest, F.transform("hits", lambda x: x["w"])), 1, LOOKED_UP)
-    marked = marked.withColumn("best", best)
-    looked = F.filter("hits", lambda x: F.array_contains("best", x["w"]))
+    looked = F.filter("hits", lambda x: x["w"].isin(sorted(posted)))
     # notice * PLACES + SHIFT + where the notice would start in the document
     starts = F.flatten(F.transform(looked, lambda x: F.transform(F.coalesce(postings[x["w"]], F.array().cast("array<bigint>")), lambda p: p + x["i"])))
     marked = marked.withColumn("starts", F.array_distinct(starts))
@@ -126,7 +130,7 @@ def licence_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.array_max(places).alias("last_word"),
         joined(names).alias("base_labels"),
         joined(F.concat(names, more)).alias("labels"),
-        F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.greatest(*(F.col(f"share{k}") for k in range(len(notices))))).alias("score"),
+        F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), *(F.col(f"share{k}") for k in range(len(notices))))).alias("score"),
     )
 
 

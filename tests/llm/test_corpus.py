@@ -264,6 +264,20 @@ def test_licence_marks(docs, none):
     assert licenses.licence_marks(none).count() == 0
 
 
+def test_licence_marks_of_several_notices(spark):
+    """Each notice is found whatever rarer licence words the document holds."""
+    notices = dict((label, t) for t, label, _ in licenses.NOTICES)
+    granted = licenses.NOTICES[2][0]
+    apache = "Licensed under the Apache License, Version 2.0"
+    texts = [f"{granted}. {apache}", " -- ".join(t for t, *_ in licenses.NOTICES), f"{apache} and " + " ".join(w for w in granted.split() if len(w) > 3), f"words {notices['bsd']} more {notices['mpl-2.0']}"]
+    docs = spark.createDataFrame([*enumerate(texts), *((10 + i, apache) for i in range(30))], "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.licence_marks(docs).collect()}
+    assert got[0] == {"apache-2.0", "mit"} and got[1] >= {label for _, label, _ in licenses.NOTICES} and "apache-2.0" in got[2] and got[3] == {"bsd", "mpl-2.0"}
+    # a notice without a mandatory phrase is found by any of its words
+    free = (("you can use it and do with it as you please", "free", ()),)
+    assert {r["labels"] for r in licenses.licence_marks(spark.createDataFrame([(1, "So you can use it and do with this as you like")], "doc_id long, text string"), notices=free).collect()} == {"free"}
+
+
 def test_near_duplicates(docs, none):
     got = simhash.near_duplicates(docs)
     want = plain.components([(i, plain.fingerprint(t)) for i, t in DOCS])
