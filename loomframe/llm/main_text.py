@@ -22,6 +22,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search alert aler
 NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments disqus reply replies respond notice notices cookie cookies consent gdpr popup modal newsletter subscribe signup login share sharing social related recommended toolbar widget pagination pager".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 PARTS = frozenset("article main section div body td table ul ol dl blockquote".split())
+# Elements whose start ends an open one of their own kind; any of LINES ends an open paragraph.
+AGAIN = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6".split())
 
 #: Lines summed into one window.
 WINDOW = 3
@@ -32,6 +34,8 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HREF = re.compile(r"(?<![^\s\"'/])href(?![^\s=/])", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
 
@@ -63,7 +67,7 @@ def around(tag: str, attributes: str, inside_article: bool) -> bool:
 def lines_of(page: str) -> tuple[list[Line], dict[int, str]]:
     """The page's lines in order, with GAP empty lines for each stripped element, and the containers' tags by number."""
     lines, containers = [Line()], {}
-    stack: list[tuple[str, int, bool]] = []  # tag, number of a container or -1, whether it is around
+    stack: list[list] = []  # tag, number of a container or -1, whether it is around, whether it is an open link
     hidden = links = articles = 0
     path: tuple[int, ...] = ()
     at = 0
@@ -76,9 +80,9 @@ def lines_of(page: str) -> tuple[list[Line], dict[int, str]]:
 
     def close(entry) -> None:
         nonlocal hidden, links, articles, path
-        tag, number, off = entry
+        tag, number, off, link = entry
         hidden -= off
-        links -= tag == "a"
+        links -= link
         articles -= tag in ("article", "main")
         if number >= 0:
             path = path[:-1]
@@ -86,6 +90,13 @@ def lines_of(page: str) -> tuple[list[Line], dict[int, str]]:
         if off and not hidden:
             lines.extend(Line(within=path) for _ in range(GAP + 1))
 
+    def unlink(after: int) -> None:
+        """Ends the links that were opened after a place of the stack."""
+        nonlocal links
+        for entry in stack[after + 1 :]:
+            links -= entry[3]
+            entry[3] = False
+
     def write(text: str) -> None:
         if text and not hidden:
             if lines[-1].text or not text.isspace():
@@ -107,6 +118,9 @@ def lines_of(page: str) -> tuple[list[Line], dict[int, str]]:
                 while len(stack) > places[0]:
                     close(stack.pop())
         elif tag not in VOID and not m[4].endswith("/"):
+            if links:  # one that is not closed ends with its block, or where the next begins
+                ends = {tag} & AGAIN | {"p"} if tag in LINES else ()
+                unlink(-1 if tag == "a" else next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ends), len(stack)))
             off = around(tag, m[4], articles > 0)
             if off and not hidden:
                 fresh()
@@ -116,9 +130,10 @@ def lines_of(page: str) -> tuple[list[Line], dict[int, str]]:
                 containers[number] = tag
                 path = (*path, number)
             hidden += off
-            links += tag == "a"
+            link = tag == "a" and bool(HREF.search(QUOTED.sub('""', m[4])))
+            links += link
             articles += tag in ("article", "main")
-            stack.append((tag, number, off))
+            stack.append([tag, number, off, link])
         if tag in LINES and not hidden:
             fresh()
     write(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", page[at:]))  # without a tag that the page's end cut
@@ -131,12 +146,16 @@ def extracted(page: str) -> str:
     Lines weigh their text outside links. Sums over WINDOW lines surge where the text begins and dive where it ends: at
     the gaps that what stands around leaves, at markup without text, and at runs of links. The heaviest stretch between
     a surge and a dive names the container of the article: the innermost article or main element around it, else the
-    innermost container that holds at least half of all weight. All stretches in that container belong to it. Without
-    any weight the text is empty.
+    innermost container that holds at least half of all weight. All lines in that container belong to it, linked or not;
+    without a container, all stretches. Where article and main elements hold nothing but links, these weigh as text.
+    Without any weight the text is empty.
     """
     lines, containers = lines_of(page)
     texts = [x.joined() for x in lines]
     weight = np.array([max(0, len(t) - x.linked) for t, x in zip(texts, lines)], np.int64)
+    of_article = np.array([any(containers[n] in ("article", "main") for n in x.within) for x in lines], bool)
+    if not weight[of_article].sum():
+        weight[of_article] = [len(t) for t, own in zip(texts, of_article) if own]
     if not weight.sum():
         return ""
     sums = np.convolve(weight, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # the sum from each line on
@@ -148,15 +167,14 @@ def extracted(page: str) -> str:
     heaviest = lines[a + int(np.argmax(weight[a:b]))].within
     named = [n for n in heaviest if containers[n] in ("article", "main")]
     inner = named[-1] if named else next((n for n in reversed(heaviest) if 2 * sum(int(weight[i]) for i, x in enumerate(lines) if n in x.within) >= weight.sum()), None)
-    keep = []
-    for a, b in stretches:
-        keep += [i for i in range(a, b) if texts[i] and (inner is None or inner in lines[i].within)]
-    return "\n".join(texts[i] for i in sorted(set(keep)))
+    if inner is not None:
+        return "\n".join(t for t, x in zip(texts, lines) if t and inner in x.within)
+    return "\n".join(texts[i] for i in sorted({i for a, b in stretches for i in range(a, b) if texts[i]}))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row; a null or empty page, and one without text outside
-    links and surroundings, gives an empty text. Repeated rows get a row each, and nothing is shuffled."""
+    surroundings, or outside links if it has no article, gives an empty text. Repeated rows get a row each, and nothing is shuffled."""
     kind = pages.schema[id_col].dataType.simpleString()
 
     def step(cols, state):

@@ -151,6 +151,23 @@ def test_main_text(spark):
     assert main_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_main_text_keeps_links_of_the_article():
+    items = "".join(f"<li><a href='/{k}'>linked item {k}</a></li>" for k in range(1, 9))
+    names = [f"linked item {k}" for k in range(1, 9)]
+    nav = "<nav><a href='/'>Home</a></nav>"
+    assert main_text.extracted(f"{nav}<article><p>Before the list.</p><ul>{items}</ul><p>After the list.</p></article>").split("\n") == ["Before the list.", *names, "After the list."]
+    assert main_text.extracted(f"{nav}<article><p>Some text.</p><ol>{items}</ol></article>").split("\n") == ["Some text.", *names]
+    assert main_text.extracted(f"<body>{nav}<article>{items}</article><p>Imprint</p></body>").split("\n") == names
+    # anchors without href are no links, and open ones end with their block
+    plain_lines = [f"A plain line of text, number {k}." for k in range(6)]
+    weighed = lambda page: sum(max(0, len(x.joined()) - x.linked) for x in main_text.lines_of(page)[0])
+    full = sum(map(len, plain_lines))
+    assert weighed("<div><a name='top'>" + "".join(f"<p>{x}</p>" for x in plain_lines) + "</div>") == full
+    assert weighed("<div><p><a href='/x'>link" + "".join(f"<p>{x}" for x in plain_lines) + "</div>") == full
+    assert weighed("<p><a href='/x'>one <a href='/y'>two</a> and more text</p>") == len("  and more text")  # a space on each side of the second link
+    assert weighed("<a class='b' data-href='/x' title='a href=b'>text</a>") == 4 and weighed("<div><a class='c' href=/x><div>card</div></a></div>") == 0
+
+
 def test_main_text_of_all_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     html = {r["page_id"]: r["html"] for r in pages.collect()}
