@@ -36,6 +36,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 HREF = re.compile(r"(?<![^\s\"'/])href(?![^\s=/])", re.I)
+HEADING = re.compile("h[1-6]")
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
 
@@ -51,24 +52,52 @@ class Line:
         return " ".join(entities.unescape("".join(self.text)).split())
 
 
-def around(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element stands around the article."""
+def around(tag: str, attributes: str, inside_article: bool) -> str:
+    """How an element is known to stand around the article: by tag, role or name, or by id alone; empty if it is not.
+
+    Outside article and main one listed word in a class or id is enough. Inside, a class, or an id, has to be a listed name
+    as a whole, and header is none. Headings' ids come from their words and never count; sections' do as whole names.
+    """
     if tag in AROUND or (tag == "header" and not inside_article):
-        return True
+        return "tag"
     if tag in ("body", "html", "article", "main") or not attributes:
-        return False
+        return ""
+    found = ""
     for name, value in ATTRIBUTE.findall(attributes):
-        said = {w.lower() for w in WORD.findall(value)}
-        if said & (ROLES if name.lower() == "role" else NAMES):
-            return True
-    return False
+        name, whole = name.lower(), {w.lower() for w in value.strip("\"'").split()}
+        if name == "role":
+            if whole & ROLES:
+                return "role"
+        elif name == "id" and HEADING.fullmatch(tag):
+            continue
+        elif inside_article or (name == "id" and tag == "section"):
+            if whole & (NAMES - {"header"} if inside_article else NAMES):
+                found = found if name == "id" and found else name
+        elif {w.lower() for w in WORD.findall(value)} & NAMES:
+            return name
+    return found
 
 
 def lines_of(page: str) -> tuple[list[Line], dict[int, str]]:
-    """The page's lines in order, with GAP empty lines for each stripped element, and the containers' tags by number."""
+    """The page's lines in order, with GAP empty lines for each stripped element, and the containers' tags by number.
+    A section of an article that only its id strips stays if it holds most of the article's text."""
+    lines, containers, doubts = scanned(page, frozenset())
+    if doubts:
+        shown = sum(len(x.joined()) for x in lines if any(containers[n] in ("article", "main") for n in x.within))
+        most = frozenset(n for n, size in doubts.items() if 2 * size > shown + sum(doubts.values()))
+        if most:
+            lines, containers, _ = scanned(page, most)
+    return lines, containers
+
+
+def scanned(page: str, spared: frozenset[int]) -> tuple[list[Line], dict[int, str], dict[int, int]]:
+    """lines_of() without the sections of the numbers given being stripped, and the text that each other section which
+    only its id strips inside an article has."""
     lines, containers = [Line()], {}
     stack: list[list] = []  # tag, number of a container or -1, whether it is around, whether it is an open link
     hidden = links = articles = 0
+    doubts: dict[int, int] = {}
+    doubt = -1  # the section that all that is hidden now is in
     path: tuple[int, ...] = ()
     at = 0
 
@@ -79,11 +108,13 @@ def lines_of(page: str) -> tuple[list[Line], dict[int, str]]:
             lines[-1].within = path
 
     def close(entry) -> None:
-        nonlocal hidden, links, articles, path
+        nonlocal hidden, links, articles, path, doubt
         tag, number, off, link = entry
         hidden -= off
         links -= link
         articles -= tag in ("article", "main")
+        if number >= 0 and number == doubt:
+            doubt = -1
         if number >= 0:
             path = path[:-1]
             fresh()
@@ -98,6 +129,8 @@ def lines_of(page: str) -> tuple[list[Line], dict[int, str]]:
             entry[3] = False
 
     def write(text: str) -> None:
+        if hidden == 1 and doubt >= 0:
+            doubts[doubt] += len(text.strip())
         if text and not hidden:
             if lines[-1].text or not text.isspace():
                 if not lines[-1].text:
@@ -121,7 +154,9 @@ def lines_of(page: str) -> tuple[list[Line], dict[int, str]]:
             if links:  # one that is not closed ends with its block, or where the next begins
                 ends = {tag} & AGAIN | {"p"} if tag in LINES else ()
                 unlink(-1 if tag == "a" else next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ends), len(stack)))
-            off = around(tag, m[4], articles > 0)
+            how = around(tag, m[4], articles > 0)
+            unsure = articles > 0 and tag == "section" and how == "id"
+            off = bool(how) and not (unsure and len(containers) in spared)
             if off and not hidden:
                 fresh()
             number = -1
@@ -129,6 +164,9 @@ def lines_of(page: str) -> tuple[list[Line], dict[int, str]]:
                 number = len(containers)
                 containers[number] = tag
                 path = (*path, number)
+                if unsure and off and not hidden:
+                    doubt = number
+                    doubts[number] = 0
             hidden += off
             link = tag == "a" and bool(HREF.search(QUOTED.sub('""', m[4])))
             links += link
@@ -137,7 +175,7 @@ def lines_of(page: str) -> tuple[list[Line], dict[int, str]]:
         if tag in LINES and not hidden:
             fresh()
     write(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", page[at:]))  # without a tag that the page's end cut
-    return lines, containers
+    return lines, containers, doubts
 
 
 def extracted(page: str) -> str:

@@ -168,6 +168,24 @@ def test_main_text_keeps_links_of_the_article():
     assert weighed("<a class='b' data-href='/x' title='a href=b'>text</a>") == 4 and weighed("<div><a class='c' href=/x><div>card</div></a></div>") == 0
 
 
+def test_main_text_strips_whole_names_inside_the_article():
+    parts = [
+        "<section id='side-effects'><h2>Side effects</h2><p>Some may feel dizzy.</p></section>", "<section id='related-work'><h2>Related work</h2><p>Others did this.</p></section>",
+        "<h2 id='notice-period'>Notice period</h2><p>It is a month.</p>", "<h3 id='notice'>Notice</h3>", "<div class='article-header'><h1>The title</h1></div>", "<div class='entry header'><h1>Another title</h1></div>",
+    ]
+    text = lambda x: [y for y in (" ".join(t.split()) for t in __import__("re").split("<[^>]*>", x)) if y]
+    body = "<p>The article says this, and it says it at some length.</p>"
+    for part in parts:
+        for tag in ("article", "main"):
+            assert main_text.extracted(f"<{tag}>{part}{body}</{tag}>").split("\n") == text(part + body), part
+    for part in ("<div class='x ad'>Buy</div>", "<section id='comments'>I like it</section>", "<div role='navigation'>Next</div>", "<section class='related'>More</section>", "<nav id='x'>Up</nav>", "<div id='share'>Share</div>"):
+        assert main_text.extracted(f"<article>{body}{part}</article>").split("\n") == text(body), part
+    # most of an article is not stripped by an id
+    assert main_text.extracted(f"<article><h1>T</h1><section id='notice'>{body}{body}</section><section id='share'>Share</section></article>").split("\n") == ["T", *text(body), *text(body)]
+    # outside an article, too, headings' ids are words of their text
+    assert main_text.extracted(f"<body><div><h2 id='notice-period'>Notice period</h2>{body}</div></body>").split("\n") == ["Notice period", *text(body)]
+
+
 def test_main_text_of_all_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     html = {r["page_id"]: r["html"] for r in pages.collect()}
