@@ -184,16 +184,21 @@ def strings(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def learned(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", training_docs: int = TRAINING_DOCS) -> Trees:
-    """Trees of the rows given that have text and language: about training_docs of them, by a hash of the text.
+def learned(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", training_docs: int = TRAINING_DOCS, id_col: str = "doc_id") -> Trees:
+    """Trees of the rows given that have text and language: about training_docs of them, by a hash of id and
+    text. Each language gives all its rows or an equal number, so that none is left out because others have more.
 
     Strings are counted on the executors, over whole texts; the driver gets the distinct ones of the sample. The ranges
     of code lengths come from the sample too: each document is coded with the trees of the half that it is not in. All
     copies of a text are in one half.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    share = min(1.0, training_docs / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id"))
+    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    most = quota(list(rows.values()), training_docs)
+    sample = known
+    if crowded := {x: n for x, n in rows.items() if n > most}:
+        least = F.create_map(*(F.lit(v) for x, n in sorted(crowded.items()) for v in (x, int(most / n * (1 << 30)))))
+        sample = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.coalesce(least[F.col("lang")], F.lit(1 << 30)))
     halved = [F.col("lang"), F.col("text"), F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2)).alias("half")]
 
     def step(cols, state):
@@ -238,6 +243,16 @@ def learned(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", tra
     return trees
 
 
+def quota(rows: list[int], total: int) -> float:
+    """The largest number that each of the groups may give at most, for total rows in all; one at least."""
+    rows, rest = sorted(rows), total
+    for i, n in enumerate(rows):
+        if n * (len(rows) - i) > rest:
+            return max(1.0, rest / (len(rows) - i))
+        rest -= n
+    return float(max(rows, default=1))
+
+
 def grown(languages: list[str], which: np.ndarray, keys: np.ndarray, n: np.ndarray) -> Trees:
     """Trees of n strings each of ORDER + 1 bytes, by place of their language."""
     counts = {}

@@ -244,6 +244,20 @@ def test_language(spark, docs, none):
     assert language.kept(docs, trees).columns == docs.columns
 
 
+def test_language_sample_holds_each_language(spark, monkeypatch):
+    assert language.quota([100, 3, 50], 63) == 30 and language.quota([5, 5], 100) == 5 and language.quota([], 9) == 1 and language.quota([9, 9, 9], 2) == 1
+    hot, rare = "the same english words again", ["drei seltene deutsche Texte", "noch ein deutscher Text", "und der letzte"]
+    rows = [(i, hot if i % 2 else f"english words number {i}", "en") for i in range(3000)] + [(9000 + i, t, "de") for i, t in enumerate(rare)]
+    seen, grown = [], language.grown
+    monkeypatch.setattr(language, "grown", lambda languages, which, keys, n: seen.append((languages, which, keys, n)) or grown(languages, which, keys, n))
+    language.learned(spark.createDataFrame(rows, "doc_id long, text string, lang string"), training_docs=203)
+    languages, which, keys, n = seen[0]  # the first is of the whole sample
+    assert languages == ["de", "en"]
+    begin = keys >> 8 == int.from_bytes(language.BEFORE, "big")  # a string a document
+    by = {x: int(n[begin & (which == i)].sum()) for i, x in enumerate(languages)}
+    assert by["de"] == 3 and 120 < by["en"] < 290  # the rare language whole, copies of one text in and out by their ids
+
+
 def test_language_of_held_out_documents(spark):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
