@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -27,6 +27,8 @@ BATCH_ROWS = 500
 CACHE_ENTRIES = 1_200_000
 #: The cache's hash table has 2**TABLE_BITS places, 12 bytes each.
 TABLE_BITS = 21
+#: Bytes of text that are encoded in one go, and of the longest chunk that is looked up.
+WINDOW, LONGEST = 2 * STEP_BYTES, 256
 
 #: ASCII bytes that are not in a word [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ become spaces, once A-Z are lower case.
 WORD_TABLE = bytes(
@@ -35,12 +37,31 @@ WORD_TABLE = bytes(
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors all see: under spark.checkpoint.dir, which is set here only if unset."""
+    """A new folder that driver and executors all see, under spark.checkpoint.dir; deleted when the driver ends. Only a
+    session on one machine may leave the setting out: then it is set here."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def clear() -> None:
+    """Deletes all folders that were made; results that still read from them are lost."""
+    while _made:
+        spark, path = _made.pop()
+        with contextlib.suppress(Exception):  # the session may have ended: what is left there is the cluster's to clear
+            remove(spark, path)
+
+
+atexit.register(clear)
 
 
 def ship(spark: SparkSession) -> None:
@@ -81,11 +102,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomframe_path = path
+    return out
+
+
+def drop(*written_dfs: DataFrame) -> None:
+    """Deletes the folders of what written() returned and nothing reads any more."""
+    for df in written_dfs:
+        if path := getattr(df, "_loomframe_path", None):
+            remove(df.sparkSession, path)
+            _made[:] = [x for x in _made if x[1] != path]
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that written() or an operator made, by the file system that holds it."""
+    """Deletes a folder, by the file system that holds it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -155,9 +186,12 @@ class Encoder:
     A text is cut before a space or newline that follows a character other than white space, and before one of
     ,.;:!? that follows an ASCII letter. Pre-tokenizers that never join across such places (the two BPE files used
     here: no pre-token spans a cut, the normalizers act within a chunk, added tokens hold no white space or such
-    punctuation) give the same ids chunk by chunk. Chunks are told apart by a 64-bit polynomial hash with random
-    coefficients and their length. Cut places are only where the rule certainly holds: a character that could be
-    white space outside ASCII suppresses the cut.
+    punctuation) give the same ids chunk by chunk. Cut places are only where the rule certainly holds: a character that
+    could be white space outside ASCII suppresses the cut.
+
+    Chunks are looked up by a 64-bit hash, and every chunk is then compared byte by byte with the one whose ids it is to
+    get; one that only has the same hash goes to the library, as do chunks over LONGEST bytes. Texts are read in windows
+    of WINDOW bytes, so a very long text takes little more than its bytes and ids.
     """
 
     _open: dict[str, Encoder] = {}
@@ -167,17 +201,13 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core
         self.lib = Tokenizer.from_file(path)
-        rng = np.random.default_rng(20240229)
-        self.codes = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = 0x9E3779B97F4A7C15 | 1
-        self.powers = np.ones(1, np.uint64)
-        self.inverse = np.ones(1, np.uint64)
+        self.codes = np.random.default_rng(20240229).integers(0, 1 << 64, LONGEST * 256, np.uint64)
         self.table = np.zeros(1 << TABLE_BITS, np.uint64)
         self.entry = np.zeros(1 << TABLE_BITS, np.int32)
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.at = np.zeros(1 << 12, np.int64)
-        self.length = np.zeros(1 << 12, np.int32)
-        self.kept = self.used = self.stored = 0
+        self.ids, self.text = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint8)
+        # of each entry: where its ids and its text begin, and the number of its ids
+        self.at, self.text_at, self.length = np.zeros(1 << 12, np.int64), np.zeros((1 << 12) + 1, np.int64), np.zeros(1 << 12, np.int32)
+        self.kept = self.used = 0
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -186,14 +216,6 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _powers(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = 1 << int(n - 1).bit_length()
-            for name, base in (("powers", self.base), ("inverse", pow(self.base, -1, 1 << 64))):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Entry of each hash, or -1; linear probing of all at once."""
         out = np.full(len(hashes), -1, np.int64)
@@ -216,63 +238,127 @@ class Encoder:
             self.entry[at[won]] = entries[rest[won]]
             rest, at = rest[~won], (at[~won] + 1) & ((1 << TABLE_BITS) - 1)
 
-    def _add(self, got: list[list[int]]) -> np.ndarray:
-        """New entries for lists of ids."""
+    def _library(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+        """Ids of chunks of the data."""
+        whole = data.tobytes() if len(starts) > 8 else None
+        parts = (whole[a:b] if whole is not None else data[a:b].tobytes() for a, b in zip(starts.tolist(), (starts + sizes).tolist()))
+        return [x.ids for x in self.lib.encode_batch_fast([x.decode("utf-8", "replace") for x in parts], add_special_tokens=False)]
+
+    def _add(self, got: list[list[int]], data: np.ndarray, starts: np.ndarray, chunk_sizes: np.ndarray) -> np.ndarray:
+        """New entries for chunks of the data and their lists of ids."""
         sizes = np.array([len(x) for x in got], np.int64)
-        while self.used + int(sizes.sum()) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) // 2, np.int32)])
-        while self.kept + len(got) > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros(len(self.at) // 2, np.int64)])
-            self.length = np.concatenate([self.length, np.zeros(len(self.length) // 2, np.int32)])
+        total, texts = int(sizes.sum()), int(chunk_sizes.sum())
+        end = int(self.text_at[self.kept])
+        self.ids, self.text = grown(self.ids, self.used + total), grown(self.text, end + texts)
+        self.at, self.length, self.text_at = grown(self.at, self.kept + len(got)), grown(self.length, self.kept + len(got)), grown(self.text_at, self.kept + len(got) + 1)
         new = np.arange(self.kept, self.kept + len(got))
         self.length[new] = sizes
         self.at[new] = self.used + np.cumsum(sizes) - sizes
-        self.ids[self.used : self.used + int(sizes.sum())] = [x for y in got for x in y]
-        self.used += int(sizes.sum())
+        self.text_at[new + 1] = end + np.cumsum(chunk_sizes)
+        self.ids[self.used : self.used + total] = [x for y in got for x in y]
+        self.text[end : end + texts] = data[gathered(starts, chunk_sizes)]
+        self.used += total
         self.kept += len(got)
         return new
 
     def encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other (int32), and where each text's begin, with their number last."""
+        data, bounds = flat(parts)
+        n, at, done, width = len(data), 0, 0, WINDOW
+        begin, out = np.zeros(len(parts) + 1, np.int64), []
+        while at < n:
+            stop = min(n, at + width)
+            inside = slice(*np.searchsorted(bounds, [at, stop]).tolist())
+            starts = cuts(data, bounds[inside], at, stop)
+            if stop < n:
+                if len(starts) == 1:  # no cut in a whole window
+                    width *= 2
+                    continue
+                stop, starts = int(starts[-1]) + at, starts[:-1]  # the last chunk may go on
+                inside = slice(inside.start, int(np.searchsorted(bounds, stop)))
+            ids, ends = self._chunks(data[at:stop], starts)
+            begin[inside] = done + ends[np.searchsorted(starts, bounds[inside] - at)]
+            out.append(ids)
+            at, done, width = stop, done + int(ends[-1]), WINDOW
+        begin[np.searchsorted(bounds, n) :] = done  # empty texts at the end, and the number of all
+        return np.concatenate(out) if out else np.zeros(0, np.int32), begin
+
+    def _chunks(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks of the data (one from each start), and where each chunk's begin, with their number last."""
         import pandas as pd
 
-        data, bounds = flat(parts)
-        n = len(data)
-        if not n:
-            return np.zeros(0, np.int32), np.zeros(len(parts) + 1, np.int64)
-        cut = np.zeros(n, bool)
-        kind = KIND[data]
-        cut[1:] = ((kind[1:] == 2) & (kind[:-1] & 1 == 1)) | ((kind[1:] == 5) & (kind[:-1] == 3))
-        far = np.flatnonzero(cut & np.concatenate([[False], data[:-1] >= 0x80]))
-        if len(far):
-            lead2, lead3 = data[np.maximum(far - 2, 0)], data[np.maximum(far - 3, 0)]
-            cut[far[(lead2 == 0xC2) | ((lead3 >= 0xE1) & (lead3 <= 0xE3))]] = False
-        full = np.flatnonzero(np.diff(bounds))
-        cut[bounds[full]] = True
-        starts = np.flatnonzero(cut)
-        sizes = np.diff(starts, append=n)
-        self._powers(n)
-        hashes = np.add.reduceat(self.codes[data] * self.powers[:n], starts) * self.inverse[starts]
-        hashes = ((hashes ^ (hashes >> np.uint64(29))) + sizes.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
+        sizes = np.diff(starts, append=len(data))
+        place = np.arange(len(data), dtype=np.int32) - np.repeat(starts, sizes).astype(np.int32)  # in its chunk
+        code = self.codes[np.minimum(place, LONGEST - 1) * np.int32(256) + data]
+        hashes = (np.add.reduceat(code, starts) + sizes.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
+        del code
         codes, uniques = pd.factorize(hashes)
         first = np.empty(len(uniques), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
+        # chunks that are not, byte by byte, the first one of their hash go to the library by themselves
+        loose = (sizes != sizes[first[codes]]) | (sizes > LONGEST)
+        back = np.repeat((starts - starts[first[codes]]).astype(np.int32), sizes)
+        if loose.any():
+            back[np.repeat(loose, sizes)] = 0
+        there = np.arange(len(data), dtype=np.int32) - back
+        if len(bad := np.flatnonzero(data[there] != data)):
+            loose[np.searchsorted(starts, bad, "right") - 1] = True
+        fit = ~loose[first]  # of a loose first chunk all others of equal size were compared with it
         entry = self._find(uniques)
-        if len(new := np.flatnonzero(entry < 0)):
-            whole, of = data.tobytes(), first[new]
-            texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(starts[of].tolist(), (starts[of] + sizes[of]).tolist())]
-            entry[new] = self._add([x.ids for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)])
-            if self.stored + len(new) <= CACHE_ENTRIES:
+        held = np.flatnonzero((entry >= 0) & fit)
+        wrong = self._differ(entry[held], data, starts[first[held]], sizes[first[held]])
+        fit[held[wrong]] = False
+        before = self.kept, self.used
+        if len(new := np.flatnonzero((entry < 0) & fit)):
+            of = first[new]
+            entry[new] = self._add(self._library(data, starts[of], sizes[of]), data, starts[of], sizes[of])
+            if self.kept <= CACHE_ENTRIES:
                 self._keep(uniques[new], entry[new])
-                self.stored = self.kept
+                before = self.kept, self.used
         entry = entry[codes]
+        loose |= ~fit[codes]
+        if len(odd := np.flatnonzero(loose)):
+            entry[odd] = self._add(self._library(data, starts[odd], sizes[odd]), data, starts[odd], sizes[odd])
         lengths = self.length[entry].astype(np.int64)
         ids = self.ids[gathered(self.at[entry], lengths)]
-        if self.kept > self.stored:  # entries of this step alone
-            self.kept = self.stored
-            self.used = int(self.at[self.kept])
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, ends[np.searchsorted(starts, bounds)]
+        if (self.kept, self.used) != before:  # entries of this step alone
+            self.kept, self.used = before
+            if odd.size and int(sizes[odd].max()) > LONGEST:
+                self.ids, self.text = self.ids[: max(1 << 16, 2 * self.used)].copy(), self.text[: max(1 << 16, 2 * int(self.text_at[self.kept]))].copy()
+        return ids, np.concatenate([[0], np.cumsum(lengths)])
+
+    def _differ(self, entry: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether the text of each entry is another than the chunk of the data."""
+        out = self.text_at[entry + 1] - self.text_at[entry] != sizes
+        same = np.flatnonzero(~out)
+        if len(same):
+            begin = np.cumsum(sizes[same]) - sizes[same]
+            apart = self.text[gathered(self.text_at[entry[same]], sizes[same])] != data[gathered(starts[same], sizes[same])]
+            out[same] = np.add.reduceat(apart, begin, dtype=np.int64) > 0
+        return out
+
+
+def grown(a: np.ndarray, n: int) -> np.ndarray:
+    """The array, longer by half until it holds n."""
+    size = len(a)
+    while size < n:
+        size += size // 2
+    return a if size == len(a) else np.concatenate([a, np.zeros(size - len(a), a.dtype)])
+
+
+def cuts(data: np.ndarray, bounds: np.ndarray, at: int, stop: int) -> np.ndarray:
+    """Where chunks begin in data[at:stop], counted from at: at itself, the bounds of texts, and safe places between."""
+    own = data[at:stop]
+    kind = KIND[own]
+    cut = np.zeros(len(own), bool)
+    cut[1:] = ((kind[1:] == 2) & (kind[:-1] & 1 == 1)) | ((kind[1:] == 5) & (kind[:-1] == 3))
+    far = np.flatnonzero(cut & np.concatenate([[False], own[:-1] >= 0x80])) + at
+    if len(far):
+        lead2, lead3 = data[np.maximum(far - 2, 0)], data[np.maximum(far - 3, 0)]
+        cut[far[(lead2 == 0xC2) | ((lead3 >= 0xE1) & (lead3 <= 0xE3))] - at] = False
+    cut[0] = True
+    cut[bounds[bounds < stop] - at] = True
+    return np.flatnonzero(cut)
 
 
 #: By byte: 2 a space or newline; 3 an ASCII letter; 5 punctuation to cut before; 1 other visible or non-ASCII; 0 the rest.
@@ -294,5 +380,3 @@ def tokenizer_path(name: str) -> str:
 def crc(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").data)
-
-

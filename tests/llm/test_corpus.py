@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute_force as plain
-from loomframe.llm import decontaminate, exact_topk, language, licenses, main_text, packing, quality, simhash, token_files, token_histogram
+from loomframe.llm import common, decontaminate, exact_topk, language, licenses, main_text, packing, quality, simhash, token_files, token_histogram
 from loomframe.llm.common import Encoder, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -55,6 +55,25 @@ def test_encoder_is_the_library(name):
         assert ids[ends[k] : ends[k + 1]].tolist() == plain.encode(name, t, []), t
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_compares_chunks(name, monkeypatch):
+    """Chunks of one hash keep their own ids, and windows of any size give the same."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a  # equal under polynomial hashes modulo 2**64, whatever the base
+    texts = [a, b, a + " " + b, "x" * 300, "y" * 300 + " " + "x" * 300, "", *(t or "" for t in TEXTS[:20]), a, ""]
+    for window in (common.WINDOW, 50, 3):
+        for same in (False, True):
+            monkeypatch.setattr(common, "WINDOW", window)
+            encoder = Encoder(tokenizer_path(name))
+            if same:
+                encoder.codes[:] = 0  # chunks of one length all have one hash
+            for _ in range(2):
+                ids, ends = encoder.encode([t.encode() for t in texts])
+                for k, t in enumerate(texts):
+                    assert ids[ends[k] : ends[k + 1]].tolist() == plain.encode(name, t, []), t
+
+
 def test_length_histogram(docs, none):
     lengths = [len(plain.encode("byte_bpe_50k.json", t, [])) for _, t in DOCS]
     want = [(n, lengths.count(n), sum(x >= n for x in lengths), sum(x for x in lengths if x >= n), sum(min(x, n) for x in lengths)) for n in sorted(set(lengths))]
