@@ -202,16 +202,20 @@ def fits(found: str, wanted: str | None) -> bool:
 def _verify(ds: Reader, contract: Contract, output: bool, overwrite: bool) -> None:
     base = ds.base if isinstance(ds, Contracted) else ds
     when = "after" if output else "before"
-    for key, e in (*contract.axes.items(), *contract.data.items()):
-        axis = key in contract.axes and not isinstance(key, tuple) and contract.axes.get(key) is e
-        found = ("axis" if base.has_axis(key) else None) if axis else _found(ds, key)
+    found = [(key, e, "axis" if base.has_axis(key) else None) for key, e in contract.axes.items()]
+    found += [(key, e, _found(ds, key)) for key, e in contract.data.items()]
+    # what is missing hides what is there already, that what is of another type, and that what is not used
+    for key, e, kind in found:
         must = e.expectation == RequiredInput or (output and e.expectation in (CreatedOutput, GuaranteedOutput))
-        if must and found is None:
+        if must and kind is None:
             raise ContractError(f"missing {key} ({e.expectation}) {when} the computation: {contract.name}")
-        if not output and e.expectation == CreatedOutput and found is not None and not overwrite:
+    for key, e, kind in found:
+        if not output and e.expectation == CreatedOutput and kind is not None and not overwrite:
             raise ContractError(f"existing {key} ({e.expectation}) before the computation: {contract.name}")
-        if found not in (None, "axis") and not fits(found, e.type) and (output or e.expectation in INPUTS):
-            raise ContractError(f"{key} is {found}, not {e.type}, {when} the computation: {contract.name}")
+    for key, e, kind in found:
+        if kind not in (None, "axis") and not fits(kind, e.type) and (output or e.expectation in INPUTS):
+            raise ContractError(f"{key} is {kind}, not {e.type}, {when} the computation: {contract.name}")
+    for key, e, _ in found:
         if output and isinstance(ds, Contracted) and e.expectation == RequiredInput and key not in ds.used:
             raise ContractError(f"unused {key} ({e.expectation}) of the computation: {contract.name}")
 
