@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -47,6 +48,11 @@ def inefficient(message: str) -> None:
     HANDLERS[settings.inefficient](message)
 
 
+def identity(ds) -> str:
+    """A name of the data set that no other ever has."""
+    return ds.__dict__.setdefault("_identity", uuid.uuid4().hex)
+
+
 def keep(ds, query):
     """The query's result, persisted in memory and on disk under the versions of everything in ds; older ones go first.
     Data sets without versions are not kept."""
@@ -55,7 +61,7 @@ def keep(ds, query):
     versions = getattr(ds, "versions", None)
     if versions is None:
         return ds.query(query)
-    key = (id(ds), canonical_query(nodes_of(query)), tuple(sorted(versions.items(), key=str)))
+    key = (identity(ds), canonical_query(nodes_of(query)), tuple(sorted(versions.items(), key=str)))
     if key not in settings.kept:
         while len(settings.kept) >= settings.kept_queries:
             settings.kept.pop(next(iter(settings.kept))).df.unpersist()
@@ -67,7 +73,7 @@ def keep(ds, query):
 
 def empty_cache(clear: Iterable | None = None) -> None:
     """Lets go of kept results: all, or those of the data sets given."""
-    ids = None if clear is None else {id(d) for d in clear}
+    ids = None if clear is None else {identity(d) for d in clear}
     for key in [k for k in settings.kept if ids is None or k[0] in ids]:
         settings.kept.pop(key).df.unpersist()
 

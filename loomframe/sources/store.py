@@ -36,7 +36,7 @@ class Store:
             stream.close()
 
     def write(self, path: str, text: str) -> None:
-        """Whole or not at all: written beside, then renamed."""
+        """Whole or not at all: written beside, then put in its place in one step."""
         fs, p = self._at(path)
         _, beside = self._at(f"{path}.{uuid.uuid4().hex}")
         stream = fs.create(beside, True)
@@ -44,9 +44,11 @@ class Store:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(beside, p)
+        options = self.jvm.org.apache.hadoop.fs.Options
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf)
+        how = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+        how[0] = getattr(options, "Rename").OVERWRITE
+        context.rename(fs.makeQualified(beside), fs.makeQualified(p), how)
 
     def stream(self, path: str, parts) -> None:
         """A file of parts of bytes, one after the other."""
