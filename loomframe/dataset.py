@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.columns import guarded, model_type
+from .plans.nodes import nodes_of
 
 BAD_IN_NAMES = set('/\\:,\n\r\t\0')
 VIRTUAL = ("name", "index")
@@ -93,11 +94,20 @@ class Reader:
             memo[axis] = (frame, frame.select("pos").count())
         return memo[axis][1]
 
+    def places(self, axis: str) -> DataFrame:
+        """entry and __place: each entry's number from 0 in the axis's order, without gaps, which pos may have."""
+        frame, memo = self.axis_frame(axis), self.__dict__.setdefault("_places", {})
+        if memo.get(axis, (None,))[0] is not frame:
+            known = frame.agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("a"), F.max("pos").alias("b")).first()
+            gapless = not known["n"] or (known["a"], known["b"]) == (0, known["n"] - 1)
+            memo[axis] = (frame, frame.select("entry", F.col("pos").alias("__place")) if gapless else placed(frame))
+        return memo[axis][1]
+
     def axis_entries(self, axis: str, indices: Sequence[int] | None = None) -> list[str]:
         """Entries in order (or those at 1-based indices); for axes that fit the driver."""
         frame = self.axis_frame(axis)
         if indices is not None:
-            rows = {r["pos"] + 1: r["entry"] for r in frame.where(F.col("pos").isin([i - 1 for i in indices if i])).select("entry", "pos").collect()}
+            rows = {r["__place"] + 1: r["entry"] for r in self.places(axis).where(F.col("__place").isin([i - 1 for i in indices if i])).collect()}
             return ["" if not i else rows[i] for i in indices]
         return [r["entry"] for r in frame.select("entry", "pos").orderBy("pos").collect()]
 
@@ -105,7 +115,7 @@ class Reader:
 
     def axis_indices(self, axis: str, entries: Sequence[str], allow_empty: bool = False, allow_missing: bool = False) -> list[int]:
         """1-based places of entries; 0 for an empty or missing one where that is allowed."""
-        known = {r["entry"]: r["pos"] + 1 for r in self.axis_frame(axis).where(F.col("entry").isin(list(set(entries)))).select("entry", "pos").collect()}
+        known = {r["entry"]: r["__place"] + 1 for r in self.places(axis).where(F.col("entry").isin(list(set(entries)))).collect()}
         out = []
         for e in entries:
             if e in known:
@@ -127,13 +137,19 @@ class Reader:
         return sorted(c[2:] for c in self.axis_frame(axis).columns if c.startswith("v_"))
 
     def vector_column(self, axis: str, name: str) -> Column:
-        return F.col("entry") if name == "name" else (F.col("pos") + 1).cast("int") if name == "index" else q(vc(name))
+        """The column of with_vector()'s frame that holds a vector."""
+        return F.col("entry") if name == "name" else (F.col("__place") + 1).cast("bigint") if name == "index" else q(vc(name))
+
+    def with_vector(self, axis: str, name: str, frame: DataFrame | None = None) -> DataFrame:
+        """The axis's frame, or what is left of it, with all that vector_column() reads."""
+        frame = self.axis_frame(axis) if frame is None else frame
+        return frame.join(self.places(axis), "entry") if name == "index" and "__place" not in frame.columns else frame
 
     def get_vector(self, axis: str, name: str, *default) -> DataFrame:
         """entry, pos, value; a default is a value for all entries, or a sequence in axis order."""
         frame = self.axis_frame(axis)
         if self.has_vector(axis, name):
-            return frame.select("entry", "pos", self.vector_column(axis, name).alias("value"))
+            return self.with_vector(axis, name, frame).select("entry", "pos", self.vector_column(axis, name).alias("value"))
         if not default:
             raise KeyError(f"missing vector: {name} of the axis: {axis} in the data set: {self.name}")
         if isinstance(default[0], (list, tuple)):
@@ -186,10 +202,11 @@ class Reader:
     get_query = __getitem__ = query
 
     def has_query(self, query) -> bool:
-        """Whether the query can be answered: it fits the data set, and its first row can be computed."""
+        """Whether the query has an answer that is not empty: it fits the data set, and its first row can be computed."""
+        nodes_of(query)  # text that is no query is an error
         try:
             result = self.query(query)
-            return len(result.df.limit(1).collect()) >= 0
+            return len((result.df if result.kind != "matrix" else result.dense()).limit(1).collect()) > 0
         except Exception:  # noqa: BLE001  any failure means that it can't
             return False
 
@@ -427,6 +444,11 @@ def numbered(df: DataFrame, order: str = "entry") -> DataFrame:
     return parted.withColumn("__place", place).join(base, "__part").withColumn("pos", (F.col("__base") + F.col("__place")).cast("bigint")).drop("__part", "__place", "__base")
 
 
+def placed(frame: DataFrame, order: str = "pos") -> DataFrame:
+    """entry and __place, numbered from 0 in the order of a column of distinct values."""
+    return numbered(frame.select("entry", q(order).alias("__order")), "__order").select("entry", F.col("pos").alias("__place"))
+
+
 class ReadOnly(Reader):
     """A data set that refuses changes."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,12 +47,13 @@ class Reduction:
     def in_order(self) -> bool:
         return self.name == "Mode"
 
-    def reduced(self, df: DataFrame, keys: list[str], value: str = "value", pos: str = "pos", total: Column | None = None, background=None) -> DataFrame:
+    def reduced(self, df: DataFrame, keys: list[str], value: str = "value", pos: str = "pos", total: Column | None = None, background=None, gap: DataFrame | None = None) -> DataFrame:
         """keys and `reduced` for each group of df's rows.
 
         total: how many cells each group has (the same in all rows of a group), of which those that are not rows of df
         hold background; a group without any stored row is the caller's to add. pos orders a group's values for Mode
-        (the first seen wins a tie); cells that are not stored come last there.
+        (the first seen wins a tie): with cells that are not stored, it is the place from 0 among the group's cells, and
+        without keys gap is one row with __gap, the first place that is not stored.
         """
         kind = df.schema[value].dataType
         v = F.col(value)
@@ -61,7 +62,7 @@ class Reduction:
         if total is not None:
             df = df.withColumn("__total", total.cast("bigint"))
         if self.name == "Mode":
-            return self._mode(df, keys, kind, value, pos, total, background)
+            return self._mode(df, keys, kind, value, pos, background, gap)
         if self.fn is not None or self.name in SAMPLED:
             return self._sampled(df, keys, kind, value, total, background)
         x = v if is_string(kind) else numeric(v, kind)
@@ -135,16 +136,32 @@ class Reduction:
         got = rows.groupBy(*keys).agg(out.alias("reduced"), n) if keys else rows.agg(out.alias("reduced"), n)
         return got.withColumn("reduced", self._typed(F.col("reduced"), got.schema["reduced"].dataType))
 
-    def _mode(self, df, keys, kind, value, pos, total, background):
-        """The most frequent value; of equals the one first seen. Counts are taken before groups meet."""
-        first = F.min(pos) if pos in df.columns else F.min(value)
-        counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"), first.alias("__p"))
-        if total is not None:
-            fill = (df.groupBy(*keys) if keys else df.groupBy()).agg((F.max("__total") - F.count(F.lit(1))).alias("__c"), F.lit(1 << 62).alias("__p"))
-            counts = counts.unionByName(fill.where("__c > 0").select(*keys, F.lit(background).cast(kind).alias(value), "__c", F.col("__p").cast(counts.schema["__p"].dataType).alias("__p")))
-            counts = counts.groupBy(*keys, value).agg(F.sum("__c").alias("__c"), F.min("__p").alias("__p"))
-        best = F.max_by(F.col(value), F.struct(F.col("__c"), -F.col("__p"))) if not is_string(counts.schema["__p"].dataType) else F.max_by(F.col(value), F.col("__c"))
-        return counts.groupBy(*keys).agg(best.alias("reduced"), F.sum("__c").alias("__n")) if keys else counts.agg(best.alias("reduced"), F.sum("__c").alias("__n"))
+    def _mode(self, df, keys, kind, value, pos, background, gap):
+        """The most frequent value; of equals the one first seen. Values are counted before groups meet, unless cells that are
+        not stored may win a tie: their first place follows the stored cells that leave no gap before them."""
+        v, at = F.col(value), F.col(pos) if pos in df.columns else F.lit(0)
+        if "__total" not in df.columns:
+            counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"), F.min(at).alias("__p"))
+            best, n = F.max_by(v, F.struct(F.col("__c"), -F.col("__p"))).alias("reduced"), F.sum("__c").alias("__n")
+            return counts.groupBy(*keys).agg(best, n) if keys else counts.agg(best, n)
+        df = df.withColumn("__b", F.row_number().over(Window.partitionBy(*keys).orderBy(pos)) - 1 if keys else F.lit(-1))
+        counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"), F.min(at).alias("__p"), F.sum((at == F.col("__b")).cast("bigint")).alias("__f"), F.max("__total").alias("__total"))
+        bare = v.eqNullSafe(F.lit(background).cast(kind))
+        got = counts.groupBy(*keys).agg(
+            F.max(F.when(~bare, F.struct("__c", (-F.col("__p")).alias("__p"), v.alias("v")))).alias("__best"),
+            F.coalesce(F.max(F.when(bare, F.col("__c"))), F.lit(0)).alias("__bc"),
+            F.min(F.when(bare, F.col("__p"))).alias("__bp"),
+            F.sum("__f").alias("__gap"),
+            F.sum("__c").alias("__c"),
+            F.max("__total").alias("__n"),
+        )
+        if gap is not None:
+            got = got.drop("__gap").crossJoin(F.broadcast(gap))  # one row on each side
+        times = F.col("__n") - F.col("__c") + F.col("__bc")
+        first = F.when(F.col("__n") > F.col("__c"), F.least("__gap", "__bp")).otherwise(F.col("__bp"))
+        best = F.col("__best")
+        wins = best.isNull() | (times > best["__c"]) | ((times == best["__c"]) & (first < -best["__p"]))
+        return got.select(*keys, F.when(wins, F.lit(background).cast(kind)).otherwise(best["v"]).alias("reduced"), "__n")
 
     def of_constant(self, background, n: int):
         """The reduction of n equal numbers, for groups without any stored value."""

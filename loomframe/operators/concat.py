@@ -59,7 +59,7 @@ def concatenate(to: Dataset, axis: str | Sequence[str], sources: Sequence[Reader
             if dataset_axis is not None and dataset_property:
                 cols.append(F.lit(name).alias(dataset_axis))
             parts.append(frame.select(*cols))
-            at += (frame.agg(F.max("pos")).first()[0] or 0) + 1  # places stay in order; gaps do no harm
+            at += (frame.agg(F.max("pos")).first()[0] or 0) + 1  # pos stays in order; places() has no gaps
         to.add_axis(a, reduce(lambda x, y: x.unionByName(y), parts))
 
     others = sorted({a for s in sources for a in s.axes_set()} - set(axes))

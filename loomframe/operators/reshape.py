@@ -100,8 +100,8 @@ def compact_groups(ds: Reader, axis: str, name: str) -> DataFrame:
 
 def collect_group_members(ds: Reader, axis: str, name: str) -> DataFrame:
     """group, members: 1-based places of each group's entries, in order. A group's members form one value."""
-    values = ds.get_vector(axis, name).where("value <> 0")
-    return values.groupBy(F.col("value").alias("group")).agg(F.array_sort(F.collect_list(F.col("pos") + 1)).alias("members"))
+    values = ds.get_vector(axis, name).where("value <> 0").join(ds.places(axis), "entry")
+    return values.groupBy(F.col("value").alias("group")).agg(F.array_sort(F.collect_list(F.col("__place") + 1)).alias("members"))
 
 
 # The offset and prime of the 32-bit FNV-1a hash.

@@ -13,8 +13,8 @@ def top_k_per_col(ds: Reader, rows: str, cols: str, name: str, k: int, use_abs:
     ties by row; columns with fewer have null rows to k."""
     m = ds.matrix(rows, cols, name)
     size = F.abs("value") if use_abs else F.col("value")
-    cells = m.df.where(~F.isnan(F.col("value").cast("double"))).join(ds.axis_frame(rows).select(F.col("entry").alias("row"), "pos"), "row")
-    rank = F.row_number().over(Window.partitionBy("col").orderBy(size.desc(), "pos"))
+    cells = m.df.where(~F.isnan(F.col("value").cast("double"))).join(ds.places(rows).withColumnRenamed("entry", "row"), "row")
+    rank = F.row_number().over(Window.partitionBy("col").orderBy(size.desc(), "__place"))
     best = cells.withColumn("rank", rank).where(F.col("rank") <= k)
     slots = ds.axis_frame(cols).select(F.col("entry").alias("col"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
-    return slots.join(best, ["col", "rank"], "left").select("col", "rank", (F.col("pos") + 1).alias("row_index"), F.col("row").alias("entry"), "value")
+    return slots.join(best, ["col", "rank"], "left").select("col", "rank", (F.col("__place") + 1).alias("row_index"), F.col("row").alias("entry"), "value")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..dataset import Matrix, Reader
+from ..dataset import Matrix, Reader, placed
 from ..functions import eltwise
 from ..functions.columns import SPARK, compared, guarded, is_real, truthy
 from ..functions.reductions import Reduction
@@ -267,7 +268,7 @@ class Compiler:
         """frame with a vector of its axis as a column, or its default if it is missing and a || follows."""
         default = self.value()
         if self.ds.has_vector(axis, name):
-            return frame.withColumn(col, self.ds.vector_column(axis, name))
+            return self.ds.with_vector(axis, name, frame).withColumn(col, self.ds.vector_column(axis, name))
         if default is None:
             raise KeyError(f"missing vector: {name} of the axis: {axis} in the data set: {self.ds.name}")
         return frame.withColumn(col, self.constant(default))
@@ -307,7 +308,7 @@ class Compiler:
                 self.fail()
             as_axis = None
             default = self.value()
-            dim = self.ds.axis_frame(axis)
+            dim = self.ds.with_vector(axis, node.name)
             if self.ds.has_vector(axis, node.name):
                 found = self.ds.vector_column(axis, node.name)
             elif default is not None:
@@ -417,7 +418,7 @@ class Compiler:
         nan = F.isnan("__g") if is_real(frame.schema["__g"].dataType) else None
         if nan is not None and default is None:
             frame = guarded(frame, nan, f"NaN among the groups of {node.name}")
-        got = op.reduced(frame.withColumn("entry", label("__g")), ["entry"], "__v", "pos")
+        got = op.reduced(frame.withColumn("entry", label("__g", frame.schema["__g"].dataType)), ["entry"], "__v", "pos")
         kind = got.schema["reduced"].dataType
         if nan is not None and default is not None:
             got = got.withColumn("reduced", F.when(F.col("entry") == "NaN", self.constant(default, kind)).otherwise(F.col("reduced")))
@@ -435,7 +436,7 @@ class Compiler:
     def counted(self, v: Vector, node: Node) -> Grid:
         frame = self.property(v.frame, v.scope.axis, node.name, "__c")
         frame, as_axis, _ = self.chained(frame, "__c", node.name)
-        cells = frame.where(F.col("__v").isNotNull() & F.col("__c").isNotNull()).groupBy(label("__v").alias("row"), label("__c").alias("col")).agg(F.count(F.lit(1)).alias("value"))
+        cells = frame.where(F.col("__v").isNotNull() & F.col("__c").isNotNull()).groupBy(label("__v", v.kind).alias("row"), label("__c", frame.schema["__c"].dataType).alias("col")).agg(F.count(F.lit(1)).alias("value"))
         default = self.value()
         sides = [self.labels(cells, side, axis) for side, axis in (("row", v.as_axis), ("col", as_axis))]
         return Grid(*sides, cells, 0 if default is None else number(default.name))
@@ -507,7 +508,7 @@ class Compiler:
                 fallback = node
         node = self.need("LookupVector")
         axis = axis or self.target(None, name)
-        dim = self.ds.axis_frame(axis).select(F.col("entry").alias("__k"), self.ds.vector_column(axis, node.name).alias("__w"))
+        dim = self.ds.with_vector(axis, node.name).select(F.col("entry").alias("__k"), self.ds.vector_column(axis, node.name).alias("__w"))
         cells = (g if g.background is None else replace(g, cells=g.dense())).cells
         value = F.col("__w")
         if fallback is not None and fallback.name is not None:
@@ -601,10 +602,16 @@ class Compiler:
         return replace(g, cells=cells.select("row", "col", eltwise.applied(node.name, params, F.col("value"), g.kind, over).alias("value")), background=background)
 
     def ordered(self, cells: DataFrame, side: str, scope: Scope, op: Reduction) -> DataFrame:
-        """cells with pos, the place along an axis, where the operation needs it."""
+        """cells with pos, the place from 0 among the entries of a scope, where the operation needs it."""
         if not op.in_order:
             return cells
-        return cells.join(scope.frame.select(F.col("entry").alias(side), "pos"), side)
+        return cells.join(self.places(scope).select(F.col("entry").alias(side), F.col("__place").alias("pos")), side)
+
+    def places(self, scope: Scope) -> DataFrame:
+        """entry and __place of what masks have left; labels of groups are in bytewise order."""
+        if scope.axis is None:
+            return placed(scope.frame, "entry")
+        return placed(scope.frame) if scope.masked else self.ds.places(scope.axis)
 
     def reduced_rows(self, g: Grid, op: Reduction, default: Node | None) -> Vector:
         """One value per row: stored cells are aggregated, the others counted in."""
@@ -628,11 +635,18 @@ class Compiler:
 
     def reduced_all(self, g: Grid, op: Reduction, node: Node, default: Node | None) -> DataFrame:
         total = g.rows.count(self.ds) * g.cols.count(self.ds) if g.background is not None else None
-        cells = g.cells
-        if op.in_order:
+        cells, gap = g.cells, None
+        if op.in_order:  # column by column
+            rows = g.rows.count(self.ds)
             cells = self.ordered(cells, "col", g.cols, op).withColumnRenamed("pos", "__c")
-            cells = self.ordered(cells, "row", g.rows, op).withColumn("pos", F.col("__c") * F.lit(1 << 31) + F.col("pos"))
-        got = op.reduced(cells, [], "value", "pos", None if total is None else F.lit(total), g.background)
+            cells = self.ordered(cells, "row", g.rows, op)
+            if g.background is not None:  # a column's first place that is not stored follows the stored ones without a gap
+                before = F.row_number().over(Window.partitionBy("col").orderBy("pos")) - 1
+                full = cells.withColumn("__b", before).groupBy("col").agg(F.sum((F.col("pos") == F.col("__b")).cast("bigint")).alias("__f"))
+                columns = self.places(g.cols).join(full, F.col("entry") == F.col("col"), "left").select("__place", F.coalesce("__f", F.lit(0)).alias("__f"))
+                gap = columns.where(F.col("__f") < rows).agg(F.min(F.col("__place") * rows + F.col("__f")).alias("__gap"))
+            cells = cells.withColumn("pos", F.col("__c") * F.lit(rows) + F.col("pos"))
+        got = op.reduced(cells, [], "value", "pos", None if total is None else F.lit(total), g.background, gap)
         kind = got.schema["reduced"].dataType
         value, empty = F.col("reduced"), F.coalesce(F.col("__n"), F.lit(0)) == 0
         if total:  # without a stored cell there still are cells
@@ -655,9 +669,12 @@ class Compiler:
         if as_axis is None and (late := self.take("AsAxis")):
             as_axis = self.target(late.name, node.name)
         op = Reduction.of(reduce.name, dict(reduce.params))
-        if is_real(frame.schema["__g"].dataType):
-            frame = guarded(frame, F.isnan("__g"), f"NaN among the groups of {node.name}")
-        members = frame.select(F.col("entry").alias("row"), label("__g").alias("__label"), "pos")
+        nan = F.isnan("__g") if is_real(frame.schema["__g"].dataType) else None
+        if nan is not None and default is None:
+            frame = guarded(frame, nan, f"NaN among the groups of {node.name}")
+        members = frame.select(F.col("entry").alias("row"), label("__g", frame.schema["__g"].dataType).alias("__label"), "pos")
+        if op.in_order:  # places within the group
+            members = members.withColumn("pos", (F.row_number().over(Window.partitionBy("__label").orderBy("pos")) - 1).cast("bigint"))
         sizes = members.groupBy("__label").agg(F.count(F.lit(1)).alias("__size"))
         joined = g.cells.join(members, "row")
         total = None
@@ -675,6 +692,12 @@ class Compiler:
                 fill = F.col("__size") * F.lit(float(op.of_constant(g.background, 1)))
                 cells = grid.withColumnRenamed("__label", "row").join(cells, ["row", "col"], "left").select("row", "col", F.coalesce("value", fill.cast(kind)).alias("value"))
                 background = None
+        if nan is not None and default is not None:  # the group of NaN has the default
+            value = F.when(F.col("row") == "NaN", self.constant(default, kind)).otherwise(F.col("value"))
+            if background is not None:
+                bare = labels.frame.where(F.col("entry") == "NaN").select(F.col("entry").alias("row")).crossJoin(g.cols.frame.select(F.col("entry").alias("col")))  # one row of the matrix
+                cells = cells.unionByName(bare.join(cells.select("row", "col"), ["row", "col"], "left_anti").withColumn("value", F.lit(None).cast(kind)))
+            cells = cells.withColumn("value", value)
         if as_axis is not None:
             scope = Scope(as_axis, self.ds.axis_frame(as_axis))
             unused = scope.frame.join(labels.frame.select("entry"), "entry", "left_anti")
@@ -708,9 +731,21 @@ class Compiler:
         return self.scalar(df)
 
 
-def label(col: str) -> Column:
-    """Group labels as text."""
-    return F.col(col).cast("string")
+def label(col: str, kind: T.DataType) -> Column:
+    """Group labels as text. Whole real numbers have all their digits and .0; others 15 digits at most, as a decimal or with
+    an exponent, whichever is shorter."""
+    if not is_real(kind):
+        return F.col(col).cast("string")
+    x = F.col(col).cast("double") + F.lit(0.0)  # no negative zero
+    parts = F.split(F.format_string("%.14e", F.abs(x)), "e")
+    digits, e = F.rtrim(F.lit("0"), F.regexp_replace(parts[0], r"\.", "")), F.coalesce(F.try_to_number(parts[1], F.lit("S999")).cast("int"), F.lit(0))
+    n, sign = F.length(digits), F.when(x < 0, "-").otherwise("")
+    power = F.concat(F.lit("e-"), F.lpad((-e).cast("string"), 2, "0"))
+    whole = F.concat(F.format_string("%.0f", F.abs(x)), F.lit(".0"))
+    small = F.when(-e + 1 + n <= F.when(n == 1, 5).otherwise(n + 5), F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)).when(n == 1, F.concat(digits, power)).otherwise(F.concat(digits.substr(F.lit(1), F.lit(1)), F.lit("."), digits.substr(F.lit(2), n), power))
+    large = F.when(n > e + 1, F.concat(digits.substr(F.lit(1), e + 1), F.lit("."), digits.substr(e + 2, n))).otherwise(F.rpad(digits, e + 1, "0"))
+    text = F.when(F.abs(x) == math.inf, F.lit("Inf")).when(x == F.rint(x), whole).when(e < 0, small).otherwise(large)
+    return F.when(F.isnan(x), F.lit("NaN")).otherwise(F.concat(sign, text))
 
 
 __all__ = ["Compiler", "Result", "run_query"]

@@ -37,7 +37,7 @@ def frame_of(ds: Reader, axis: str, columns: Iterable[str] | Mapping[str, str] |
     for k, (label, query) in enumerate(pairs):
         text = query.lstrip()
         if ds.has_vector(name, query) if text[:1] not in ":.@" else False:
-            out = out.withColumn(f"__c{k}", ds.vector_column(name, query))
+            out = ds.with_vector(name, query, out).withColumn(f"__c{k}", ds.vector_column(name, query))
         else:
             text = f"@ {name} {text}" if text[:1] in ":." else text if text[:1] == "@" else f"@ {name} : {text}"
             got = ds.query(text)
