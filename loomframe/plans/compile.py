@@ -471,7 +471,7 @@ class Compiler:
                 g = self.through_axis(g)
             elif self.peek("LookupMatrix"):
                 m, pick, _ = self.second_matrix(g.name)
-                joined = g.cells.join(m.df.where(pick).select(F.col("row").alias("__k"), F.col("value").alias("__w")), F.col("value") == F.col("__k"), "left")
+                joined = g.dense().join(m.df.where(pick).select(F.col("row").alias("__k"), F.col("value").alias("__w")), F.col("value") == F.col("__k"), "left")
                 value = F.col("__w") if m.background is None else F.coalesce("__w", F.lit(m.background).cast(m.df.schema["value"].dataType))
                 g = replace(g, cells=joined.select("row", "col", value.alias("value")), background=None)
             elif node := self.take(*COMPARISONS):

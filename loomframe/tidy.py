@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .dataset import Reader, q, vc
@@ -52,11 +53,28 @@ def frame_of(ds: Reader, axis: str, columns: Iterable[str] | Mapping[str, str] |
     return out.select(*picked)
 
 
+def references(df: DataFrame, c: Column) -> set[str]:
+    """Names of the columns that a column is made of."""
+    plan = df.select(c.alias("__c"))._jdf.queryExecution().analyzed()
+    found = plan.expressions().head().references().toSeq()
+    return {found.apply(k).name() for k in range(found.length())}
+
+
+def directed(order: Column) -> tuple[Column, bool, bool]:
+    """What a column orders by, whether downwards, and whether nulls come first."""
+    node = order._jc.node()
+    if node.getClass().getSimpleName() != "SortOrder":
+        return order, False, False
+    jvm = SparkSession.getActiveSession()._jvm
+    return type(order)(jvm.org.apache.spark.sql.Column(node.child())), "Descending" in node.sortDirection().toString(), "NullsFirst" in node.nullOrdering().toString()
+
+
 class Table:
-    """An axis (or what verbs made of it): ds, axis (None once rows are no entries), df, groups."""
+    """An axis (or what verbs made of it): ds, axis (None once rows are no entries), df, groups. Columns that begin with __
+    are the axis's order, __pos, and before it what arrange() orders by, with (downwards, nulls first) of each in order."""
 
-    def __init__(self, ds: Reader, axis: str | None, df: DataFrame | None = None, groups: tuple[str, ...] = (), changed: frozenset[str] = frozenset(), whole: bool = True):
-        self.ds, self.groups, self.changed, self.whole = ds, groups, changed, whole
+    def __init__(self, ds: Reader, axis: str | None, df: DataFrame | None = None, groups: tuple[str, ...] = (), changed: frozenset[str] = frozenset(), whole: bool = True, order: tuple[tuple[bool, bool], ...] = ()):
+        self.ds, self.groups, self.changed, self.whole, self.order = ds, groups, changed, whole, order
         if df is None:
             name, frame = scope_of(ds, axis)
             df = frame.select(F.col("entry").alias("name"), F.col("pos").alias("__pos"), *(q(vc(v)).alias(v) for v in ds.vectors_set(name)))
@@ -65,7 +83,18 @@ class Table:
         self.axis, self._df = axis, df
 
     def _with(self, df: DataFrame, **changes) -> Table:
-        return Table(self.ds, changes.get("axis", self.axis), df, changes.get("groups", self.groups), changes.get("changed", self.changed), changes.get("whole", self.whole))
+        return Table(self.ds, changes.get("axis", self.axis), df, changes.get("groups", self.groups), changes.get("changed", self.changed), changes.get("whole", self.whole), changes.get("order", self.order))
+
+    def _hidden(self) -> list[str]:
+        return [c for c in self._df.columns if c.startswith("__")]
+
+    def _ordered(self, back: bool = False) -> list[Column]:
+        """The rows' order, or the reverse."""
+        out = []
+        for k, (down, nulls) in enumerate(self.order):
+            c = q(f"__o{k}")
+            out.append((c.desc_nulls_first() if nulls != back else c.desc_nulls_last()) if down != back else (c.asc_nulls_first() if nulls != back else c.asc_nulls_last()))
+        return [*out, q("__pos").desc() if back else q("__pos")] if "__pos" in self._df.columns else out
 
     def _by(self, by) -> list[str]:
         if by is not None and self.groups:
@@ -75,11 +104,12 @@ class Table:
     @property
     def df(self) -> DataFrame:
         """The plain DataFrame."""
-        return self._df.drop("__pos")
+        return self._df.drop(*self._hidden())
 
     def collect(self):
         """Rows as a pandas DataFrame, in the axis's order or the one arrange set."""
-        return (self._df.orderBy("__pos") if "__pos" in self._df.columns else self._df).drop("__pos").toPandas()
+        order = self._ordered()
+        return (self._df.orderBy(*order) if order else self._df).drop(*self._hidden()).toPandas()
 
     as_tibble = collect
 
@@ -99,18 +129,17 @@ class Table:
         """Columns by name, or new=old; the entry's name stays."""
         picked = [n for n in names if n != "name"]
         cols = [q(n) for n in picked] + [q(old).alias(new) for new, old in renamed.items()]
-        pos = [q("__pos")] if "__pos" in self._df.columns else []
-        return self._with(self._df.select(*([q("name")] if "name" in self._df.columns else []), *pos, *cols))
+        return self._with(self._df.select(*([q("name")] if "name" in self._df.columns else []), *map(q, self._hidden()), *cols))
 
     def pull(self, name: str) -> list:
         return self.collect()[name].tolist()
 
-    def filter(self, *conditions: Column, by=None) -> Table:
-        """Rows where all conditions hold. For an aggregate of the rows' group use over()."""
-        self._by(by)
-        df = self._df
+    def filter(self, *conditions: Column | Callable, by=None) -> Table:
+        """Rows where all conditions hold: columns, or functions that are given over(), for aggregates of the rows' group
+        (that of by or group_by): filter(lambda over: F.col("x") > over(F.mean("x")), by="g")."""
+        over, df = partial(self.over, by=by), self._df
         for k, c in enumerate(conditions):
-            df = df.withColumn(f"__f{k}", c)
+            df = df.withColumn(f"__f{k}", c(over) if callable(c) and not isinstance(c, Column) else c)
         for k in range(len(conditions)):
             df = df.where(F.coalesce(F.col(f"__f{k}"), F.lit(False))).drop(f"__f{k}")
         return self._with(df, whole=False)
@@ -124,10 +153,10 @@ class Table:
         return rank().over(Window.partitionBy(*map(q, keys)).orderBy(*order))
 
     def slice_head(self, n: int = 1, by=None) -> Table:
-        return self._first([q("__pos")], n, by)
+        return self._first(self._ordered(), n, by)
 
     def slice_tail(self, n: int = 1, by=None) -> Table:
-        return self._first([q("__pos").desc()], n, by)
+        return self._first(self._ordered(back=True), n, by)
 
     def _first(self, order: list[Column], n: int, by) -> Table:
         keys = self._by(by)
@@ -149,23 +178,26 @@ class Table:
             reach = q(column) <= F.col("__edge") if worst is F.max else q(column) >= F.col("__edge")
             return self._with(self._df.crossJoin(F.broadcast(edge)).where(reach).drop("__edge"), whole=False)  # one row
         if not keys:
-            return self._first([order, q("__pos")], n, None)
-        rank = self._ranked([order], keys, F.rank) if with_ties else self._ranked([order, q("__pos")], keys)
+            return self._first([order, *self._ordered()], n, None)
+        rank = self._ranked([order], keys, F.rank) if with_ties else self._ranked([order, *self._ordered()], keys)
         return self._with(self._df.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r"), whole=False)
 
     def slice_sample(self, n: int = 1, by=None, seed: int = 0) -> Table:
         return self._first([F.xxhash64(q("name"), F.lit(seed)), q("name")], n, by)
 
-    def slice(self, *places: int) -> Table:
-        """Rows at 1-based places of the order."""
-        top = max(places, default=0)
-        head = self._df.orderBy("__pos").limit(top).withColumn("__r", F.row_number().over(Window.orderBy("__pos")))
-        return self._with(head.where(F.col("__r").isin(list(places))).drop("__r"), whole=False)
+    def slice(self, *places: int, by=None) -> Table:
+        """Rows at 1-based places of the order, of each group if there are groups."""
+        keys, top, order = self._by(by), max(places, default=0), self._ordered()
+        head = self._df if keys else self._df.orderBy(*order).limit(top)  # no more than the last place
+        ranked = head.withColumn("__r", F.row_number().over((Window.partitionBy(*map(q, keys)) if keys else Window).orderBy(*order)))
+        return self._with(ranked.where(F.col("__r").isin(list(places))).drop("__r"), whole=False)
 
     def arrange(self, *order: Column | str) -> Table:
-        """Rows in the order of columns; ties keep theirs."""
-        keys = [q(c) if isinstance(c, str) else c for c in order]
-        return _Arranged(self, keys)
+        """Rows in the order of columns, whatever later verbs make of them; ties keep the order that there was."""
+        keys = [directed(q(c) if isinstance(c, str) else c) for c in order]
+        old = len(self.order)
+        df = self._df.select(*(q(c).alias(f"__o{len(keys) + int(c[3:])}" if c in {f"__o{k}" for k in range(old)} else c) for c in self._df.columns), *(c.alias(f"__o{k}") for k, (c, *_) in enumerate(keys)))
+        return self._with(df, order=(*((down, nulls) for _, down, nulls in keys), *self.order))
 
     def distinct(self, *names: str) -> DataFrame:
         return self.df.select(*map(q, names)).distinct() if names else self.df.distinct()
@@ -177,20 +209,27 @@ class Table:
         return self._with(df, changed=self.changed | set(renamed))
 
     def relocate(self, *names: str, before: str | None = None, after: str | None = None) -> Table:
-        rest = [c for c in self._df.columns if c not in names and c not in ("name", "__pos")]
+        rest = [c for c in self._df.columns if c not in names and c != "name" and not c.startswith("__")]
         at = rest.index(before) if before else rest.index(after) + 1 if after else 0
-        return self._with(self._df.select(*[c for c in ("name", "__pos") if c in self._df.columns], *map(q, [*rest[:at], *names, *rest[at:]])))
+        return self._with(self._df.select(*[c for c in ("name",) if c in self._df.columns], *self._hidden(), *map(q, [*rest[:at], *names, *rest[at:]])))
 
-    def mutate(self, before: str | None = None, after: str | None = None, keep: str = "all", **columns: Column) -> Table:
-        df = self._df
+    def mutate(self, before: str | None = None, after: str | None = None, keep: str = "all", by=None, **columns: Column | Callable) -> Table:
+        """New or changed columns: columns, values, or functions that are given over(), as in filter(). keep: all columns, or
+        of the others those that are used for them, those that are unused, or none but groups."""
+        over, df, used = partial(self.over, by=by), self._df, set()
         for name, c in columns.items():
-            df = df.withColumn(name, c if isinstance(c, Column) else F.lit(c))
+            c = c(over) if callable(c) and not isinstance(c, Column) else c if isinstance(c, Column) else F.lit(c)
+            if keep in ("used", "unused"):
+                used |= {x for x in df.columns if not x.startswith("__") and x not in columns} & references(df, c)
+            df = df.withColumn(name, c)
         out = self._with(df, changed=self.changed | set(columns))
         if keep == "none":
-            return out.select(*self.groups, *columns)
+            return out.select(*self._by(by), *(c for c in columns if c not in self._by(by)))
+        if keep in ("used", "unused"):
+            return out.select(*(c for c in out.df.columns if c in columns or c in self._by(by) or (c in used) == (keep == "used")))
         return out.relocate(*columns, before=before, after=after) if before or after else out
 
-    def transmute(self, **columns: Column) -> Table:
+    def transmute(self, **columns: Column | Callable) -> Table:
         return self.mutate(keep="none", **columns)
 
     def summarise(self, by=None, **aggregates: Column) -> Table | DataFrame:
@@ -241,17 +280,3 @@ class Table:
         if verb in ("inner_join", "left_join", "right_join", "full_join", "semi_join", "anti_join", "cross_join", "nest_join", "union", "union_all", "intersect", "setdiff", "rowwise"):
             raise UnsupportedOperationError(f"{verb} is not supported over an axis; use .df")
         raise AttributeError(verb)
-
-
-class _Arranged(Table):
-    """A table with an order of its own, which heads and tails follow."""
-
-    def __init__(self, of: Table, keys: list[Column]):
-        super().__init__(of.ds, of.axis, of._df, of.groups, of.changed, of.whole)
-        self.keys = keys
-
-    def collect(self):
-        return self._df.orderBy(*self.keys, "__pos").drop("__pos").toPandas()
-
-    def slice_head(self, n: int = 1, by=None) -> Table:
-        return self._first([*self.keys, q("__pos")], n, by)

@@ -112,6 +112,14 @@ def test_tidy(spark):
     assert t.arrange(F.desc("age")).pull("name") == ["C", "B", "A"]
     assert {r["kind"]: r["n"] for r in t.count("kind").collect()} == {"x": 2, "y": 1}
     assert t.slice_max("age", 1, by="kind").collect()["name"].tolist() == ["B", "C"]
+    # orders last, groups count
+    by_age = t.arrange(F.desc("age"))
+    assert by_age.mutate(age=F.lit(0)).select("kind").pull("name") == ["C", "B", "A"] and by_age.slice_tail(1).pull("name") == ["A"] and by_age.slice_head(1).pull("name") == ["C"]
+    assert by_age.arrange("kind").pull("name") == ["C", "A", "B"] and by_age.filter(F.col("age") < 60).pull("name") == ["B", "A"]
+    assert t.filter(lambda over: F.col("age") > over(F.mean("age")), by="kind").pull("name") == ["C"] and t.filter(lambda over: F.col("age") > over(F.mean("age"))).pull("name") == ["B", "C"]
+    assert t.group_by("kind").slice(2).pull("name") == ["C"] and t.slice(1, 3).pull("name") == ["A", "C"] and t.arrange(F.desc("age")).slice(1, by="kind").pull("name") == ["C", "B"]
+    assert t.mutate(by="kind", top=lambda over: over(F.max("age"))).pull("top") == [70, 50, 70]
+    assert t.mutate(keep="used", half=F.col("age") / 2).df.columns == ["name", "age", "half"] and t.mutate(keep="unused", half=F.col("age") / 2).df.columns == ["name", "kind", "half"] and t.transmute(half=F.col("age") / 2).df.columns == ["name", "half"]
     t.mutate(half=F.col("age") / 2).compute()
     assert d["@ cell : half >> Sum"].collect() == 65.0
     with pytest.raises(ValueError):
