@@ -738,9 +738,9 @@ def label(col: str, kind: T.DataType) -> Column:
         return F.col(col).cast("string")
     x = F.col(col).cast("double") + F.lit(0.0)  # no negative zero
     parts = F.split(F.format_string("%.14e", F.abs(x)), "e")
-    digits, e = F.rtrim(F.lit("0"), F.regexp_replace(parts[0], r"\.", "")), F.coalesce(F.try_to_number(parts[1], F.lit("S999")).cast("int"), F.lit(0))
+    digits, e = F.rtrim(F.regexp_replace(parts[0], r"\.", ""), F.lit("0")), F.coalesce(F.try_to_number(parts[1], F.lit("S999")).cast("int"), F.lit(0))
     n, sign = F.length(digits), F.when(x < 0, "-").otherwise("")
-    power = F.concat(F.lit("e-"), F.lpad((-e).cast("string"), 2, "0"))
+    power = F.concat(F.when(-e < 10, F.lit("e-0")).otherwise(F.lit("e-")), (-e).cast("string"))
     whole = F.concat(F.format_string("%.0f", F.abs(x)), F.lit(".0"))
     small = F.when(-e + 1 + n <= F.when(n == 1, 5).otherwise(n + 5), F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)).when(n == 1, F.concat(digits, power)).otherwise(F.concat(digits.substr(F.lit(1), F.lit(1)), F.lit("."), digits.substr(F.lit(2), n), power))
     large = F.when(n > e + 1, F.concat(digits.substr(F.lit(1), e + 1), F.lit("."), digits.substr(e + 2, n))).otherwise(F.rpad(digits, e + 1, "0"))

@@ -5,18 +5,26 @@ Results of floating-point sums are rounded on both sides, as sums in another ord
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from . import builders as b
-from .dataset import Dataset
+from . import config
+from .dataset import Dataset, read_only
 from .functions import registry
 from .operators.chain import chain_reader, chain_writer
 from .operators.concat import CollectAxis, LastValue, concatenate
-from .operators.contracts import CreatedOutput, RequiredInput, adapter, computation, contract_vector, axis_contract, create_contract
+from .operators.complete import complete_chain, complete_dataset
+from .operators.contracts import Contracted, ContractError, CreatedOutput, GuaranteedOutput, OptionalInput, RequiredInput, adapter, axis_contract, computation, contract_docs, contract_vector, create_contract, merge_contracts, verify_contract, verify_input, verify_output
 from .operators.copies import copy_all, copy_axis, copy_matrix, copy_vector
-from .operators.reshape import collect_group_members, compact_groups, group_names, reconstruct_axis, reorder_axes
+from .operators.reshape import collect_group_members, commit_reorder_axes, compact_groups, group_names, reconstruct_axis, reorder_axes, reset_reorder_axes
 from .operators.topk import top_k_per_col
-from .operators.view import VIEW_ALL_AXES, viewer
+from .operators.view import VIEW_ALL_AXES, VIEW_ALL_DATA, viewer
+from .plans.nodes import canonical_query, escape_value, is_axis_query, parse_query, query_axis_name, query_requires_relayout, query_result_dimensions, unescape_value
+from .sources.anndata import as_anndata
+from .sources.export import files_to_zarr, write_files, write_zarr, zarr_to_files
+from .sources.store import ParquetDataset, open_dataset, save
 from .sources.tables import from_tables, with_embedding, with_trade
 
 QUERIES: dict = {}
@@ -251,13 +259,15 @@ over("reconstruct_axis", lambda ds: _reconstructed(ds)["@ nation : nation.region
 def _reordered(ds):
     order = ds.axis_frame("part").select("entry", (-F.col("pos")).alias("pos"))
     reorder_axes(ds, part=order)
-    return ds.tbl("part").slice_head(5).select("size").df
+    return ds.get_dataframe("part", ["size", "index"])
 
 
-over("reorder_axes", _reordered, f"SELECT entry AS name, size FROM {PART} ORDER BY pos DESC LIMIT 5")
+over("reorder_axes", _reordered, f"SELECT entry AS name, size, ROW_NUMBER() OVER (ORDER BY pos DESC) AS \"index\" FROM {PART}")
 over("compact_groups", lambda ds: compact_groups(ds, "part", "size").select("entry", "group"), f"SELECT entry, DENSE_RANK() OVER (ORDER BY f) AS \"group\" FROM (SELECT entry, MIN(pos) OVER (PARTITION BY size) AS f FROM {PART})")
-over("collect_group_members", lambda ds: collect_group_members(ds, "part", "size").select("group", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members")), f"SELECT size AS \"group\", string_agg(CAST(pos + 1 AS VARCHAR), ',' ORDER BY pos) AS members FROM {PART} GROUP BY 1")
-over("group_names", lambda ds: group_names(ds, "vec", "label", "G"))
+over("collect_group_members", lambda ds: collect_group_members(ds, "part", "size").select("group", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members")), f"SELECT size AS \"group\", string_agg(CAST(place AS VARCHAR), ',' ORDER BY pos) AS members FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY pos) AS place FROM {PART}) GROUP BY 1")
+over("group_names", lambda ds: group_names(ds, "vec", "label", "G"), """
+SELECT label AS "group", 'G' || lpad(printf('%x', list_reduce(list_concat([CAST(2166136261 AS BIGINT)], list_transform(range(1, strlen(t) + 1), lambda i: CAST(ascii(substr(t, i, 1)) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) & 4294967295)), 8, '0') AS name
+FROM (SELECT label, string_agg(CAST(vec_id AS VARCHAR), chr(1) ORDER BY CAST(vec_id AS VARCHAR)) AS t FROM embeddings WHERE label <> 0 GROUP BY 1)""")
 over("top_k_per_col", lambda ds: top_k_per_col(ds, "customer", "priority", "spend", 3).select("col", "rank", "entry", "value"), "SELECT col, CAST(rank AS INTEGER) AS rank, row AS entry, ROUND(value, 4) AS value FROM (SELECT o_orderpriority AS col, CAST(o_custkey AS VARCHAR) AS row, SUM(o_totalprice) AS value, ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY SUM(o_totalprice) DESC, o_custkey) AS rank FROM orders GROUP BY o_orderpriority, o_custkey) WHERE rank <= 3")
 
 
@@ -284,3 +294,234 @@ def _adapted(ds):
 
 
 over("adapter_computation", _adapted, f"SELECT entry, ROUND(price * 0.8, 4) AS value FROM {PART}")
+
+
+# places, ties, labels
+def facts(name: str, fn, want: dict[str, object]) -> None:
+    """What a function of the data set of the tables tells, as rows (what, value) of text."""
+    values = ", ".join(f"('{k}', '{str(v).replace(chr(39), chr(39) * 2)}')" for k, v in want.items())
+    register(name, lambda spark, sf_dir: spark.createDataFrame([(k, str(v)) for k, v in fn(from_tables(spark, sf_dir)).items()], "what string, value string"), f"SELECT * FROM (VALUES {values}) t(what, value)")
+
+
+dsl("index_gapped", "@ event_type : index", "SELECT event_type AS entry, ROW_NUMBER() OVER (ORDER BY MIN(event_id)) AS value FROM events GROUP BY 1")
+over("index_concatenated", lambda ds: _halves(ds)["@ part : index"].df, f"SELECT CASE WHEN size <= 25 THEN 'small.' ELSE 'large.' END || entry AS entry, ROW_NUMBER() OVER (ORDER BY size > 25, pos) AS value FROM {PART}")
+dsl("index_masked", "@ part [ index <= 10 ]", f"SELECT entry FROM (SELECT entry, ROW_NUMBER() OVER (ORDER BY pos) AS i FROM {PART}) WHERE i <= 10")
+dsl("matrix_mode_ties", "@ customer @ priority [ name != 3-MEDIUM ] :: spend > 0 >| Mode", f"SELECT row AS entry, v AS value FROM (SELECT row, v, ROW_NUMBER() OVER (PARTITION BY row ORDER BY n DESC, p) AS k FROM (SELECT row, value > 0 AS v, COUNT(*) AS n, MIN(pos) AS p FROM {SPEND} WHERE col <> '3-MEDIUM' GROUP BY 1, 2)) WHERE k = 1")
+dsl("matrix_mode_cols", "@ customer [ segment = BUILDING ] @ priority :: spend > 100000 >- Mode", f"SELECT col AS entry, v AS value FROM (SELECT col, v, ROW_NUMBER() OVER (PARTITION BY col ORDER BY n DESC, p) AS k FROM (SELECT col, value > 100000 AS v, COUNT(*) AS n, MIN(c.pos) AS p FROM {SPEND} s JOIN {CUSTOMER} c ON s.row = c.entry WHERE segment = 'BUILDING' GROUP BY 1, 2)) WHERE k = 1")
+dsl("matrix_mode_groups", "@ customer @ priority :: spend > 0 -/ nation >- Mode", f"SELECT nation AS row, col, v AS value FROM (SELECT nation, col, v, ROW_NUMBER() OVER (PARTITION BY nation, col ORDER BY n DESC, p) AS k FROM (SELECT nation, col, value > 0 AS v, COUNT(*) AS n, MIN(c.pos) AS p FROM {SPEND} s JOIN {CUSTOMER} c ON s.row = c.entry GROUP BY 1, 2, 3)) WHERE k = 1")
+dsl("matrix_mode_all", "@ nation @ nation :: trade > 20000 >> Mode", f"SELECT v AS value FROM (SELECT value > 20000 AS v, COUNT(*) AS n, MIN((col.n_nationkey) * 25 + r.n_nationkey) AS p FROM {TRADE} m JOIN nation col ON col.n_name = m.col JOIN nation r ON r.n_name = m.row GROUP BY 1) ORDER BY n DESC, p LIMIT 1", with_trade)
+dsl("group_real_labels", "@ part : size / price >> Count", f"SELECT CASE WHEN price = FLOOR(price) THEN CAST(CAST(price AS BIGINT) AS VARCHAR) || '.0' ELSE CAST(price AS VARCHAR) END AS entry, COUNT(*) AS value FROM {PART} GROUP BY 1")
+
+
+# lookups by matrices
+def _home(ds, spark, sf_dir):
+    """ds with the matrix nation (customer x priority): the customer's nation where it has orders of the priority, else none."""
+    cells = ds.get_matrix("customer", "priority", "spend").select("row", "col").join(ds.get_vector("customer", "nation").select(F.col("entry").alias("row"), "value"), "row")
+    ds.set_matrix("customer", "priority", "nation", cells, "")
+    return with_trade(ds, spark, sf_dir)
+
+
+HOME = f"(SELECT s.row, s.col, CASE WHEN s.value > 0 THEN c.nation END AS nation, c.region FROM {SPEND} s JOIN {CUSTOMER} c ON s.row = c.entry)"
+dsl("matrix_of_entries", "@ customer @ priority :: nation ?? none : region", f"SELECT row, col, CASE WHEN nation IS NULL THEN 'none' ELSE region END AS value FROM {HOME}", _home)
+dsl("matrix_of_matrix", "@ customer @ priority :: nation :: trade @ nation = NATION_3", f"SELECT h.row, h.col, ROUND(COALESCE(t.value, 0), 2) AS value FROM {HOME} h LEFT JOIN {TRADE} t ON t.row = h.nation AND t.col = 'NATION_3'", _home, 2)
+dsl("vector_of_matrix", "@ customer : nation :: trade @| NATION_3", f"SELECT c.entry, ROUND(t.value, 2) AS value FROM {CUSTOMER} c JOIN {TRADE} t ON t.row = c.nation AND t.col = 'NATION_3'", _home, 2)
+dsl("reduce_empty_dimension", "@ customer [ acctbal > 1000000 ] @ priority :: spend >- Sum || -1", "SELECT o_orderpriority AS entry, CAST(-1 AS DOUBLE) AS value FROM orders GROUP BY 1")
+dsl("reduce_default_unused", "@ part : price >> Max || 0", "SELECT ROUND(MAX(p_retailprice), 4) AS value FROM part")
+for sign, name in ((">>", "scalar"), (">|", "column"), (">-", "row")):
+    dsl(f"group_reduced_to_{name}", f"@ part : size / brand {sign} Max", f"SELECT brand AS entry, MAX(size) AS value FROM {PART} GROUP BY 1")
+
+
+# the data set itself
+def _changed(ds):
+    out = {"read only": hasattr(read_only(ds), "set_scalar"), "leaf": ds.is_leaf(), "axes": ",".join(ds.axes_set()[:3]), "has": ds.has_query("@ part : price"), "has not": ds.has_query("@ part : weight"), "empty": ds.has_query("@ part [ size > 1000000 ]")}
+    ds.set_scalar("n", 1)
+    ds.set_scalar("n", 2, overwrite=True)
+    out["version"] = ds.version("scalar", "n")
+    ds.relayout_matrix("customer", "priority", "spend")
+    ds.delete_vector("part", "size")
+    ds.delete_matrix("customer", "priority", "spend")
+    ds.delete_axis("supplier")
+    ds.delete_scalar("n")
+    return out | {"vectors": ",".join(ds.vectors_set("part")), "matrices": ",".join(ds.matrices_set("customer", "priority")), "supplier": ds.has_axis("supplier"), "scalar": ds.get_scalar("n", "gone"), "described": "part.price: Float64" in ds.description()}
+
+
+facts("dataset_changes", _changed, {"read only": False, "leaf": True, "axes": "customer,document,event_type", "has": True, "has not": False, "empty": False, "version": 2, "vectors": "brand,price,type", "matrices": "", "supplier": False, "scalar": "gone", "described": True})
+facts("axis_places", lambda ds: {"entries": ",".join(ds.axis_entries("region", [5, 1])), "indices": ds.axis_indices("nation", ["NATION_3", "NATION_0"]), "missing": ds.axis_indices("nation", ["", "X"], True, True), "dict": ds.axis_dict("region")["ASIA"], "length": ds.axis_length("nation")}, {"entries": "MIDDLE EAST,AFRICA", "indices": "[4, 1]", "missing": "[0, 0]", "dict": 3, "length": 25})
+
+
+def _parsed(ds):
+    nodes = parse_query("@ a [ b > 1 & ! c ] : d / e >> Mean")
+    return {
+        "canonical": canonical_query(nodes), "nodes": len(nodes), "again": parse_query(canonical_query(nodes)) == nodes, "escaped": unescape_value(escape_value("a b#c")) == "a b#c", "axis query": is_axis_query("@ a [ b ]"),
+        "vector query": is_axis_query("@ a : b"), "axis": query_axis_name("@ a [ b ]"), "relayout": query_requires_relayout("@ a @ b :: c"),
+        "dimensions": [query_result_dimensions(t) for t in (". s", "@ a : b", "@ a @ b :: m", "@ a : b >> Sum", "@ a @ b :: m >| Sum", "@ a : b / c >> Sum", "@ a @ b :: m -/ c >- Sum", "@ a @ b :: m -/ c >| Sum", ": v @ a = e", "@ ?")],
+    }
+
+
+facts("query_tools", _parsed, {"canonical": "@ a [ b > 1 & ! c ] : d / e >> Mean", "nodes": 8, "again": True, "escaped": True, "axis query": True, "vector query": False, "axis": "a", "relayout": False, "dimensions": "[0, 1, 2, 0, 1, 1, 2, 1, 0, -1]"})
+
+
+def _kept(ds):
+    first = config.keep(ds, "@ part : size >> Sum")
+    same = config.keep(ds, "@ part : size >> Sum") is first
+    ds.set_scalar("changed", 1)
+    other = config.keep(ds, "@ part : size >> Sum") is first
+    config.empty_cache([ds])
+    return {"same": same, "after a change": other, "handler": config.inefficient_action_handler(config.inefficient_action_handler("ignore")), "names": sorted(registry.registered_reductions())[:3]}
+
+
+# storage: written, read again, and asked
+def _again(ds, kind):
+    """A part of ds, through files in the folder that the session shares."""
+    from .sources.store import shared_folder
+
+    some = Dataset(ds.spark, "some")
+    for axis in ("region", "nation", "priority", "supplier"):
+        some.add_axis(axis, ds.axis_frame(axis).select("entry", "pos"), check=False)
+    some.set_vector("nation", "region", ds.get_vector("nation", "region").select("entry", "value"))
+    some.set_vector("supplier", "acctbal", ds.get_vector("supplier", "acctbal").select("entry", "value"))
+    some.set_vector("supplier", "rich", F.col("v_acctbal") > 5000)
+    spend = ds.get_matrix("customer", "priority", "spend").join(ds.get_vector("customer", "nation").select(F.col("entry").alias("row"), F.col("value").alias("nation")), "row")
+    some.set_matrix("nation", "priority", "spend", spend.groupBy(F.col("nation").alias("row"), "col").agg(F.sum("value").alias("value")), 0)
+    some.set_scalar("version", 1)
+    path = f"{shared_folder(ds.spark)}/{uuid.uuid4().hex}"
+    if kind == "parquet":
+        save(some, path)
+    elif kind == "grown":
+        save(some, path)
+        grown = ParquetDataset(ds.spark, path, "r+")
+        grown.set_scalar("version", 1, overwrite=True)
+        grown.flush()
+    elif kind == "based":
+        save(some, path)
+        leaf = ParquetDataset(ds.spark, f"{path}-leaf", "w")
+        complete_chain(open_dataset(ds.spark, path), path, leaf).set_scalar("leaf", 1)
+        leaf.flush()
+        return complete_dataset(ds.spark, f"{path}-leaf")
+    elif kind == "files":
+        write_files(some, path)
+    elif kind == "zarr":
+        path += ".daf.zarr"
+        write_zarr(some, path)
+    elif kind == "files_zarr":
+        write_files(some, path)
+        files_to_zarr(ds.spark, path, f"{path}.daf.zarr")
+        path += ".daf.zarr"
+    elif kind == "zarr_files":
+        write_zarr(some, f"{path}.daf.zarr")
+        zarr_to_files(ds.spark, f"{path}.daf.zarr", path)
+    return open_dataset(ds.spark, path)
+
+
+STORED = f"SELECT n_name AS entry, r_name AS region, ROUND(COALESCE(v, 0), 2) AS spent, (SELECT COUNT(*) FROM supplier WHERE s_acctbal > 5000) AS rich FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT c_nationkey, SUM(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) ON c_nationkey = n_nationkey"
+for _kind in ("parquet", "grown", "based", "files", "zarr", "files_zarr", "zarr_files"):
+
+    def _asked(ds, kind=_kind):
+        back = _again(ds, kind)
+        spent = back["@ nation @ priority :: spend >| Sum"].df.withColumnRenamed("value", "spent")
+        return back.get_vector("nation", "region").select("entry", F.col("value").alias("region")).join(spent, "entry").crossJoin(F.broadcast(back["@ supplier [ rich ] : name >> Count"].df.select(F.col("value").alias("rich"))))  # one row
+
+    over(f"stored_{_kind}", _asked, STORED, 2)
+
+
+# tidy verbs
+over("tidy_arrange_lasts", lambda ds: ds.tbl("part").arrange(F.desc("price"), "size").mutate(price=F.lit(0)).slice_head(5).select("size").df, f"SELECT entry AS name, size FROM {PART} ORDER BY price DESC, size, pos LIMIT 5")
+over("tidy_slice", lambda ds: ds.tbl("part").slice(2, 4).select("size").df, f"SELECT entry AS name, size FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY pos) AS r FROM {PART}) WHERE r IN (2, 4)")
+over("tidy_slice_grouped", lambda ds: ds.tbl("part").group_by("brand").slice(1, 3).select("brand").df, f"SELECT entry AS name, brand FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY brand ORDER BY pos) AS r FROM {PART}) WHERE r IN (1, 3)")
+over("tidy_slice_tail", lambda ds: ds.tbl("part").arrange("price").slice_tail(3).select("size").df, f"SELECT entry AS name, size FROM {PART} ORDER BY price DESC, pos DESC LIMIT 3")
+over("tidy_filter_by", lambda ds: ds.tbl("part").filter(lambda over: F.col("price") > over(F.mean("price")), by="brand").select("brand").df, f"SELECT entry AS name, brand FROM (SELECT *, AVG(price) OVER (PARTITION BY brand) AS m FROM {PART}) WHERE price > m")
+over("tidy_mutate_by", lambda ds: ds.tbl("part").mutate(by="brand", top=lambda over: over(F.max("price"))).select("top").df, f"SELECT entry AS name, ROUND(MAX(price) OVER (PARTITION BY brand), 4) AS top FROM {PART}")
+over("tidy_mutate_used", lambda ds: ds.tbl("part").mutate(keep="used", unit=F.col("price") / F.col("size")).df, f"SELECT entry AS name, size, ROUND(price, 4) AS price, ROUND(price / size, 4) AS unit FROM {PART}")
+over("tidy_transmute", lambda ds: ds.tbl("part").transmute(half=F.col("price") / 2).df, f"SELECT entry AS name, ROUND(price / 2, 4) AS half FROM {PART}")
+over("tidy_rename_relocate", lambda ds: ds.tbl("part").rename(cost="price").relocate("cost").select("cost", kind="type").df, f"SELECT entry AS name, ROUND(price, 4) AS cost, type AS kind FROM {PART}")
+over("tidy_sample_size", lambda ds: ds.tbl("part").slice_sample(7).df.agg(F.count(F.lit(1)).alias("n")), "SELECT CAST(7 AS BIGINT) AS n")
+over("tidy_tally", lambda ds: ds.tbl("part").group_by("brand").tally(), f"SELECT brand, COUNT(*) AS n FROM {PART} GROUP BY 1")
+over("tidy_reframe", lambda ds: ds.tbl("supplier").reframe(lambda pdf: pdf.nlargest(1, "acctbal")[["nation", "acctbal"]], "nation string, acctbal double", by="nation"), "SELECT n_name AS nation, ROUND(MAX(s_acctbal), 4) AS acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
+
+
+def _computed(ds):
+    ds.tbl("part").mutate(unit=F.col("price") / F.col("size")).compute()
+    return ds["@ part : unit >> Sum"].df
+
+
+over("tidy_compute", _computed, f"SELECT ROUND(SUM(price / size), 4) AS value FROM {PART}", 4)
+over("frame_of_axis_query", lambda ds: ds.get_dataframe("@ part [ size > 40 ]", ["size"]), f"SELECT entry AS name, size FROM {PART} WHERE size > 40")
+
+
+# chains, views, contracts, copies
+def _layered(ds):
+    leaf = Dataset(ds.spark, "leaf")
+    both = chain_writer([ds, leaf])
+    both.set_vector("part", "net", ds.get_vector("part", "price").select("entry", (F.col("value") * 0.8).alias("value")))
+    both.delete_vector("part", "net")
+    out = {"deleted": both.has_vector("part", "net"), "leaf": both.is_leaf()}
+    other = Dataset(ds.spark, "other")
+    other.add_axis("region", ["AFRICA"])
+    for what, act in (("earlier", lambda: both.delete_vector("part", "size")), ("axes", lambda: chain_reader([ds, other]))):
+        try:
+            act()
+            out[what] = "done"
+        except (KeyError, ValueError):
+            out[what] = "refused"
+    return out
+
+
+facts("chain_rules", _layered, {"deleted": False, "leaf": False, "earlier": "refused", "axes": "refused"})
+facts("view_rules", lambda ds: {"hidden": viewer(ds, axes={**VIEW_ALL_AXES, "part": None}).has_axis("part"), "kept": viewer(ds, axes=VIEW_ALL_AXES, data={**VIEW_ALL_DATA, ("part", "size"): None}).vectors_set("part")}, {"hidden": False, "kept": "['brand', 'price', 'type']"})
+
+
+def _judged(ds):
+    contract = create_contract("net", [axis_contract("part", RequiredInput)], [contract_vector("part", "price", RequiredInput, "Float64"), contract_vector("part", "weight", OptionalInput), contract_vector("part", "net", GuaranteedOutput, "Float64")])
+    seen = Contracted("net", contract, ds)
+    out = {}
+    for what, act in (("input", lambda: verify_input(seen)), ("output", lambda: verify_output(seen)), ("undeclared", lambda: seen.get_scalar("version")), ("changed input", lambda: seen.set_vector("part", "price", 0.0, True)), ("unused", lambda: (seen.set_vector("part", "net", 1.0), verify_output(seen))), ("used", lambda: (seen.get_vector("part", "price"), verify_output(seen))), ("plain", lambda: verify_contract(contract, ds, True))):
+        try:
+            act()
+            out[what] = "fine"
+        except ContractError as e:
+            out[what] = str(e).split()[0]
+    merged = merge_contracts(contract, create_contract("use", [axis_contract("part", RequiredInput)], [contract_vector("part", "net", RequiredInput)]))
+    return out | {"merged": merged.data["part", "net"].expectation, "docs": "part, net: GuaranteedOutput Float64" in contract_docs(merged)}
+
+
+facts("contract_rules", _judged, {"input": "fine", "output": "missing", "undeclared": "undeclared", "changed input": "the", "unused": "unused", "used": "fine", "plain": "fine", "merged": "GuaranteedOutput", "docs": True})
+
+
+def _reset(ds):
+    reorder_axes(ds, region=[5, 4, 3, 2, 1])
+    first = ",".join(ds.axis_entries("region", [1]))
+    reset_reorder_axes(ds)
+    back = ",".join(ds.axis_entries("region", [1]))
+    reorder_axes(ds, region=[5, 4, 3, 2, 1])
+    commit_reorder_axes(ds)
+    reset_reorder_axes(ds)
+    return {"reordered": first, "reset": back, "committed": ",".join(ds.axis_entries("region", [1]))}
+
+
+facts("reorder_reset", _reset, {"reordered": "MIDDLE EAST", "reset": "AFRICA", "committed": "MIDDLE EAST"})
+
+
+def _prefixed(ds):
+    """Two data sets whose parts have the supplier with the smallest name, concatenated along both axes."""
+    out = []
+    for name in ("a", "b"):
+        one = Dataset(ds.spark, name)
+        one.add_axis("supplier", ds.axis_frame("supplier").select("entry", "pos"), check=False)
+        one.add_axis("part", ds.axis_frame("part").select("entry", "pos"), check=False)
+        least = ds.get_matrix("part", "supplier", "quantity").groupBy(F.col("row").alias("entry")).agg(F.min("col").alias("value"))
+        one.set_vector("part", "supplier", least)
+        out.append(one)
+    to = Dataset(ds.spark, "both")
+    concatenate(to, ["part", "supplier"], out, prefix=True)
+    return to.get_vector("part", "supplier").select("entry", "value")
+
+
+over("concat_references", _prefixed, "SELECT d || '.' || p AS entry, CASE WHEN s IS NULL THEN '' ELSE d || '.' || s END AS value FROM (SELECT CAST(p_partkey AS VARCHAR) AS p, (SELECT MIN(CAST(l_suppkey AS VARCHAR)) FROM lineitem WHERE l_partkey = p_partkey) AS s FROM part), (VALUES ('a'), ('b')) t(d)")
+
+
+def _annotated(ds):
+    a = as_anndata(ds, "customer", "priority", "spend")
+    return a.X.groupBy("col").agg(F.sum("value").alias("value")).join(a.var.select(F.col("name").alias("col")), "col").select(F.col("col").alias("entry"), "value")
+
+
+over("annotated_matrix", _annotated, "SELECT o_orderpriority AS entry, ROUND(SUM(o_totalprice), 4) AS value FROM orders GROUP BY 1", 4)

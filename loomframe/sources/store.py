@@ -65,6 +65,14 @@ class Store:
         fs.delete(p, True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. Only a session on one machine may leave it out."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (top or "/tmp/checkpoints").rstrip("/")
+
+
 def save(ds: Reader, path: str, overwrite: bool = False) -> None:
     """Writes ds: a Parquet folder per axis and per matrix, and a catalog, last, that names them. A crash leaves the
     catalog before it, whose folders are still there."""

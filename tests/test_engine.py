@@ -113,6 +113,38 @@ def test_matrices(cells, query, want):
     assert same(cells[query].collect(), want)
 
 
+def test_labels_of_real_groups(spark):
+    from pyspark.sql import functions as F
+
+    from loomframe.plans.compile import label
+
+    want = {1e20: "100000000000000000000.0", -3.0: "-3.0", 0.0: "0.0", -0.0: "0.0", 0.1: "0.1", 0.1 + 0.2: "0.3", 1e-5: "1e-05", 1e-4: "1e-04", 1.5e-4: "0.00015", 1.25e-7: "1.25e-07", 12345678.5: "12345678.5", -0.001: "-0.001", 900.25: "900.25", 123456789.125: "123456789.125", math.inf: "Inf", -math.inf: "-Inf", math.nan: "NaN", 2.5e-100: "2.5e-100"}
+    rows = spark.createDataFrame([(x,) for x in want], "x double")
+    got = [r["t"] for r in rows.select(label("x", rows.schema["x"].dataType).alias("t")).collect()]
+    assert sorted(got) == sorted(want.values())
+    d = memory_dataset(spark)
+    d.add_axis("a", list("ABCD"))
+    d.set_vector("a", "g", [1e20, math.nan, 0.5, 0.5])
+    d.set_matrix("a", "a", "m", spark.createDataFrame([("A", "A", 1.0), ("C", "B", 2.0), ("B", "C", 3.0)], "row string, col string, value double"), 0)
+    assert d["@ a : index / g >> Sum || 9"].collect() == {"100000000000000000000.0": 1, "NaN": 9, "0.5": 7}
+    assert d["@ a @ a :: m -/ g >- Max || 9"].collect() == {("100000000000000000000.0", "A"): 1.0, **{("100000000000000000000.0", c): 0.0 for c in "BCD"}, ("0.5", "B"): 2.0, **{("0.5", c): 0.0 for c in "ACD"}, **{("NaN", c): 9.0 for c in "ABCD"}}
+    with pytest.raises(Exception, match="NaN"):
+        d["@ a @ a :: m -/ g >- Max"].collect()
+
+
+def test_mode_ties_go_to_the_first_place(spark):
+    d = memory_dataset(spark)
+    d.add_axis("r", ["a", "b", "c"])
+    d.add_axis("k", ["w", "x", "y", "z"])
+    d.set_vector("k", "odd", [True, False, True, False])
+    d.set_matrix("r", "k", "m", spark.createDataFrame([("a", "y", 5.0), ("a", "z", 5.0), ("b", "w", 5.0), ("b", "x", 5.0), ("c", "w", 7.0), ("c", "y", 0.0), ("c", "z", 7.0)], "row string, col string, value double"), 0)
+    assert d["@ r @ k :: m >| Mode"].collect() == {"a": 0.0, "b": 5.0, "c": 7.0}
+    assert d["@ r @ k [ ! odd ] :: m >| Mode"].collect() == {"a": 0.0, "b": 5.0, "c": 0.0}
+    assert d["@ k @ r :: m >- Mode"].collect() == {"a": 0.0, "b": 5.0, "c": 7.0}
+    assert d["@ r @ k :: m >> Mode"].collect() == 0.0 and d["@ r [ name = b ] @ k :: m >> Mode"].collect() == 5.0 and d["@ r [ name = a ] @ k :: m >> Mode"].collect() == 0.0
+    assert d["@ r @ k :: m |/ odd >| Mode"].collect() == {("a", "true"): 0.0, ("a", "false"): 0.0, ("b", "true"): 5.0, ("b", "false"): 5.0, ("c", "true"): 7.0, ("c", "false"): 0.0}
+
+
 def test_own_operations(vectors):
     from pyspark.sql import functions as F
 
