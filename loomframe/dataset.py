@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import UserDict
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
+from inspect import isfunction
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +18,17 @@ BAD_IN_NAMES = set('/\\:,\n\r\t\0')
 VIRTUAL = ("name", "index")
 
 
+class Lazy(UserDict):
+    """A mapping whose values may be functions without arguments, called when they are first asked for, so that opening a
+    data set touches none of its tables."""
+
+    def __getitem__(self, key):
+        value = self.data[key]
+        if isfunction(value) or isinstance(value, partial):
+            value = self.data[key] = value()
+        return value
+
+
 def checked_name(name: str, what: str = "name") -> str:
     if not name or name != name.strip() or set(name) & BAD_IN_NAMES:
         raise ValueError(f"invalid {what}: {name!r}")
@@ -256,8 +270,8 @@ class Dataset(Reader):
     def __init__(self, spark: SparkSession, name: str = "memory"):
         self.spark, self.name = spark, name
         self.scalars: dict[str, object] = {}
-        self.axes: dict[str, DataFrame] = {}
-        self.matrices: dict[tuple[str, str], dict[str, Matrix]] = {}
+        self.axes: Mapping[str, DataFrame] = Lazy()
+        self.matrices: dict[tuple[str, str], Mapping[str, Matrix]] = {}
         self.versions: dict[tuple, int] = {}
 
     def _scalars(self):
@@ -380,7 +394,7 @@ class Dataset(Reader):
             cells = self.spark.createDataFrame(flat, f"row string, col string, value {_list_type(values)}")
         if rows != cols:
             self.matrices.get((cols, rows), {}).pop(name, None)
-        self.matrices.setdefault((rows, cols), {})[name] = Matrix(cells.select(F.col("row").cast("string").alias("row"), F.col("col").cast("string").alias("col"), "value"), background)
+        self.matrices.setdefault((rows, cols), Lazy())[name] = Matrix(cells.select(F.col("row").cast("string").alias("row"), F.col("col").cast("string").alias("col"), "value"), background)
         self._bump("matrix", rows, cols, name)
 
     def relayout_matrix(self, rows: str, cols: str, name: str) -> None:
@@ -455,6 +469,12 @@ class ReadOnly(Reader):
     def __init__(self, base: Reader, name: str | None = None):
         self.base, self.spark, self.name = base, base.spark, name or base.name
 
+    def axis_length(self, axis: str) -> int:
+        return self.base.axis_length(axis)
+
+    def places(self, axis: str) -> DataFrame:
+        return self.base.places(axis)
+
     def _scalars(self):
         return self.base._scalars()
 

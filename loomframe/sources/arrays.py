@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import struct
+import zipfile
 from collections.abc import Callable, Iterator
+from urllib.error import HTTPError
+from urllib.request import Request, urlopen
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +46,27 @@ class Folder:
 
 
 class Site:
-    """Files under an http address. What there is comes from its metadata.json, a map from each file to its JSON."""
+    """Files under an http address. What there is comes from its metadata.zip, an archive of all JSON files with the axes'
+    names in axes/metadata.json; without one, from its metadata.json, a map from each file to its JSON."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.index = json.loads(fetched(f"{self.root}/metadata.json"))
+        try:
+            with zipfile.ZipFile(io.BytesIO(fetched(f"{self.root}/metadata.zip"))) as archive:
+                self.index = {n: json.loads(archive.read(n)) for n in archive.namelist()}
+            self.index |= {f"axes/{a}.txt": None for a in self.index["axes/metadata.json"]}
+            self.complete = False
+        except HTTPError:
+            self.index, self.complete = json.loads(fetched(f"{self.root}/metadata.json")), True
 
     def exists(self, path: str) -> bool:
-        return path in self.index
+        if path in self.index or self.complete or path.endswith(".json"):
+            return path in self.index
+        try:
+            with urlopen(Request(f"{self.root}/{path}", method="HEAD"), timeout=30):
+                return True
+        except HTTPError:
+            return False
 
     def json(self, path: str):
         return self.index[path] if path in self.index else json.loads(fetched(f"{self.root}/{path}"))
@@ -69,8 +86,6 @@ class Site:
 
 
 def fetched(url: str) -> bytes:
-    from urllib.request import urlopen
-
     with urlopen(url, timeout=30) as response:
         return response.read()
 

@@ -6,8 +6,10 @@ time, in pieces. Parquet (store.save) is the format to work with.
 
 from __future__ import annotations
 
+import io
 import json
 import struct
+import zipfile
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -40,16 +42,27 @@ class FlatSink:
     """Arrays as a JSON descriptor and bytes beside it."""
 
     def __init__(self, store: Store, root: str):
-        self.store, self.root = store, root
+        self.store, self.root, self.known, self.axes = store, root, {}, []
         self.json("daf.json", {"version": [1, 0]})
 
     def json(self, path: str, value) -> None:
-        self.store.write(f"{self.root}/{path}", json.dumps(value) + "\n")
+        self.known[path] = json.dumps(value) + "\n"
+        self.store.write(f"{self.root}/{path}", self.known[path])
+
+    def finish(self) -> None:
+        """Writes the archive of all JSON files that readers over HTTP begin with."""
+        self.json("axes/metadata.json", sorted(self.axes))
+        archive = io.BytesIO()
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for path in sorted(self.known):
+                z.writestr(zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0)), self.known[path])
+        self.store.stream(f"{self.root}/metadata.zip", [archive.getvalue()])
 
     def scalar(self, name: str, kind: str, value) -> None:
         self.json(f"scalars/{name}.json", {"type": kind, "value": int(value) if kind == "Bool" else value})
 
     def axis(self, name: str, size: int, batches) -> None:
+        self.axes.append(name)
         self.store.stream(f"{self.root}/axes/{name}.txt", self.lines(batches))
 
     def lines(self, batches) -> Iterator[bytes]:
@@ -74,6 +87,7 @@ class ZarrSink:
 
     def __init__(self, store: Store, root: str):
         self.store, self.root, self.groups = store, root, set()
+        self.finish = lambda: None
         for g in ("", "scalars", "axes", "vectors", "matrices"):
             self.group(g)
 
@@ -142,6 +156,7 @@ def export(ds: Reader, sink) -> None:
             order = stored.orderBy("c", "r")
             total = int(pointers[-1]) - 1
             sink.sparse(path, kind, {"colptr": n_cols + 1, "rowval": total, "nzval": total}, {"colptr": [pointers], "rowval": pieces(order.select((F.col("r") + 1).alias("value"))), "nzval": pieces(order)})
+    sink.finish()
 
 
 def write_files(ds: Reader, path: str) -> None:

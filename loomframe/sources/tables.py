@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dataset import Dataset
+from ..dataset import Dataset, Lazy, Matrix, filled, vc
 
 
 def axis_of(df: DataFrame, key: str, vectors: dict[str, object], order: str | None = None) -> DataFrame:
@@ -20,47 +22,44 @@ def axis_of(df: DataFrame, key: str, vectors: dict[str, object], order: str | No
 
 
 def from_tables(spark: SparkSession, sf_dir: str) -> Dataset:
-    """The supplied tables as one data set; nothing is read until a query's result is.
+    """The supplied tables as one data set; no table is touched, not even for its schema, until a query needs it.
 
     Axes region, nation, customer, supplier, part, order, user, event_type, document, vec; matrices quantity (part x
     supplier), spend (customer x priority), value (user x event_type), trade (nation x nation), embedding (vec x dim).
     """
-    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    t = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    text = lambda c: F.col(c).cast("string")
+    nations = lambda: t("nation").select("n_nationkey", F.col("n_name").alias("nation"))
+    priorities = lambda: t("orders").groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("pos"))
+    kinds = lambda: t("events").groupBy("event_type").agg(F.min("event_id").alias("pos"))  # noqa: E731  a row a kind
+    sums = lambda table, row, col, value: lambda: Matrix(t(table).groupBy(text(row).alias("row"), text(col).alias("col")).agg(F.sum(value).alias("value")), 0)
     ds = Dataset(spark, "tables")
     ds.set_scalar("organization", "star")
     ds.set_scalar("version", 1)
-    nation = t("nation")
-    region = t("region")
-    ds.add_axis("region", axis_of(region, "r_name", {}, "r_regionkey"), check=False)
-    named = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    ds.add_axis("nation", axis_of(named, "n_name", {"region": "r_name"}, "n_nationkey"), check=False)
-    nations = nation.select("n_nationkey", F.col("n_name").alias("nation"))
-    customer = t("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    ds.add_axis("customer", axis_of(customer, "c_custkey", {"nation": "nation", "acctbal": "c_acctbal", "segment": "c_mktsegment"}), check=False)
-    supplier = t("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-    ds.add_axis("supplier", axis_of(supplier, "s_suppkey", {"nation": "nation", "acctbal": "s_acctbal"}), check=False)
-    ds.add_axis("part", axis_of(t("part"), "p_partkey", {"brand": "p_brand", "type": "p_type", "size": "p_size", "price": "p_retailprice"}), check=False)
-    orders = t("orders")
-    ds.add_axis("order", axis_of(orders, "o_orderkey", {"customer": F.col("o_custkey").cast("string"), "status": "o_orderstatus", "priority": "o_orderpriority", "totalprice": "o_totalprice"}), check=False)
-    events = t("events")
-    users = events.select("user_id").distinct()
-    ds.add_axis("user", axis_of(users, "user_id", {}), check=False)
-    kinds = events.groupBy("event_type").agg(F.min("event_id").alias("pos"))  # a row a kind
-    ds.add_axis("event_type", axis_of(kinds, "event_type", {}, "pos"), check=False)
-    priorities = orders.groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("pos"))
-    ds.add_axis("priority", axis_of(priorities, "o_orderpriority", {}, "pos"), check=False)
-    documents = t("documents")
-    ds.add_axis("document", axis_of(documents, "doc_id", {"lang": "lang", "source": "source", "n_chars": "n_chars"}), check=False)
-    vectors = t("embeddings")
-    ds.add_axis("vec", axis_of(vectors, "vec_id", {"label": "label"}), check=False)
-    line = t("lineitem")
-    text = lambda c: F.col(c).cast("string")
-    ds.set_matrix("part", "supplier", "quantity", line.groupBy(text("l_partkey").alias("row"), text("l_suppkey").alias("col")).agg(F.sum("l_quantity").alias("value")), 0)
-    ds.set_matrix("user", "event_type", "value", events.groupBy(text("user_id").alias("row"), F.col("event_type").alias("col")).agg(F.sum("value").alias("value")), 0)
-    ds.set_matrix("customer", "priority", "spend", orders.groupBy(text("o_custkey").alias("row"), F.col("o_orderpriority").alias("col")).agg(F.sum("o_totalprice").alias("value")), 0)
+    ds.axes.update({
+        "region": lambda: named(axis_of(t("region"), "r_name", {}, "r_regionkey")),
+        "nation": lambda: named(axis_of(t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")), "n_name", {"region": "r_name"}, "n_nationkey")),
+        "customer": lambda: named(axis_of(t("customer").join(nations(), F.col("c_nationkey") == F.col("n_nationkey")), "c_custkey", {"nation": "nation", "acctbal": "c_acctbal", "segment": "c_mktsegment"})),
+        "supplier": lambda: named(axis_of(t("supplier").join(nations(), F.col("s_nationkey") == F.col("n_nationkey")), "s_suppkey", {"nation": "nation", "acctbal": "s_acctbal"})),
+        "part": lambda: named(axis_of(t("part"), "p_partkey", {"brand": "p_brand", "type": "p_type", "size": "p_size", "price": "p_retailprice"})),
+        "order": lambda: named(axis_of(t("orders"), "o_orderkey", {"customer": text("o_custkey"), "status": "o_orderstatus", "priority": "o_orderpriority", "totalprice": "o_totalprice"})),
+        "user": lambda: named(axis_of(t("events").select("user_id").distinct(), "user_id", {})),
+        "event_type": lambda: named(axis_of(kinds(), "event_type", {}, "pos")),
+        "priority": lambda: named(axis_of(priorities(), "o_orderpriority", {}, "pos")),
+        "document": lambda: named(axis_of(t("documents"), "doc_id", {"lang": "lang", "source": "source", "n_chars": "n_chars"})),
+        "vec": lambda: named(axis_of(t("embeddings"), "vec_id", {"label": "label"})),
+    })
+    ds.matrices["part", "supplier"] = Lazy(quantity=sums("lineitem", "l_partkey", "l_suppkey", "l_quantity"))
+    ds.matrices["user", "event_type"] = Lazy(value=sums("events", "user_id", "event_type", "value"))
+    ds.matrices["customer", "priority"] = Lazy(spend=sums("orders", "o_custkey", "o_orderpriority", "o_totalprice"))
     return ds
 
 
+def named(frame: DataFrame) -> DataFrame:
+    """An axis's DataFrame with its vectors' columns named as a data set has them; missing strings are empty."""
+    return frame.select("entry", "pos", *(filled(frame, c).alias(vc(c)) for c in frame.columns if c not in ("entry", "pos")))
+
+
 def with_trade(ds: Dataset, spark: SparkSession, sf_dir: str) -> Dataset:
     """ds with trade: extended prices from each customer's nation to each supplier's, a square matrix."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -14,7 +14,7 @@ from loomframe.config import empty_cache, keep
 from loomframe.dataset import memory_dataset
 from loomframe.operators.complete import complete_chain, complete_dataset
 from loomframe.sources.anndata import as_anndata
-from loomframe.sources.export import files_to_zarr, zarr_to_files
+from loomframe.sources.export import files_to_zarr, write_files, zarr_to_files
 from loomframe.sources.store import ParquetDataset, open_dataset, save
 
 
@@ -69,6 +69,9 @@ def test_http(spark, flat):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     try:
         checked(open_dataset(spark, f"http://127.0.0.1:{server.server_port}"))
+        write_files(open_dataset(spark, str(flat)), str(flat / "again"))  # with metadata.zip
+        assert json.loads((flat / "again/axes/metadata.json").read_text()) == ["cell", "gene"]
+        checked(open_dataset(spark, f"http://127.0.0.1:{server.server_port}/again"))
         with pytest.raises(ValueError, match="read-only"):
             open_dataset(spark, f"http://127.0.0.1:{server.server_port}", "r+")
     finally:
@@ -112,6 +115,43 @@ def test_zarr(spark, tmp_path):
     assert ds["@ gene @ cell :: sm >| Sum"].collect() == {"X": 0.0, "Y": 9.0}
 
 
+def test_zarr_of_several_chunks(spark, tmp_path):
+    root, group, plain = tmp_path / "m.daf.zarr", {"zarr_format": 3, "node_type": "group"}, [{"name": "bytes"}]
+    texts = lambda xs: struct.pack("<I", len(xs)) + b"".join(struct.pack("<I", len(x)) + x.encode() for x in xs)
+    for g in ("", "axes/", "vectors/", "vectors/well/", "vectors/well/sv/", "matrices/", "matrices/well/", "matrices/well/dye/", "matrices/well/dye/sm/"):
+        put(root / f"{g}zarr.json", group)
+    r = np.random.default_rng(5)
+    dense, some = r.integers(1, 9, (3, 7)).astype("<f8"), r.integers(0, 3, (3, 7))  # dyes by wells
+
+    def write(base, a, kind, chunk, skip=()):
+        put(root / f"{base}/zarr.json", node(list(a.shape), kind, plain, chunk))
+        for at in np.ndindex(*(-(-n // c) for n, c in zip(a.shape, chunk))):
+            whole = np.zeros(chunk, a.dtype)  # chunks at the edges are whole
+            own = a[tuple(slice(p * c, (p + 1) * c) for p, c in zip(at, chunk))]
+            whole[tuple(slice(0, n) for n in own.shape)] = own
+            if at not in skip:
+                put(root / "/".join([base, "c", *map(str, at)]), whole.tobytes())
+
+    for axis, n in (("well", 7), ("dye", 3)):
+        put(root / f"axes/{axis}/zarr.json", node([n], "string", [{"name": "vlen-utf8"}], [2]))
+        for k in range(-(-n // 2)):
+            put(root / f"axes/{axis}/c/{k}", texts([f"{axis}{i}" if i < n else "" for i in range(2 * k, 2 * k + 2)]))
+    write("vectors/well/volume", np.arange(7, dtype="<i4"), "int32", [3], skip=[(1,)])
+    write("vectors/well/sv/nzind", np.array([1, 3, 7], "<i8"), "int64", [2])
+    write("vectors/well/sv/nzval", np.array([1.5, 2.5, 3.5]), "float64", [2])
+    write("matrices/well/dye/dm", dense, "float64", [2, 3])
+    stored = [(c, w) for c in range(3) for w in range(7) if some[c, w]]
+    write("matrices/well/dye/sm/colptr", np.array([1 + sum(c < k for c, _ in stored) for k in range(4)], "<i8"), "int64", [3])
+    write("matrices/well/dye/sm/rowval", np.array([w + 1 for _, w in stored], "<i8"), "int64", [4])
+    write("matrices/well/dye/sm/nzval", np.array([some[c, w] for c, w in stored], "<i8"), "int64", [5])
+    ds = open_dataset(spark, str(root))
+    wells, dyes = [f"well{i}" for i in range(7)], [f"dye{i}" for i in range(3)]
+    assert ds.axis_entries("well") == wells and ds.axis_entries("dye") == dyes
+    assert ds["@ well : volume"].collect() == dict(zip(wells, [0, 1, 2, 0, 0, 0, 6])) and ds["@ well : sv"].collect() == dict(zip(wells, [1.5, 0, 2.5, 0, 0, 0, 3.5]))
+    assert ds["@ well @ dye :: dm"].collect() == {(w, d): dense[j, i] for i, w in enumerate(wells) for j, d in enumerate(dyes)}
+    assert ds["@ well @ dye :: sm"].collect() == {(w, d): some[j, i] for i, w in enumerate(wells) for j, d in enumerate(dyes)}
+
+
 def test_written_layouts_read_back(spark, flat, tmp_path):
     files_to_zarr(spark, str(flat), f"{tmp_path}/a.daf.zarr")
     checked(open_dataset(spark, f"{tmp_path}/a.daf.zarr"))
