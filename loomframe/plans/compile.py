@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import inefficient
 from ..dataset import Matrix, Reader, placed
 from ..functions import eltwise
 from ..functions.columns import SPARK, compared, guarded, is_real, truthy
@@ -25,12 +27,12 @@ class Result:
     kind: str
     df: DataFrame
     order: DataFrame | None = None
-    dense_df: DataFrame | None = None
+    every_cell: Callable[[], DataFrame] | None = None
     background: object = None
 
     def dense(self) -> DataFrame:
         """A matrix with a row for every cell."""
-        return self.dense_df if self.dense_df is not None else self.df
+        return self.every_cell() if self.every_cell is not None else self.df
 
     def collect(self):
         """Names, a value, entries, or a dict of values by entry (in axis order) or by (row, col)."""
@@ -94,6 +96,12 @@ class Grid:
     def transposed(self) -> Grid:
         return Grid(self.cols, self.rows, self.cells.select(F.col("col").alias("row"), F.col("row").alias("col"), "value"), self.background, self.name)
 
+    def written_out(self) -> DataFrame:
+        """dense() where a query cannot do without: its cells are as many as the axes say, however few are stored."""
+        if self.background is not None:
+            inefficient(f"the cells that are not stored of the matrix {self.name or ''} are written out")
+        return self.dense()
+
     def dense(self) -> DataFrame:
         if self.background is None:
             return self.cells
@@ -172,7 +180,7 @@ class Compiler:
         if isinstance(got, Vector):
             order = got.frame.select("entry", "pos", F.col("__v").alias("value"))
             return Result("vector", order.select("entry", "value"), order)
-        return Result("matrix", got.cells, dense_df=got.dense(), background=got.background)
+        return Result("matrix", got.cells, every_cell=got.dense, background=got.background)
 
     def names(self, found) -> Result:
         spark = self.ds.spark
@@ -471,7 +479,7 @@ class Compiler:
                 g = self.through_axis(g)
             elif self.peek("LookupMatrix"):
                 m, pick, _ = self.second_matrix(g.name)
-                joined = g.dense().join(m.df.where(pick).select(F.col("row").alias("__k"), F.col("value").alias("__w")), F.col("value") == F.col("__k"), "left")
+                joined = g.written_out().join(m.df.where(pick).select(F.col("row").alias("__k"), F.col("value").alias("__w")), F.col("value") == F.col("__k"), "left")
                 value = F.col("__w") if m.background is None else F.coalesce("__w", F.lit(m.background).cast(m.df.schema["value"].dataType))
                 g = replace(g, cells=joined.select("row", "col", value.alias("value")), background=None)
             elif node := self.take(*COMPARISONS):
@@ -509,7 +517,7 @@ class Compiler:
         node = self.need("LookupVector")
         axis = axis or self.target(None, name)
         dim = self.ds.with_vector(axis, node.name).select(F.col("entry").alias("__k"), self.ds.vector_column(axis, node.name).alias("__w"))
-        cells = (g if g.background is None else replace(g, cells=g.dense())).cells
+        cells = g.written_out()
         value = F.col("__w")
         if fallback is not None and fallback.name is not None:
             value = F.coalesce(value, self.constant(fallback, dim.schema["__w"].dataType))
@@ -593,7 +601,7 @@ class Compiler:
         if g.background is not None:
             background = eltwise.of_background(node.name, params, g.background)
             if background is None:
-                g = replace(g, cells=g.dense(), background=None)
+                g = replace(g, cells=g.written_out(), background=None)
         cells, over = g.cells, None
         if node.name in eltwise.WHOLE:
             x = F.col("value").cast("double")

@@ -367,7 +367,18 @@ def _kept(ds):
     ds.set_scalar("changed", 1)
     other = config.keep(ds, "@ part : size >> Sum") is first
     config.empty_cache([ds])
-    return {"same": same, "after a change": other, "handler": config.inefficient_action_handler(config.inefficient_action_handler("ignore")), "names": sorted(registry.registered_reductions())[:3]}
+    said: list[str] = []
+    config.register_handler("collect", said.append)
+    before = config.inefficient_action_handler("collect")
+    try:
+        registry.register_eltwise("Next", lambda v: v + 1, overwrite=True)
+        ds.query("@ customer @ priority :: spend % Next >| Max")
+    finally:
+        config.inefficient_action_handler(before)
+    return {"same": same, "after a change": other, "handler": before, "dense": len(said), "reductions": {"Sum", "Mode"} <= set(registry.registered_reductions()), "eltwise": "Log" in registry.registered_eltwise()}
+
+
+facts("kept_results_and_handlers", _kept, {"same": True, "after a change": False, "handler": "warn", "dense": 1, "reductions": True, "eltwise": True})
 
 
 # storage: written, read again, and asked

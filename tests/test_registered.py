@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SPREAD = ["group_mean_masked", "mask_and_or_xor", "mask_by_matrix", "chain_if_not_value", "chain_grouped", "group_vector_mode", "count_by_chain", "eltwise_significant", "matrix_rows_quantile", "matrix_group_rows_std", "matrix_group_nested_rows", "slice_square_row", "tidy_slice_max", "view_matrix", "concat_vector", "reconstruct_axis", "top_k_per_col", "adapter_computation"]
+SPREAD = ["group_mean_masked", "mask_and_or_xor", "mask_by_matrix", "chain_if_not_value", "chain_grouped", "group_vector_mode", "count_by_chain", "eltwise_significant", "matrix_rows_quantile", "matrix_group_rows_std", "matrix_group_nested_rows", "slice_square_row", "tidy_slice_max", "view_matrix", "concat_vector", "reconstruct_axis", "top_k_per_col", "adapter_computation", "index_gapped", "index_concatenated", "matrix_mode_ties", "matrix_mode_groups", "matrix_mode_all", "matrix_of_entries", "matrix_of_matrix", "dataset_changes", "contract_rules", "stored_based", "group_names", "collect_group_members", "kept_results_and_handlers"]
 
 
 @pytest.fixture(scope="module")
