@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 from operator import add, and_
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,10 +37,12 @@ PLACES, SHIFT = 1 << 40, 1 << 20
 
 
 def words_of(text: Column) -> Column:
-    """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of a text, A-Z in lower case; null is empty. Full lower-casing only
-    changes other letters too; none of them becomes a separator, and no word of a template has k, the one letter that a
-    non-ASCII character can become."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), SEPARATORS), "")
+    """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of a text, A-Z in lower case; null is empty. Full lower-casing, which is
+    faster, changes other letters too, but no word with one becomes a word of a template, and none becomes a separator;
+    only the Kelvin sign becomes an ASCII letter, and texts with it have A-Z alone changed."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    low = F.when(F.contains(text, F.lit("\u212a")), F.translate(text, ascii_uppercase, ascii_lowercase)).otherwise(F.lower(text))
+    return F.array_remove(F.split(low, SEPARATORS), "")
 
 
 def ordered(words: set[str], frequency: dict[str, int], docs: int) -> list[tuple[str, float]]:
@@ -66,14 +69,16 @@ def licence_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     needed = [t for t, *_ in phrases] + [m for m in leads if m]
     vocabulary = {w for t, *_ in (*phrases, *notices) for w in t.split()} - set(COMMON) | {min(t.split(), key=lambda w: (w in COMMON, -len(w))) for t in needed} | {w for (t, *_), m in zip(notices, leads) if not m for w in t.split()}
     split = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    present = split.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, sorted(vocabulary))))).alias("w"))
+    # the empty word counts the documents
+    present = split.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("words", F.array(*map(F.lit, sorted(vocabulary)))))).alias("w"))
     frequency = {r["w"]: r["n"] for r in present.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a licence word
-    idf = ordered(vocabulary, frequency, docs.count())
+    idf = ordered(vocabulary, frequency, frequency.get("", 0))
     place = {w: i for i, (w, _) in enumerate(idf)}
     rarest = F.array(*(F.lit(w) for w, _ in idf))
 
     marked = split.withColumn("n_words", F.size("words").cast("long"))
-    pairs = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.cast("long").alias("i"))), lambda x: x["w"].isin(list(place)))
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(list(place)))
+    pairs = F.transform(places, lambda i: F.struct(F.get("words", i).alias("w"), i.cast("long").alias("i")))
     none = F.array().cast("array<struct<w:string,i:bigint>>")
     marked = marked.withColumn("hits", F.when(F.arrays_overlap("words", rarest), pairs).otherwise(none))
 
