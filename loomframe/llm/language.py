@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, flat, local, stream, text_bytes
+from .common import STEP_BYTES, arrow_map, flat, local, sliced, stream, text_bytes
 
 #: Bytes of the longest context.
 ORDER = 3
@@ -121,16 +122,17 @@ class Trees:
     def coded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """lengths(), and the length of each whole text with each part of PART bytes under the language that suits it."""
         out, mixed = np.zeros((len(texts), len(self.languages)), np.int64), np.zeros(len(texts), np.int64)
-        full = [i for i, x in enumerate(texts) if x]
-        if not full or not self.languages:
-            return out, mixed
-        data, bounds = flat([x for i in full for x in (BEFORE, texts[i])])
-        keys = strings(data)
-        bounds = bounds[1::2] - ORDER  # where each text's strings begin; those before them span two texts
-        mine = np.ones(len(keys), bool)
-        mine[(bounds[1:, None] - 1 - np.arange(ORDER)).ravel()] = False
-        keys = keys[mine]
-        sizes = np.array([len(texts[i]) for i in full])
+        for own, pieces in windows(texts) if self.languages else ():
+            bits, least = self.pieces(pieces)
+            np.add.at(out, own, bits)
+            np.add.at(mixed, own, least)
+        return out, mixed
+
+    def pieces(self, pieces: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """coded() of pieces of texts, each with the ORDER bytes before it."""
+        keys = strings_of(pieces)
+        out, mixed = np.zeros((len(pieces), len(self.languages)), np.int64), np.zeros(len(pieces), np.int64)
+        sizes = np.array([len(x) for _, x in pieces])
         parts = -(-sizes // PART)
         first = np.cumsum(parts) - parts
         starts = np.repeat(np.cumsum(sizes) - sizes, parts) + PART * (np.arange(parts.sum()) - np.repeat(first, parts))
@@ -143,9 +145,9 @@ class Trees:
             each = column[at] if len(column) else np.zeros(len(at), np.int32)
             each[rest] = found[:, i]
             bits = np.add.reduceat(each, starts, dtype=np.int64)
-            out[full, i] = np.add.reduceat(bits, first)
+            out[:, i] = np.add.reduceat(bits, first)
             least = bits if least is None else np.minimum(least, bits)
-        mixed[full] = np.add.reduceat(least, first)
+        mixed[:] = np.add.reduceat(least, first)
         return out, mixed
 
     def predicted(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
@@ -176,6 +178,31 @@ def has_letter(x: bytes) -> bool:
     return bool(ASCII_LETTER.search(x)) or (not x.isascii() and any(map(str.isalpha, x.decode("utf-8", "replace"))))
 
 
+def windows(texts: list[bytes]) -> Iterator[tuple[list[int], list[tuple[bytes, bytes]]]]:
+    """The texts in pieces of at most STEP_BYTES, a multiple of PART, each with the ORDER bytes before it, and what text each
+    is of; about STEP_BYTES of them at a time."""
+    own, pieces, size = [], [], 0
+    for i, x in enumerate(texts):
+        for at in range(0, len(x), STEP_BYTES):
+            if pieces and size + min(len(x) - at, STEP_BYTES) > STEP_BYTES:
+                yield own, pieces
+                own, pieces, size = [], [], 0
+            own.append(i)
+            pieces.append((x[at - ORDER : at] if at else BEFORE, x[at : at + STEP_BYTES]))
+            size += len(pieces[-1][1])
+    if pieces:
+        yield own, pieces
+
+
+def strings_of(pieces: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """The string that ends in each byte of the pieces."""
+    data, bounds = flat([x for p in pieces for x in p])
+    keys = strings(data)
+    mine = np.ones(len(keys), bool)
+    mine[(bounds[2:-1:2, None] - 1 - np.arange(ORDER)).ravel()] = False  # strings that span two pieces
+    return keys[mine]
+
+
 def strings(data: np.ndarray) -> np.ndarray:
     """Every string of ORDER + 1 bytes as a number."""
     out = data[: len(data) - ORDER].astype(np.uint32)
@@ -205,17 +232,14 @@ def learned(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", tra
         texts, langs, halves = text_bytes(cols[1]), np.array(cols[0].to_pylist(), object), cols[2].to_numpy()
         out_lang, out_half, out_key, out_n = [], [], [], []
         for lang, half in sorted(set(zip(langs.tolist(), halves.tolist()))):
-            data, bounds = flat([x for i in np.flatnonzero((langs == lang) & (halves == half)) for x in (BEFORE, texts[i])])
-            keys = strings(data)
-            starts = bounds[1::2] - ORDER
-            mine = np.ones(len(keys) + ORDER, bool)
-            mine[(starts[1:, None] - 1 - np.arange(ORDER)).ravel()] = False
-            keys, n = np.unique(keys[mine[: len(keys)]], return_counts=True)
-            out_lang += [lang] * len(keys)
-            out_half.append(np.full(len(keys), half, np.int64))
-            out_key.append(keys.astype(np.int64))
-            out_n.append(n)
-        return [pa.array(out_lang, pa.string()), *map(np.concatenate, (out_half, out_key, out_n))]
+            for _, pieces in windows([texts[i] for i in np.flatnonzero((langs == lang) & (halves == half))]):
+                keys, n = np.unique(strings_of(pieces), return_counts=True)
+                out_lang += [lang] * len(keys)
+                out_half.append(np.full(len(keys), half, np.int64))
+                out_key.append(keys.astype(np.int64))
+                out_n.append(n)
+        none = [np.zeros(0, np.int64)]
+        return [pa.array(out_lang, pa.string()), *(np.concatenate(none + x) for x in (out_half, out_key, out_n))]
 
     counted = stream(sample, step, halved, "lang string, half long, s long, n long").groupBy("lang", "half", "s").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     languages = sorted(counted["lang"].unique().tolist())
@@ -293,17 +317,16 @@ def identified(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col:
 
 def kept(docs: DataFrame, trees: Trees, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of docs, all their columns, whose language is told with a score of at least least and that
-    are coded about as well as that language's own documents."""
+    are coded about as well as that language's own documents. Each row is judged by its whole text alone, so ids may be
+    null or repeat, and rows of one text stay or go alike; null and empty texts and those without a letter go. An empty
+    table gives no rows, and trees without a language keep none."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):
-        from .common import sliced
-
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for few in sliced(batch):
                 said, score, own = local(shared).judged(text_bytes(few.column(at).cast(pa.string())))
                 yield few.filter(pa.array((np.array(said) != "und") & (score >= least) & own))
 
-    bounded(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
