@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -126,6 +127,27 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with bounded batches; a Python worker, which outlives its tasks, gives back after each what it does not
+    hold on to."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    bounded(df.sparkSession)
+    return df.mapInArrow(whole, schema)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def stream(df: DataFrame, step: Callable[[list[pa.Array], dict], list], cols: list[Column], schema: str) -> DataFrame:
     """mapInArrow of step over the selected columns. step gets the columns of at most STEP_BYTES of data (or one
     row) and a dict that lasts for the partition, and returns the output columns."""
@@ -142,8 +164,7 @@ def stream(df: DataFrame, step: Callable[[list[pa.Array], dict], list], cols: li
     from pyspark.sql.types import _parse_datatype_string
 
     names = _parse_datatype_string(schema).names
-    bounded(df.sparkSession)
-    return df.select(*cols).mapInArrow(run, schema)
+    return arrow_map(df.select(*cols), run, schema)
 
 
 def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -7,14 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, flat, gathered, stream, text_bytes
+from .common import STEP_BYTES, arrow_map, drop, flat, sliced, stream, text_bytes, written
 
 #: Bytes of a passage, at most; a document's passages are of nearly equal length.
 PASSAGE_BYTES = 512
-#: Labelled documents that training takes, about (chosen by a hash of the id); the only bound on what is learned from.
+#: Labelled documents that training takes, about (chosen by a hash of the id), each whole.
 TRAINING_DOCS = 4000
-#: Passages of a document in training, evenly spread; scoring takes all.
-TRAINING_PASSAGES = 64
+#: Passages that the documents of training may have in all; those that do not fit any more are not of the sample.
+TRAINING_PASSAGES = 100_000
 KINDS = 16
 
 #: The kind of each byte: spaces 0-1, vowels 2, other small letters 3, capitals 4, digits 5, marks 6-13, UTF-8 14-15.
@@ -32,8 +32,38 @@ def passages(lengths: np.ndarray) -> np.ndarray:
     return np.maximum(1, -(-lengths // PASSAGE_BYTES))
 
 
+def segments(text: bytes) -> list[bytes]:
+    """A text as parts of nearly equal length of at most STEP_BYTES, that are encoded one by one."""
+    n = -(-len(text) // STEP_BYTES)
+    return [text] if n < 2 else [text[k * len(text) // n : (k + 1) * len(text) // n] for k in range(n)]
+
+
+def by_steps(texts: list[bytes], made) -> tuple[np.ndarray, np.ndarray]:
+    """made(encoded()) of all passages of whole texts, a step of about STEP_BYTES after the other, and the number of
+    passages of each text."""
+    out, number = [], np.zeros(len(texts), np.int64)
+    held, own, size = [], [], 0
+
+    def step():
+        x, n = encoded(held)
+        out.append(made(x))
+        np.add.at(number, own, n)
+
+    for i, text in enumerate(texts):
+        for part in segments(text):
+            if held and size + len(part) > STEP_BYTES:
+                step()
+                held, own, size = [], [], 0
+            held.append(part)
+            own.append(i)
+            size += len(part)
+    if held:
+        step()
+    return np.concatenate(out), number
+
+
 def encoded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every passage of whole texts, and the number of passages of each text.
+    """Features of every passage of texts, or segments of texts, and the number of passages of each.
 
     Shares of pairs of adjacent kinds of byte (square roots), words, their mean length, words that repeat the last one,
     and bytes; all a function of the text alone.
@@ -60,7 +90,8 @@ def encoded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     apart[bounds[:-1][lengths > 0]] = True  # a text's first word is its own
     begin = np.flatnonzero(inside & apart)
     if len(begin):
-        words = np.add.reduceat(np.where(inside, WORD_CODES[data], 0), begin)
+        place = np.arange(begin[0], len(data)) - np.repeat(begin, np.diff(begin, append=len(data)))
+        words = np.add.reduceat(np.where(inside[begin[0] :], WORD_CODES[data[begin[0] :]] * (2 * place + 1), 0), begin - begin[0])
         text = of[own[begin]]
         again = np.concatenate([[False], (words[1:] == words[:-1]) & (text[1:] == text[:-1])])
         count = np.bincount(own[begin], minlength=total)
@@ -84,10 +115,13 @@ class Model:
     def scaled(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean.astype(np.float32)) / self.scale.astype(np.float32)).astype(np.float32)
 
-    def forward(self, x: np.ndarray, number: np.ndarray) -> dict:
-        """x: scaled features."""
+    def hidden(self, x: np.ndarray) -> np.ndarray:
+        """The passages' hidden layer; x: scaled features."""
+        return np.tanh((x @ self.p["W"].astype(np.float32)).astype(float) + self.p["b"])
+
+    def forward(self, h: np.ndarray, number: np.ndarray) -> dict:
+        """What attention makes of the passages' hidden layer."""
         p, starts = self.p, np.cumsum(number) - number
-        h = np.tanh((x @ p["W"].astype(np.float32)).astype(float) + p["b"])
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-np.clip(h @ p["U"], -30, 30)))
         e = (t * g) @ p["w"]
         top = np.repeat(np.maximum.reduceat(e, starts), number)
@@ -97,22 +131,25 @@ class Model:
         y = 1 / (1 + np.exp(-np.clip(z @ p["u"] + p["c"], -30, 30)))
         return {"h": h, "t": t, "g": g, "a": a, "z": z, "y": y, "starts": starts}
 
+    def gradient(self, x: np.ndarray, number: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss, by parameter; x: scaled features."""
+        p, own, f = self.p, np.repeat(np.arange(len(number)), number), self.forward(self.hidden(x), number)
+        dy = (f["y"] - label) / len(label)
+        dz = dy[:, None] * p["u"]
+        da = (dz[own] * f["h"]).sum(axis=1)
+        mean = np.add.reduceat(f["a"] * da, f["starts"])
+        de = f["a"] * (da - mean[own])
+        dt, dg = de[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
+        dh = (f["a"][:, None] * dz[own] + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
+        return {"W": (x.T @ dh.astype(np.float32)).astype(float), "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ de, "u": f["z"].T @ dy, "c": dy.sum(keepdims=True)}
+
     def fit(self, x: np.ndarray, number: np.ndarray, label: np.ndarray, rounds: int = 150, rate: float = 0.01, decay: float = 1e-4) -> Model:
         """Adam on the whole sample's mean log loss."""
         self.mean, self.scale = x.mean(axis=0, dtype=float), x.std(axis=0, dtype=float) + 0.02
         x = self.scaled(x)
         p, m, v = self.p, {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}
-        own = np.repeat(np.arange(len(number)), number)
         for step in range(1, rounds + 1):
-            f = self.forward(x, number)
-            dy = (f["y"] - label) / len(label)
-            dz = dy[:, None] * p["u"]
-            da = (dz[own] * f["h"]).sum(axis=1)
-            mean = np.add.reduceat(f["a"] * da, f["starts"])
-            de = f["a"] * (da - mean[own])
-            dt, dg = de[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
-            dh = (f["a"][:, None] * dz[own] + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
-            grad = {"W": (x.T @ dh.astype(np.float32)).astype(float), "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ de, "u": f["z"].T @ dy, "c": dy.sum(keepdims=True)}
+            grad = self.gradient(x, number, label)
             for k, g in grad.items():
                 g = g + decay * p[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -123,30 +160,30 @@ class Model:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        x, number = encoded(texts)
-        return self.forward(self.scaled(x), number)["y"]
+        return self.forward(*by_steps(texts, lambda x: self.hidden(self.scaled(x))))["y"]
 
 
-def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", training_docs: int = TRAINING_DOCS) -> Model:
-    """A model of the labelled rows given: about training_docs of them, by a hash of the id, encoded where they are.
+def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", training_docs: int = TRAINING_DOCS, training_passages: int = TRAINING_PASSAGES) -> Model:
+    """A model of the labelled rows given: about training_docs of them, by a hash of the id, with all their passages.
 
-    Rows without id or label teach nothing; without any, the model is untrained and scores all documents alike.
+    Whole documents are taken in the order of the hash, without those that would make it more than training_passages
+    passages. Rows without id or label teach nothing; a null text is one empty passage; without any row the model is
+    untrained and scores all documents alike. Rows that repeat an id teach each.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("double").alias("label"))
+    known = labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("label_id"), F.col(f"`{label_col}`").cast("double").alias("label"))
     share = min(1.0, training_docs / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(share * (1 << 30)))  # about training_docs rows
-    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "label_id")
+    rows = docs.select(F.col(f"`{id_col}`").alias("label_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "label_id")
+    taken = written(rows.select("text", F.xxhash64("label_id", "text").alias("k"), "label"), "sample")
+    sizes = taken.select("k", F.octet_length("text").alias("n")).toArrow().sort_by([("k", "ascending"), ("n", "ascending")])  # a row a document of the sample
+    whole = taken.where(~F.col("k").isin(over)) if (over := fits_not(sizes, training_passages)) else taken
 
     def step(cols, state):
-        x, number = encoded(text_bytes(cols[0]))
-        take = np.minimum(number, TRAINING_PASSAGES)
-        at = gathered(np.zeros(len(take), np.int64), take)
-        rows = np.repeat(np.cumsum(number) - number, take) + at * np.repeat(number, take) // np.repeat(take, take)
-        ends = np.concatenate([[0], np.cumsum(take)])
-        few = x[rows].astype(np.float16)
-        return [cols[1], cols[2], pa.array([few[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())]
-
-    sample = stream(rows, step, [F.col("text"), F.xxhash64("label_id", "text").alias("k"), F.col("label")], "k long, label double, x binary").toArrow().sort_by([("k", "ascending"), ("label", "ascending")])
+        parts = [by_steps([x], lambda f: f.astype(np.float16))[0].tobytes() for x in text_bytes(cols[0])]
+        return [cols[1], cols[2], pa.array(parts, pa.large_binary()).cast(pa.binary())]
+
+    sample = stream(whole, step, [F.col("text"), F.col("k"), F.col("label")], "k long, label double, x binary").toArrow().sort_by([("k", "ascending"), ("label", "ascending")])
+    drop(taken)
     model = Model()
     if sample.num_rows:
         xs = [np.frombuffer(b, np.float16).reshape(-1, FEATURES) for b in sample["x"].to_pylist()]
@@ -154,6 +191,17 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     return model
 
 
+def fits_not(sizes: pa.Table, most: int) -> list[int]:
+    """Keys of the documents (k, n bytes), in order, that would make it more than so many passages."""
+    out = []
+    for k, n in zip(sizes["k"].to_pylist(), passages(sizes["n"].to_numpy()).tolist()):
+        if n > most:
+            out.append(k)
+        else:
+            most -= n
+    return out
+
+
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted (1 if score >= threshold) of every row, from all passages of its whole text; a null or
     empty text is one passage of nothing. Repeated rows get a row each."""
@@ -167,15 +215,14 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def kept(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all their columns, whose text the model does not reject."""
+    """The rows of docs, all their columns, whose text the model gives at least the threshold. Each row is judged by its
+    whole text alone, so rows of one text, ids that repeat or are null, stay or go alike; a null or empty text is one
+    passage of nothing. An empty table gives no rows."""
 
     def run(batches):
-        from .common import sliced
-
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for few in sliced(batch):
                 yield few.filter(pa.array(model.scores(text_bytes(few.column(at).cast(pa.string()))) >= threshold))
 
-    bounded(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
