@@ -2,25 +2,46 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import gathered, stream, text_bytes, written
-from .components import components
+from .common import STEP_BYTES, arrow_map, gathered, stream, text_bytes, written
+from .components import Forest, components
 
 #: The bits of each byte, one to a byte of a 64-bit integer.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
-#: A bucket of fingerprints equal in one block is parted once more beyond so many.
+#: Shingles whose bits are summed in one go.
+HELD_SHINGLES = 1 << 17
+
+#: A bucket of fingerprints is parted once more beyond so many, as long as LEVELS has more parts.
 HOT_BUCKET = 2048
 
-#: Node pairs that one step of the traversal may hold.
-FRONTIER = 1 << 19
+#: Bits that are not yet agreed on, and bits of each of the four parts of which one must agree, level by level.
+LEVELS = ((64, 16), (48, 12), (36, 9))
+
+#: Node pairs that one step of the traversal may hold, pairs of keys that are compared in one go, and links of a batch.
+FRONTIER, COMPARED, BATCH_LINKS = 1 << 16, 1 << 20, 1 << 16
+
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_runs(text: bytes, size: int) -> Iterator[list[bytes]]:
+    """Words of a text, in lists of about STEP_BYTES of it that overlap by size - 1 words."""
+    at, last = 0, []
+    while at < len(text):
+        cut = SPACE.search(text, at + STEP_BYTES) if len(text) - at > STEP_BYTES else None
+        end = cut.start() if cut else len(text)
+        w = last + text[at:end].lower().split()
+        yield w
+        at, last = end, w[max(0, len(w) - size + 1) :]
 
 
 def fingerprints(texts: list[bytes], size: int = 3, seed: int = 42) -> np.ndarray:
@@ -28,39 +49,49 @@ def fingerprints(texts: list[bytes], size: int = 3, seed: int = 42) -> np.ndarra
     whole sequence if it has fewer, none if empty), a bit set where over half of the shingles' XXH64 have it."""
     digest = partial(xxh64_intdigest, seed=seed)
     hashes: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
+    runs: list[tuple[int, int]] = []
+    counts, ones = np.zeros(len(texts), np.int64), np.zeros((len(texts), 64), np.int64)
     for i, text in enumerate(texts):
-        w = text.lower().split()
-        n = len(w) - size + 1
-        if n > 0:
-            hashes += map(digest, map(b" ".join, zip(*(w[j:] for j in range(size)))))
-        elif w:
+        w: list[bytes] = []
+        for w in word_runs(text, size):
+            n = len(w) - size + 1
+            if n > 0:
+                hashes += map(digest, map(b" ".join, zip(*(w[j:] for j in range(size)))))
+                runs.append((i, n))
+                counts[i] += n
+                if len(hashes) > HELD_SHINGLES:
+                    add_bits(ones, hashes, runs)
+                    hashes, runs = [], []
+        if w and not counts[i]:
             hashes.append(digest(b" ".join(w)))
-            n = 1
-        counts[i] = max(n, 0)
-    out = np.zeros(len(texts), np.uint64)
+            runs.append((i, 1))
+            counts[i] = 1
+    add_bits(ones, hashes, runs)
+    return np.packbits(ones * 2 > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def add_bits(ones: np.ndarray, hashes: list[int], runs: list[tuple[int, int]]) -> None:
+    """Adds to ones how many hashes of each text have each bit. runs: texts, and numbers of consecutive hashes of each."""
     if not hashes:
-        return out
+        return
     lanes = LANES[np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)]
-    # runs of at most 255 shingles of a text, so that a lane of 8 bits holds their sum
-    begin = np.concatenate([[0], np.cumsum(counts)])
-    number = -(-counts // 255)
-    of = np.repeat(np.arange(len(texts)), number)
+    text, n = np.array(runs, np.int64).T
+    # parts of at most 255 hashes, so that a lane of 8 bits holds their sum
+    begin, number = np.cumsum(n) - n, -(-n // 255)
+    of = np.repeat(np.arange(len(n)), number)
     k = np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)
-    sums = np.add.reduceat(lanes, begin[of] + 255 * k, axis=0).view(np.uint8).astype(np.int64)
-    full = np.flatnonzero(counts)
-    sums = np.add.reduceat(sums, np.flatnonzero(k == 0), axis=0)
-    out[full] = np.packbits(sums * 2 > counts[full, None], axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+    sums = np.add.reduceat(lanes, begin[of] + 255 * k, axis=0).view(np.uint8)
+    np.add.at(ones, text, np.add.reduceat(sums, np.flatnonzero(k == 0), axis=0, dtype=np.int64))
 
 
-def trie_pairs(keys: np.ndarray, depth: int, budget: int):
+def trie_pairs(keys: np.ndarray, depth: int, budget: int, forest: Forest | None = None):
     """Pairs (i, j), i < j, of the sorted 64-bit keys that agree in the first depth bits and differ in at most budget
     bits, as arrays.
 
     A node of the binary trie is a range of keys with one prefix. Pairs of nodes are traversed together, a level at a
     time, with the differing bits so far; a pair beyond the budget is dropped, and a pair of few keys is compared key by
-    key. A step holds at most FRONTIER pairs; what is above waits on a stack.
+    key. A step holds at most FRONTIER pairs; what is above waits on a stack. With a forest, only pairs that connect what
+    the pairs so far do not are given, and node pairs whose keys are all connected are dropped.
     """
     n = len(keys)
     if n < 2:
@@ -76,9 +107,16 @@ def trie_pairs(keys: np.ndarray, depth: int, budget: int):
             half = len(a) // 2
             todo += [(bit, *(x[half:] for x in (a, ae, b, be, err))), (bit, *(x[:half] for x in (a, ae, b, be, err)))]
             continue
+        if forest is not None:
+            apart = ~forest.connected(a, ae, b, be)
+            a, ae, b, be, err = (x[apart] for x in (a, ae, b, be, err))
         few = ((ae - a) * (be - b) <= 64) | (bit < 0)
         if few.any():
-            yield from compared(keys, a[few], ae[few], b[few], be[few], budget)
+            for i, j in compared(keys, a[few], ae[few], b[few], be[few], budget):
+                if forest is not None:
+                    new = forest.join(i, j)
+                    i, j = i[new], j[new]
+                yield i, j
             a, ae, b, be, err = (x[~few] for x in (a, ae, b, be, err))
         if not len(a):
             continue
@@ -105,7 +143,7 @@ def split(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndar
 
 def compared(keys, a, ae, b, be, budget):
     """Pairs within the budget of each range of a against the range of b."""
-    step = max(1, (1 << 22) // 64)
+    step = COMPARED // 64
     for at in range(0, len(a), step):
         s = slice(at, at + step)
         w = be[s] - b[s]
@@ -129,65 +167,104 @@ def rotated(x: np.ndarray, by: int, width: int = 64) -> np.ndarray:
     return (x & ~mask) | ((low << np.uint64(by)) & mask) | (low >> np.uint64(width - by))
 
 
-def linked(prints: DataFrame, budget: int = 3) -> DataFrame:
-    """Links (u, v), u < v as signed longs, between different fingerprints (column fp, distinct) of at most 3 differing bits.
+def paths() -> list[list[int]]:
+    """The parts that agree, level by level, by number of a path: those of one level, then those of two, and so on."""
+    out, last = [], [[]]
+    for _ in LEVELS:
+        last = [[*p, j] for p in last for j in range(4)]
+        out += last
+    return out
+
 
-    Of four 16-bit blocks at most three can differ, so each fingerprint goes to four tries, turned so that one block
-    leads; a trie's first 16 levels are the shuffle key. A bucket of over HOT_BUCKET fingerprints goes by one of four
-    12-bit parts of its other 48 bits as well. A pair counts only in the first block, and part, that agrees.
+def turned(c: Column, by: int, width: int) -> Column:
+    """Column c rotated left by some bits in its lowest width bits, the bits above kept."""
+    if not by:
+        return c
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    mask = (1 << width) - 1
+    low = c.bitwiseAND(F.lit(signed(mask)))
+    out = F.shiftleft(low, by).bitwiseAND(F.lit(signed(mask))).bitwiseOR(F.shiftrightunsigned(low, width - by))
+    return out if width == 64 else c.bitwiseAND(F.lit(signed(((1 << 64) - 1) ^ mask))).bitwiseOR(out)
+
+
+def bucketed(prints: DataFrame) -> DataFrame:
+    """path, key, lead of each fingerprint in each bucket that it goes to: the key has the bits that a path's parts agree on
+    first, and these lead.
+
+    Of four parts of the bits at most three can differ, so each fingerprint goes to four tries, turned so that one part
+    leads. A bucket of over HOT_BUCKET fingerprints is parted again, by its other bits, at each further level.
+    """
+    number = {tuple(p): k for k, p in enumerate(paths())}
+
+    def parted(rows: DataFrame, level: int) -> DataFrame:
+        """rows with a path of level parts, each to the four paths of one part more."""
+        width, size = LEVELS[level]
+        first = number[(0,) * (level + 1)]
+        begin = number[(0,) * level] if level else 0
+        copies = F.explode(F.array(*(F.struct(((F.col("path") - begin) * 4 + (first + j)).cast("int").alias("path"), turned(F.col("key"), size * j, width).alias("key")) for j in range(4))))
+        return rows.select(copies.alias("c")).select("c.path", "c.key", F.shiftrightunsigned("c.key", width - size).alias("lead"))
+
+    out, rows = None, parted(prints.select(F.lit(0).alias("path"), F.col("fp").alias("key")), 0)
+    for level in range(1, len(LEVELS)):
+        # hot buckets are at most 1 / HOT_BUCKET of the rows; Spark broadcasts them if they are small
+        hot = rows.groupBy("path", "lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_BUCKET).select("path", "lead", F.lit(True).alias("hot"))
+        rows = rows.join(hot, ["path", "lead"], "left")
+        cold = rows.where(F.col("hot").isNull()).select("path", "key", "lead")
+        out = cold if out is None else out.unionByName(cold)
+        rows = parted(rows.where(F.col("hot")), level)
+    return out.unionByName(rows)
+
+
+def linked(prints: DataFrame, budget: int = 3, spanning: bool = False) -> DataFrame:
+    """Links (u, v), u < v as signed longs, between different fingerprints (column fp, distinct) of at most budget (0 to 3)
+    differing bits: all of them, each once; or, spanning, so many in each bucket that its links' components stay the
+    same, which are fewer than its fingerprints.
+
+    A pair counts only in the first of the buckets that it shares. A task holds the fingerprints of its buckets, and
+    gives links in batches of at most BATCH_LINKS. An empty table gives no links.
     """
     if not 0 <= budget <= 3:
-        raise ValueError("the blocks hold for a budget of 0 to 3")
-
-    def left(c, k, width=64):
-        """Column c rotated left by k in its lowest width bits, the bits above kept."""
-        if not k:
-            return c
-        mask = (1 << width) - 1
-        signed = lambda m: m - (1 << 64) if m >> 63 else m
-        low = c.bitwiseAND(F.lit(signed(mask)))
-        turned = F.shiftleft(low, k).bitwiseAND(F.lit(signed(mask))).bitwiseOR(F.shiftrightunsigned(low, width - k))
-        return turned if width == 64 else c.bitwiseAND(F.lit(signed(((1 << 64) - 1) ^ mask))).bitwiseOR(turned)
-
-    fp = F.col("fp")
-    tries = prints.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), left(fp, 16 * k).alias("key")) for k in range(4)))).alias("t")).select("t.k", "t.key", F.shiftrightunsigned("t.key", 48).alias("top"))
-    hot = tries.groupBy("k", "top").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_BUCKET).select("k", "top", F.lit(True).alias("hot"))
-    tries = tries.join(hot, ["k", "top"], "left")
-    parts = F.when(F.col("hot"), F.array(*(F.struct(F.lit(j).alias("j"), left(F.col("key"), 12 * j, 48).alias("key")) for j in range(4)))).otherwise(F.array(F.struct(F.lit(-1).alias("j"), F.col("key"))))
-    keyed = tries.select("k", F.explode(parts).alias("p")).select("k", "p.j", "p.key")
-    keyed = keyed.withColumn("lead", F.when(F.col("j") < 0, F.shiftrightunsigned("key", 48)).otherwise(F.shiftrightunsigned("key", 36)))
+        raise ValueError("the parts hold for a budget of 0 to 3")
+    known = paths()
 
     def run(batches):
-        tables = [pa.Table.from_batches([b]) for b in batches]
-        if not tables:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)) for b in batches if b.num_rows]
+        if not held:
             return
-        t = pa.concat_tables(tables)
-        k, j, key = t["k"].to_numpy(), t["j"].to_numpy(), t["key"].to_numpy().view(np.uint64)
-        for kk in range(4):
-            for jj in range(-1, 4):
-                mine = np.unique(key[(k == kk) & (j == jj)])
-                for x, y in trie_pairs(mine, 16 if jj < 0 else 28, budget):
-                    x, y = mine[x], mine[y]
-                    if jj > 0:
-                        x, y = rotated(x, 48 - 12 * jj, 48), rotated(y, 48 - 12 * jj, 48)
-                    diff, first = x ^ y, np.ones(len(x), bool)
-                    for part in range(max(jj, 0)):
-                        first &= (diff >> np.uint64(36 - 12 * part)) & np.uint64(0xFFF) != 0
-                    x, y = rotated(x, (64 - 16 * kk) % 64), rotated(y, (64 - 16 * kk) % 64)
-                    diff = x ^ y
-                    for block in range(kk):
-                        first &= (diff >> np.uint64(48 - 16 * block)) & np.uint64(0xFFFF) != 0
+        path, key = (np.concatenate(x) for x in zip(*held))
+        del held
+        for p in np.unique(path).tolist():
+            mine, parts = np.unique(key[path == p]), known[p]
+            depth = sum(size for _, size in LEVELS[: len(parts)])
+            for i, j in trie_pairs(mine, depth, budget, Forest(len(mine)) if spanning else None):
+                for at in range(0, len(i), BATCH_LINKS):
+                    x, y = mine[i[at : at + BATCH_LINKS]], mine[j[at : at + BATCH_LINKS]]
+                    first = np.ones(len(x), bool)
+                    for (width, size), part in reversed(list(zip(LEVELS, parts))):
+                        x, y = (rotated(z, (width - size * part) % width, width) for z in (x, y))
+                        for before in range(0 if spanning else part):
+                            first &= ((x ^ y) >> np.uint64(width - size * (before + 1))) & np.uint64((1 << size) - 1) != 0
                     if first.any():
                         x, y = x[first].view(np.int64), y[first].view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
 
-    return keyed.repartition("k", "j", "lead").select("k", "j", "key").mapInArrow(run, "u long, v long")
+    return arrow_map(bucketed(prints).repartition("path", "lead").select("path", "key"), run, "u long, v long")
 
 
 def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; a null text has no words."""
+    """(doc_id, fp, digest) of every row: its fingerprint, and XXH64 of its text; a null text has no words."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return stream(docs, lambda cols, state: [cols[0], fingerprints(text_bytes(cols[1])).view(np.int64)], [F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")], f"doc_id {kind}, fp long")
+    text = F.col(text_col).cast("string")
+    step = lambda cols, state: [cols[0], fingerprints(text_bytes(cols[1])).view(np.int64), cols[2]]
+    return stream(docs, step, [F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest")], f"doc_id {kind}, fp long, digest long")
+
+
+def rooted(prints: DataFrame, budget: int) -> DataFrame:
+    """(fp, least, root) of every distinct fingerprint of hashed(): its row of the smallest id, as (nameless, doc_id, fp,
+    digest) with nameless true for a null id, and the smallest fingerprint that it reaches."""
+    roots = components(linked(prints.select("fp").distinct(), budget, spanning=True), contract=False)  # a forest a bucket
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "digest")).alias("least")
+    return prints.groupBy("fp").agg(least).join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3) -> DataFrame:
@@ -198,28 +275,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id unless its component has no other. An empty table gives no rows.
     """
     prints = written(hashed(docs, id_col, text_col), "prints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    roots = components(linked(classes.select("fp"), budget))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    classes = rooted(prints, budget)
+    least = classes.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
+    named = classes.join(least, "root").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3) -> DataFrame:
-    """docs, all their columns, with one row of each component: that of the smallest id. Rows that repeat id and text are
-    one. Rows without an id go if they are linked to one with an id; of the others, equal texts are one."""
-    found = written(near_duplicates(docs, id_col, text_col, budget).where("doc_id <=> component_id"), "kept")
-    once = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id").isNull()).alias("nameless"))
-    odd = once.where("n > 1 or nameless").limit(1).count()
-    ids = once.where("not nameless").select(F.col("doc_id").alias("kept_id"))
-    kept = docs.join(ids, F.col(id_col) == F.col("kept_id"), "left_semi")
-    if not odd:
-        return kept
-    nameless = docs.where(F.col(id_col).isNull())
-    alone = found.where("doc_id is null").select(F.col("fingerprint").alias("alone")).distinct()
-    texts = hashed(nameless.select(F.col(text_col).cast("string").alias("t"), F.col(text_col).alias("text")), "t").select(F.col("doc_id").alias("kept_text"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("alone"))
-    texts = texts.join(alone, "alone", "left_semi").select("kept_text").distinct()
-    more = nameless.join(texts, F.col(text_col).cast("string").eqNullSafe(F.col("kept_text")), "left_semi")
-    return kept.unionByName(more).dropDuplicates([id_col, text_col])
+    """docs, all their columns, with one row of each component.
+
+    It is the row of the smallest id, a null id last; of the rows of that id the one of the smallest fingerprint, then of
+    the smallest digest of its text. Rows that repeat the kept one's id and text are one. Empty and null texts link like
+    any others, fingerprint zero. An empty table gives no rows.
+    """
+    prints = written(hashed(docs, id_col, text_col), "prints")
+    kept = rooted(prints, budget).groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.digest")
+    repeats = prints.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "digest")
+    columns = docs.columns
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), F.col(f"`{id_col}`").alias("__id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("__digest"))
+
+    def among(side: DataFrame, found: DataFrame, how: str) -> DataFrame:
+        return side.join(found, side["__id"].eqNullSafe(found["doc_id"]) & (side["__digest"] == found["digest"]), how)
+
+    rows = among(rows, kept, "left_semi")
+    if repeats.limit(1).count():
+        once = among(rows, repeats, "left_anti")
+        twice = among(rows, repeats, "left_semi").groupBy("__id", "__digest").agg(F.first("__row").alias("__row"))
+        rows = once.select("__row").unionByName(twice.select("__row"))
+    return rows.select("__row.*")
