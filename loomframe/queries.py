@@ -22,7 +22,8 @@ from .operators.reshape import collect_group_members, commit_reorder_axes, compa
 from .operators.topk import top_k_per_col
 from .operators.view import VIEW_ALL_AXES, VIEW_ALL_DATA, viewer
 from .plans.nodes import canonical_query, escape_value, is_axis_query, parse_query, query_axis_name, query_requires_relayout, query_result_dimensions, unescape_value
-from .sources.anndata import as_anndata
+from .sources.anndata import as_anndata, read_annotated, write_annotated
+from .sources.examples import example_cells, example_chain, example_metacells
 from .sources.export import files_to_zarr, write_files, write_zarr, zarr_to_files
 from .sources.store import ParquetDataset, open_dataset, save
 from .sources.tables import from_tables, with_embedding, with_trade
@@ -536,3 +537,32 @@ def _annotated(ds):
 
 
 over("annotated_matrix", _annotated, "SELECT o_orderpriority AS entry, ROUND(SUM(o_totalprice), 4) AS value FROM orders GROUP BY 1", 4)
+
+
+def _annotated_again(ds):
+    from .sources.store import shared_folder
+
+    path = f"{shared_folder(ds.spark)}/{uuid.uuid4().hex}"
+    write_annotated(ds, path, "customer", "priority", "spend")
+    return read_annotated(ds.spark, path)["@ obs @ var :: UMIs -/ segment >- Sum"].df
+
+
+over("annotated_written_and_read", _annotated_again, f"SELECT segment AS row, col, ROUND(SUM(value), 2) AS value FROM {SPEND} s JOIN {CUSTOMER} c ON s.row = c.entry GROUP BY 1, 2", 2)
+
+
+# the examples, which no table is read for
+def example(name: str, make, query: str, sql: str, digits: int = 6) -> None:
+    def run(spark, sf_dir):
+        got = make(spark).query(query)
+        return rounded(got.dense() if got.kind == "matrix" else got.df, digits)
+
+    register(name, run, sql)
+
+
+UMIS = "(SELECT c, g, CASE WHEN (c * 31 + g * 17) % 23 < 4 THEN (c * 31 + g * 17) % 23 + 1 ELSE 0 END AS v FROM range(856) t(c), range(683) u(g))"
+example("example_cells_lateral", example_cells, "@ gene : is_lateral >> Sum", "SELECT COUNT(*) AS value FROM range(683) t(g) WHERE g % 3 = 0")
+example("example_cells_donors", example_cells, "@ cell : donor : age / experiment >> Mean", "SELECT printf('X%03d', c * 5 % 23) AS entry, ROUND(AVG(20 + (c * 7 % 95) * 11 % 60), 6) AS value FROM range(856) t(c) GROUP BY 1")
+example("example_cells_umis", example_cells, "@ cell @ gene [ is_lateral ] :: UMIs >| Sum", f"SELECT printf('C%03d', c) AS entry, CAST(SUM(v) AS BIGINT) AS value FROM {UMIS} WHERE g % 3 = 0 GROUP BY 1")
+example("example_metacells_colors", example_metacells, "@ metacell : type : color", "SELECT printf('M%03d', m) AS entry, ['steelblue', '#eebb6e', 'plum', 'gold'][m % 4 + 1] AS value FROM range(7) t(m)")
+example("example_metacells_edges", example_metacells, "@ metacell :: edge_weight @| M003", "SELECT printf('M%03d', m) AS entry, ROUND(CAST(CAST(1.0 / (1 + abs(m - 3)) AS FLOAT) AS DOUBLE), 6) AS value FROM range(7) t(m)")
+example("example_chain_types", example_chain, "@ cell @ gene :: UMIs -/ metacell : type >- Max", f"SELECT ['memory-B', 'MEBEMP-E', 'MEBEMP-L', 'MPP'][(c % 7) % 4 + 1] AS row, printf('G%03d', g) AS col, CAST(MAX(v) AS INTEGER) AS value FROM {UMIS} GROUP BY 1, 2")

@@ -38,8 +38,7 @@ class Folder:
         return json.loads(self.store.read(f"{self.root}/{path}"))
 
     def names(self, path: str) -> list[str]:
-        fs, p = self.store._at(f"{self.root}/{path}")
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        return self.store.names(f"{self.root}/{path}")
 
     def bytes(self, path: str, column: str) -> DataFrame:
         return self.spark.read.format("binaryFile").load(f"{self.root}/{path}").select(F.col("content").alias(column))

@@ -13,7 +13,7 @@ import pytest
 from loomframe.config import empty_cache, keep
 from loomframe.dataset import memory_dataset
 from loomframe.operators.complete import complete_chain, complete_dataset
-from loomframe.sources.anndata import as_anndata
+from loomframe.sources.anndata import as_anndata, read_annotated, write_annotated
 from loomframe.sources.export import files_to_zarr, write_files, zarr_to_files
 from loomframe.sources.store import ParquetDataset, open_dataset, save
 
@@ -174,7 +174,7 @@ def test_completed_sets(spark, tmp_path):
     assert complete_dataset(spark, f"{tmp_path}/leaf")["@ cell : age / kind >> Sum"].collect() == {"x": 4, "y": 2}
 
 
-def test_annotated_matrix_and_kept_results(spark):
+def test_annotated_matrix_and_kept_results(spark, tmp_path):
     d = memory_dataset(spark)
     d.add_axis("cell", list("AB"))
     d.add_axis("gene", list("XYZ"))
@@ -182,6 +182,17 @@ def test_annotated_matrix_and_kept_results(spark):
     d.set_vector("cell", "age", [3, 4])
     a = as_anndata(d)
     assert a.shape == (2, 3) and a.X.count() == 6 and a.obs.columns == ["name", "age"] and a.var_names == list("XYZ") and a.layers == {} and a.uns == {}
+    d.add_axis("obs_pca_dim", ["1", "2"])
+    d.set_matrix("cell", "obs_pca_dim", "pca", [[0.5, 1.5], [2.5, 3.5]])
+    d.set_matrix("cell", "gene", "spliced", spark.createDataFrame([("A", "Y", 9)], "row string, col string, value long"), 0)
+    d.set_scalar("lab", "x")
+    write_annotated(d, f"{tmp_path}/ann")
+    back = read_annotated(spark, f"{tmp_path}/ann")
+    assert back.axis_entries("obs") == ["A", "B"] and back["@ obs : age"].collect() == {"A": 3, "B": 4} and back[". lab"].collect() == "x"
+    assert back["@ obs @ var :: UMIs >> Sum"].collect() == 21 and back["@ obs @ var :: spliced >| Sum"].collect() == {"A": 9, "B": 0}
+    assert back["@ obs @ obs_pca_dim :: pca"].collect() == {("A", "1"): 0.5, ("A", "2"): 1.5, ("B", "1"): 2.5, ("B", "2"): 3.5}
+    with pytest.raises(FileExistsError):
+        write_annotated(d, f"{tmp_path}/ann")
     first = keep(d, "@ cell : age >> Sum")
     assert keep(d, "@ cell : age >> Sum") is first
     d.set_vector("cell", "age", [1, 1], True)
