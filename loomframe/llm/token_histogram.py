@@ -8,10 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Encoder, stream, text_bytes, tokenizer_path
+from .common import Encoder, stream, text_bytes, tokenizer_path, written
 
 #: Lengths per block of the two-level suffix sums.
-BLOCK = 4096
+BLOCK = 64
 
 
 def token_lengths(docs: DataFrame, text_col: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
@@ -30,10 +30,11 @@ def length_histogram(docs: DataFrame, text_col: str = "text", tokenizer: str = "
     n_tokens: the length; n_docs: documents of it; docs_ge, tokens_ge: documents of this length or more, and their
     tokens; truncated_tokens: tokens left of all documents when each is cut to this length. Documents are counted
     before any shuffle, so a hot length costs one row a task. The suffix sums take two levels, blocks of BLOCK lengths
-    and lengths in a block, so no task sees all lengths. An empty table gives no rows.
+    and lengths in a block, so no task sees all lengths. The histogram, a row a length, is written once and read by both
+    levels, so texts are encoded once. An empty table gives no rows.
     """
     hist = token_lengths(docs, text_col, tokenizer).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
-    return with_suffix_sums(hist)
+    return with_suffix_sums(written(hist, "lengths"))
 
 
 def with_suffix_sums(hist: DataFrame) -> DataFrame:
