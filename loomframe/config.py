@@ -15,9 +15,11 @@ HANDLERS: dict[str, Callable[[str], None]] = {"ignore": lambda message: None, "w
 
 @dataclass
 class Settings:
-    """kept_queries: results that keep() holds at once."""
+    """kept_queries: results that keep() holds at once; kept_plans: plans that a data set holds at once."""
 
     kept_queries: int = 64
+    kept_plans: int = 256
+    generation: int = 0
     inefficient: str = "warn"
     kept: dict = field(default_factory=dict)
 
@@ -53,6 +55,25 @@ def identity(ds) -> str:
     return ds.__dict__.setdefault("_identity", uuid.uuid4().hex)
 
 
+def planned(ds, query):
+    """The query's lazy result, planned once under the versions of everything in ds and the users' operations; data sets
+    without versions plan each time."""
+    from .functions import registry
+    from .plans.compile import run_query
+    from .plans.nodes import canonical_query, nodes_of
+
+    versions, nodes = getattr(ds, "versions", None), nodes_of(query)
+    if versions is None:
+        return run_query(ds, nodes)
+    key = (canonical_query(nodes), settings.generation, registry.changes(), tuple(sorted(versions.items(), key=str)))
+    plans = ds.__dict__.setdefault("_plans", {})
+    if key not in plans:
+        while len(plans) >= settings.kept_plans:
+            plans.pop(next(iter(plans)))
+        plans[key] = run_query(ds, nodes)
+    return plans[key]
+
+
 def keep(ds, query):
     """The query's result, persisted in memory and on disk under the versions of everything in ds; older ones go first.
     Data sets without versions are not kept."""
@@ -72,7 +93,13 @@ def keep(ds, query):
 
 
 def empty_cache(clear: Iterable | None = None) -> None:
-    """Lets go of kept results: all, or those of the data sets given."""
+    """Lets go of kept results and plans: all, or those of the data sets given."""
+    if clear is None:
+        settings.generation += 1
+    else:
+        clear = list(clear)
+        for d in clear:
+            d.__dict__.pop("_plans", None)
     ids = None if clear is None else {identity(d) for d in clear}
     for key in [k for k in settings.kept if ids is None or k[0] in ids]:
         settings.kept.pop(key).df.unpersist()

@@ -208,10 +208,10 @@ class Reader:
 
     # queries
     def query(self, query):
-        """A lazy result of a query in text or builder form."""
-        from .plans.compile import run_query
+        """A lazy result of a query in text or builder form; one that was asked for before is not planned again."""
+        from .config import planned
 
-        return run_query(self, query)
+        return planned(self, query)
 
     get_query = __getitem__ = query
 

@@ -18,6 +18,12 @@ ELTWISE = {
 STRINGS = ("Count", "Mode")
 
 _own: dict[str, dict[str, tuple[Callable, str]]] = {"reduction": {}, "eltwise": {}}
+_changes = 0
+
+
+def changes() -> int:
+    """How often users' operations have changed."""
+    return _changes
 
 
 def _register(family: str, name: str, fn: Callable, overwrite: bool) -> None:
@@ -28,6 +34,12 @@ def _register(family: str, name: str, fn: Callable, overwrite: bool) -> None:
         first = _own[family][name][1] if name in _own[family] else "the library"
         raise ValueError(f"conflicting registrations of the {family} {name}: first in {first}, second in {place}")
     _own[family][name] = (fn, place)
+    _changed()
+
+
+def _changed() -> None:
+    global _changes
+    _changes += 1
 
 
 def register_reduction(name: str, fn: Callable, overwrite: bool = False) -> None:
@@ -47,6 +59,7 @@ def register_query_operation(kind: str, name: str, fn: Callable, overwrite: bool
 
 def unregister(family: str, name: str) -> None:
     _own[family].pop(name, None)
+    _changed()
 
 
 def own(family: str, name: str) -> Callable | None:

@@ -13,11 +13,12 @@ from . import builders as b
 from . import config
 from .dataset import Dataset, read_only
 from .functions import registry
+from .functions.fast_log import fast_log
 from .operators.chain import chain_reader, chain_writer
 from .operators.concat import CollectAxis, LastValue, concatenate
 from .operators.complete import complete_chain, complete_dataset
 from .operators.contracts import Contracted, ContractError, CreatedOutput, GuaranteedOutput, OptionalInput, RequiredInput, adapter, axis_contract, computation, contract_docs, contract_vector, create_contract, merge_contracts, verify_contract, verify_input, verify_output
-from .operators.copies import copy_all, copy_axis, copy_matrix, copy_vector
+from .operators.copies import copy_all, copy_axis, copy_matrix, copy_scalar, copy_tensor, copy_vector, empty_data
 from .operators.reshape import collect_group_members, commit_reorder_axes, compact_groups, group_names, reconstruct_axis, reorder_axes, reset_reorder_axes
 from .operators.topk import top_k_per_col
 from .operators.view import VIEW_ALL_AXES, VIEW_ALL_DATA, viewer
@@ -363,6 +364,10 @@ facts("query_tools", _parsed, {"canonical": "@ a [ b > 1 & ! c ] : d / e >> Mean
 
 
 def _kept(ds):
+    plan = ds.query("@ part : size >> Max")
+    once = ds.query("@ part : size >> Max") is plan
+    config.empty_cache([ds])
+    again = ds.query("@ part : size >> Max") is plan
     first = config.keep(ds, "@ part : size >> Sum")
     same = config.keep(ds, "@ part : size >> Sum") is first
     ds.set_scalar("changed", 1)
@@ -376,10 +381,10 @@ def _kept(ds):
         ds.query("@ customer @ priority :: spend % Next >| Max")
     finally:
         config.inefficient_action_handler(before)
-    return {"same": same, "after a change": other, "handler": before, "dense": len(said), "reductions": {"Sum", "Mode"} <= set(registry.registered_reductions()), "eltwise": "Log" in registry.registered_eltwise()}
+    return {"planned once": once, "planned again": again, "same": same, "after a change": other, "handler": before, "dense": len(said), "reductions": {"Sum", "Mode"} <= set(registry.registered_reductions()), "eltwise": "Log" in registry.registered_eltwise()}
 
 
-facts("kept_results_and_handlers", _kept, {"same": True, "after a change": False, "handler": "warn", "dense": 1, "reductions": True, "eltwise": True})
+facts("kept_results_and_handlers", _kept, {"planned once": True, "planned again": False, "same": True, "after a change": False, "handler": "warn", "dense": 1, "reductions": True, "eltwise": True})
 
 
 # storage: written, read again, and asked
@@ -566,3 +571,60 @@ example("example_cells_umis", example_cells, "@ cell @ gene [ is_lateral ] :: UM
 example("example_metacells_colors", example_metacells, "@ metacell : type : color", "SELECT printf('M%03d', m) AS entry, ['steelblue', '#eebb6e', 'plum', 'gold'][m % 4 + 1] AS value FROM range(7) t(m)")
 example("example_metacells_edges", example_metacells, "@ metacell :: edge_weight @| M003", "SELECT printf('M%03d', m) AS entry, ROUND(CAST(CAST(1.0 / (1 + abs(m - 3)) AS FLOAT) AS DOUBLE), 6) AS value FROM range(7) t(m)")
 example("example_chain_types", example_chain, "@ cell @ gene :: UMIs -/ metacell : type >- Max", f"SELECT ['memory-B', 'MEBEMP-E', 'MEBEMP-L', 'MPP'][(c % 7) % 4 + 1] AS row, printf('G%03d', g) AS col, CAST(MAX(v) AS INTEGER) AS value FROM {UMIS} GROUP BY 1, 2")
+
+
+# users' operations, errors, copies of several matrices
+def refused(acts: dict) -> dict[str, str]:
+    """By name, whether an act fails."""
+    out = {}
+    for what, act in acts.items():
+        try:
+            act()
+            out[what] = "done"
+        except Exception:  # noqa: BLE001  any failure will do
+            out[what] = "refused"
+    return out
+
+
+def _registered(ds):
+    registry.register_query_operation("reduction", "Power", lambda v, p=2.0: F.sum(F.pow(v, F.lit(p))), overwrite=True)
+    try:
+        return {
+            "parameters": sorted(registry.accepted("reduction", "Power")), "value": ds.query("@ region : index >> Power p 3").collect(), "known": "Power" in registry.registered_reductions(), "built in": sorted(registry.accepted("eltwise", "Clamp")),
+        } | refused({"again": lambda: registry.register_reduction("Power", F.max), "built in again": lambda: registry.register_eltwise("Abs", F.abs), "unknown parameter": lambda: ds.query("@ region : index >> Power q 3")})
+    finally:
+        registry.unregister("reduction", "Power")
+
+
+facts("registry_rules", _registered, {"parameters": "['p', 'type']", "value": 225.0, "known": True, "built in": "['max', 'min', 'type']", "again": "refused", "built in again": "refused", "unknown parameter": "refused"})
+facts(
+    "errors",
+    lambda ds: refused({
+        "missing axis": lambda: ds.query("@ absent : x || 1").collect(), "missing vector": lambda: ds.query("@ part : absent").collect(), "missing matrix": lambda: ds.query("@ part @ supplier :: absent").collect(), "missing scalar": lambda: ds.query(". absent").collect(),
+        "missing entry": lambda: ds.query(": price @ part = none").collect(), "fraction as whole number": lambda: ds.query("@ part : price % Convert type Int32").collect(), "sum of text": lambda: ds.query("@ part : brand >> Sum").collect(), "sum of nothing": lambda: ds.query("@ part [ size > 1000000 ] : size >> Sum").collect(),
+        "no entry": lambda: ds.query("@ part : brand =@ nation : region").collect(), "two names": lambda: ds.query("@ ? ?"), "text after all": lambda: ds.query("@ part )"), "quantile over 1": lambda: ds.query("@ part : size >> Quantile p 2"), "whole number as fraction": lambda: ds.query("@ part : size % Convert type Float64").collect(),
+    }),
+    {**dict.fromkeys(["missing axis", "missing vector", "missing matrix", "missing scalar", "missing entry", "fraction as whole number", "sum of text", "sum of nothing", "no entry", "two names", "text after all", "quantile over 1"], "refused"), "whole number as fraction": "done"},
+)
+over("fast_log", lambda ds: ds.get_vector("part", "price").select("entry", fast_log("value", 1.0, 2.0).alias("value")), f"SELECT entry, ROUND(LN(price + 1) / LN(2), 4) AS value FROM {PART}")
+
+
+def _tensor(ds):
+    """The matrices <status>_n (segment x priority), numbers of orders, of which one is not there, copied as one tensor."""
+    source, to = Dataset(ds.spark, "source"), Dataset(ds.spark, "to")
+    orders = ds.get_dataframe("order", {"status": "status", "priority": "priority", "segment": ": customer : segment"})
+    for d in (source, to):
+        d.add_axis("status", ["F", "O", "P", "X"])
+        d.add_axis("priority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
+        d.add_axis("segment", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
+    for status in ("F", "O", "P"):
+        source.set_matrix("segment", "priority", f"{status}_n", orders.where(F.col("status") == status).groupBy(F.col("segment").alias("row"), F.col("priority").alias("col")).agg(F.count(F.lit(1)).alias("value")), 0)
+    source.set_scalar("kind", "orders")
+    copy_scalar(to, source, "kind", rename="what")
+    copy_tensor(to, source, "status", "segment", "priority", "n", empty=0)
+    assert to.get_scalar("what") == "orders" and empty_data({("a", "b"): 1}) == {"a|b": 1}
+    found = [to.query(f"@ segment @ priority :: {s}_n >| Sum").df.select(F.lit(s).alias("status"), "entry", F.col("value").cast("bigint").alias("value")) for s in ("F", "O", "P", "X")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+over("copy_tensor", _tensor, "SELECT s AS status, g AS entry, CAST(COALESCE(n, 0) AS BIGINT) AS value FROM (VALUES ('F'), ('O'), ('P'), ('X')) a(s) CROSS JOIN (VALUES ('AUTOMOBILE'), ('BUILDING'), ('FURNITURE'), ('HOUSEHOLD'), ('MACHINERY')) b(g) LEFT JOIN (SELECT o_orderstatus, c_mktsegment, COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) ON o_orderstatus = s AND c_mktsegment = g")
