@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .dataset import Reader, q, vc
-from .plans.nodes import is_axis_query, nodes_of, query_axis_name
+from .plans.nodes import is_axis_query, query_axis_name
 
 
 class UnsupportedOperationError(NotImplementedError):
