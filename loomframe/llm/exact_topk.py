@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import arrow_map, drop, written
 
-#: Queries per block; a block's matrix is what the driver and each task hold at once.
-QUERY_BLOCK = 2048
+#: Bytes of the queries that the driver and each task hold at once; they are selected together, in one set of passes.
+QUERY_BYTES = 1 << 24
 #: Bins a query's score range is parted into in a round.
-BINS = 256
-#: Candidate vectors scored in a step.
-STEP_ROWS = 2048
+BINS = 1024
+#: Candidate vectors of a step, and queries that they are scored against at once.
+STEP_ROWS, TILE = 4096, 256
+#: Candidate vectors that a task holds while it goes through the queries.
+HELD_ROWS = 1 << 16
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -37,9 +39,24 @@ def matrices(batch: pa.RecordBatch, dim: int) -> Iterator[tuple[np.ndarray, np.n
         yield ids[some], flat[offsets[some][:, None] + np.arange(dim)]
 
 
-def scored(q: np.ndarray, c: np.ndarray, exact_float: bool) -> np.ndarray:
-    """Integer inner products, queries by candidates; by float64 where sums stay under 2**53, else by integers."""
-    return (q.astype(float) @ c.T.astype(float)).astype(np.int64) if exact_float else q @ c.T
+def scored(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Integer inner products, queries by candidates, of matrices of floats where sums stay under 2**53, else of integers."""
+    got = q @ c.T
+    return got if got.dtype == np.int64 else got.astype(np.int64)
+
+
+def held(batches: Iterator[pa.RecordBatch], dim: int, exact_float: bool) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """Ids and vectors of the dimension, in steps, HELD_ROWS at a time."""
+    out, n = [], 0
+    for batch in batches:
+        for c, v in matrices(batch, dim):
+            out.append((c, v.astype(float) if exact_float else v))
+            n += len(c)
+            if n >= HELD_ROWS:
+                yield out
+                out, n = [], 0
+    if out:
+        yield out
 
 
 def top_k(df: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", query: Column | None = None, scale: int = 256) -> DataFrame:
@@ -50,10 +67,11 @@ def top_k(df: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "emb
     and vectors with null or non-finite components take no part; a repeated row is a candidate each time, but a query
     only once per id and vector, and never of its own id.
 
-    Per block of queries, all candidates are scored and counted in BINS bins over each query's range; the bin where the
-    kth value lies becomes the range of the next round, until bins have width 1. A task sends of its counts only those
-    bins that its k best reach. Then all rows are scored again, and each task keeps at most its k best at or above the
-    kth value, ties by id; a window over at most k rows a task and query ends the selection.
+    The queries go in blocks of QUERY_BYTES. Per block, all candidates are scored and counted in BINS bins over each query's
+    range; the bin where the kth value lies becomes the range of the next round, until bins have width 1. A task sends of
+    its counts only those bins that its k best reach. Then all rows are scored again, and each task keeps at most its k
+    best at or above the kth value, ties by id; a window over at most k rows a task and query ends the selection. A
+    block's result is written, so neither the plan nor what the driver holds grows with the queries.
     """
     spark = df.sparkSession
     query = F.col("vec_id") % 50 == 0 if query is None else query
@@ -66,14 +84,18 @@ def top_k(df: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "emb
     asked = written(vectors.where(query).distinct().withColumn("n", F.size("v")), "queries")
     out = None
     for dim, number in sorted((r["n"], r["c"]) for r in asked.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()):  # a row per dimension
-        blocks = -(-number // QUERY_BLOCK)
+        most = max(1, QUERY_BYTES // (8 * max(dim, 1)))
+        blocks = -(-number // most)
         mine = asked.where(F.col("n") == dim)
         for b in range(blocks):
-            rows = mine.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "v").collect()
-            for at in range(0, len(rows), QUERY_BLOCK):
-                some = rows[at : at + QUERY_BLOCK]
-                got = selected(vectors, np.array([r["vec_id"] for r in some]), np.array([r["v"] for r in some], np.int64).reshape(len(some), dim), k, largest, exact_float)
+            rows = mine.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b).select("vec_id", "v").toArrow()
+            for at in range(0, rows.num_rows, most):
+                some = rows.slice(at, most).combine_chunks()
+                q = np.array(some["v"].combine_chunks().flatten(), np.int64).reshape(some.num_rows, dim)
+                got = selected(vectors, np.array(some["vec_id"]), q, k, largest, exact_float)
+                got = got if blocks == 1 and out is None else written(got, "best")
                 out = got if out is None else out.unionByName(got)
+    drop(asked)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return out
@@ -82,7 +104,7 @@ def top_k(df: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "emb
 def selected(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, largest: int, exact_float: bool) -> DataFrame:
     """top_k for one block of queries."""
     spark, dim = vectors.sparkSession, q.shape[1]
-    share = spark.sparkContext.broadcast((ids, q))  # at most QUERY_BLOCK vectors
+    share = spark.sparkContext.broadcast((ids, q.astype(float) if exact_float else q))  # at most QUERY_BYTES
     bound = int(np.abs(q).sum(axis=1).max()) * largest if q.size else 0
     low = np.full(len(ids), -bound, np.int64)
     span = 2 * bound + 1
@@ -95,28 +117,32 @@ def selected(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, largest
         def counts(batches, state=state, width=width):
             rows, lo, size, over = state.value
             qi, qv = (x[rows] for x in share.value)
-            held = np.zeros((len(qi), BINS), np.int64)
-            for batch in batches:
-                for c, v in matrices(batch, dim):
-                    s = scored(qv, v, exact_float) - lo[:, None]
-                    ok = (s >= 0) & (s < size) & (qi[:, None] != c[None, :])
-                    held += np.bincount((s // width + np.arange(len(qi))[:, None] * BINS)[ok], minlength=len(qi) * BINS).reshape(-1, BINS)
-            # bins under a task's own kth best of the range cannot hold the kth best of all
-            reach = np.cumsum(held[:, ::-1], axis=1)[:, ::-1] - held < (k - over)[:, None]
-            i, j = np.nonzero((held > 0) & reach)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[i].astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(held[i, j])], ["q", "bin", "n"])
-
-        binned = vectors.select("vec_id", "v").mapInArrow(counts, "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+            for steps in held(batches, dim, exact_float):
+                for t in range(0, len(rows), TILE):
+                    tile = slice(t, t + TILE)
+                    n = len(qi[tile])
+                    found = np.zeros((n, BINS), np.int64)
+                    for c, v in steps:
+                        s = scored(qv[tile], v) - lo[tile, None]
+                        ok = (s >= 0) & (s < size) & (qi[tile, None] != c[None, :])
+                        found += np.bincount((s // width + np.arange(n)[:, None] * BINS)[ok], minlength=n * BINS).reshape(-1, BINS)
+                    # bins under a task's own kth best of the range cannot hold the kth best of all
+                    need = (k - over[tile])[:, None]
+                    reach = np.cumsum(found[:, ::-1], axis=1)[:, ::-1] - found < need
+                    i, j = np.nonzero((found > 0) & reach)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[tile][i].astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(found[i, j]), pa.array(need[i, 0])], ["q", "bin", "n", "need"])
+
+        binned = arrow_map(vectors.select("vec_id", "v"), counts, "q int, bin int, n long, need long").groupBy("q", "bin").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
         down = Window.partitionBy("q").orderBy(F.desc("bin"))
-        over = F.broadcast(spark.createDataFrame([(int(i), int(above[i])) for i in active], "q int, over long"))
-        reached = binned.withColumn("to", F.sum("n").over(down)).join(over, "q")
+        reached = binned.withColumn("to", F.sum("n").over(down))
         # one row a query of the block
-        hit = reached.where(F.col("to") + F.col("over") >= k).groupBy("q").agg(F.max(F.struct("bin", "n", "to")).alias("h")).select("q", "h.bin", "h.n", "h.to").collect()
-        for r in hit:
-            low[r["q"]] += r["bin"] * width
-            above[r["q"]] += r["to"] - r["n"]
+        hit = reached.where(F.col("to") >= F.col("need")).groupBy("q").agg(F.max(F.struct("bin", "n", "to")).alias("h")).select("q", "h.bin", "h.n", "h.to").toArrow()
+        state.destroy()
+        of, at, n, to = (np.array(hit[c], np.int64) for c in ("q", "bin", "n", "to"))
+        low[of] += at * width
+        above[of] += to - n
         # a query of fewer than k candidates keeps its whole range
-        active = np.array(sorted(r["q"] for r in hit), np.int64)
+        active = np.sort(of)
         if width == 1 or not len(active):
             break
         span = width
@@ -124,26 +150,28 @@ def selected(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, largest
 
     def best(batches):
         lo, (qi, qv) = kth.value, share.value
-        held_s, held_c, held_q = [], [], []
-
-        def trimmed():
-            s, c, i = np.concatenate(held_s), np.concatenate(held_c), np.concatenate(held_q)
-            order = np.lexsort((c, -s, i))
-            s, c, i = s[order], c[order], i[order]
-            new = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
-            place = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
-            keep = place < k
-            return [s[keep]], [c[keep]], [i[keep]]
-
-        for batch in batches:
-            for c, v in matrices(batch, dim):
-                s = scored(qv, v, exact_float)
-                i, j = np.nonzero((s >= lo[:, None]) & (qi[:, None] != c[None, :]))
-                held_s, held_c, held_q = held_s + [s[i, j]], held_c + [c[j]], held_q + [i]
-                held_s, held_c, held_q = trimmed()
-        if held_s:
-            yield pa.RecordBatch.from_arrays([pa.array(qi[held_q[0]]), pa.array(held_c[0]), pa.array(held_s[0]), pa.array(held_q[0].astype(np.int32))], ["query_id", "vec_id", "score", "q"])
-
-    kept = vectors.select("vec_id", "v").mapInArrow(best, "query_id long, vec_id long, score long, q int")
+        for steps in held(batches, dim, exact_float):
+            for t in range(0, len(qi), TILE):
+                tile = slice(t, t + TILE)
+                held_s, held_c, held_q = [], [], []
+                for c, v in steps:
+                    s = scored(qv[tile], v)
+                    i, j = np.nonzero((s >= lo[tile, None]) & (qi[tile, None] != c[None, :]))
+                    held_s, held_c, held_q = first(k, [*held_s, s[i, j]], [*held_c, c[j]], [*held_q, i + t])
+                if len(held_s[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(qi[held_q[0]]), pa.array(held_c[0]), pa.array(held_s[0]), pa.array(held_q[0].astype(np.int32))], ["query_id", "vec_id", "score", "q"])
+
+    kept = arrow_map(vectors.select("vec_id", "v"), best, "query_id long, vec_id long, score long, q int")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def first(k: int, scores: list[np.ndarray], ids: list[np.ndarray], queries: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Each query's k highest scores, ties to the smaller id."""
+    s, c, i = np.concatenate(scores), np.concatenate(ids), np.concatenate(queries)
+    order = np.lexsort((c, -s, i))
+    s, c, i = s[order], c[order], i[order]
+    new = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
+    place = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
+    keep = place < k
+    return [s[keep]], [c[keep]], [i[keep]]
