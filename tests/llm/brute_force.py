@@ -103,3 +103,24 @@ def base_marks(text):
         places += at
         labels |= {label} if at else set()
     return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
+
+
+def notice_marks(text, phrases, notices, alike):
+    """Labels and score: every place where a notice may begin, one before the text's beginning too."""
+    w, labels, best = words(text), set(), 0.0
+    for p, label in phrases:
+        p = p.split()
+        if any(w[k : k + len(p)] == p for k in range(len(w))):
+            labels.add(label)
+            best = 1.0
+    base = best
+    for t, label, mandatory in notices:
+        t = t.split()
+        for s in range(-len(t), len(w)):
+            got = [w[s + k] if 0 <= s + k < len(w) else None for k in range(len(t))]
+            at = [next(k for k in range(len(t)) if t[k : k + len(m.split())] == m.split()) for m in mandatory]
+            if all(got[k : k + len(m.split())] == m.split() for k, m in zip(at, mandatory)):
+                share = sum(a == b for a, b in zip(got, t)) / len(t)
+                best = max(best, share)
+                labels |= {label} if share >= alike else set()
+    return ",".join(sorted(labels)), 1.0 if base else best

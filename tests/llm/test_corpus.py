@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute_force as plain
-from loomframe.llm import common, decontaminate, exact_topk, language, licenses, main_text, packing, quality, simhash, token_files, token_histogram
+from loomframe.llm import common, components, decontaminate, exact_topk, language, licenses, main_text, packing, quality, simhash, token_files, token_histogram
 from loomframe.llm.common import Encoder, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -24,7 +24,7 @@ ITEMS = [(1, sentence(30)), (2, sentence(13)), (3, "Two words"), (4, ""), (5, No
 TEXTS = [
     None, "", " \n\t ", "x", "One two", "<|endoftext|> a  b\n\nc", "CC BY-NC 4.0. All rights   reserved; cc by all rights reserved",
     "GNU General Public License, general public LICENSE", "Licensed under the Apache License, Version 2.0.", LONG, LONG + " more", LONG,
-    ITEMS[0][1] + " tail", sentence(60) + " " + ITEMS[1][1] + ". " + sentence(40), sentence(500) + " two WORDS", "İ Kelvin cc by", "###$$$ !!! |||", "12 34\x00 56",
+    ITEMS[0][1] + " tail", sentence(900) + " " + ITEMS[1][1] + " " + sentence(1100), sentence(60) + " " + ITEMS[1][1] + ". " + sentence(40), sentence(500) + " two WORDS", "İ Kelvin cc by", "###$$$ !!! |||", "12 34\x00 56",
     *[sentence(R.randint(1, 80)) for _ in range(25)],
 ]
 DOCS = [(i, t) for i, t in enumerate(TEXTS)] + [(3, "x"), (3, "x"), (None, "nobody's"), (None, None)]
@@ -104,6 +104,94 @@ def test_quality(spark, docs, none):
     assert np.allclose(model.scores(texts), [model.scores([t])[0] for t in texts])
 
 
+def plain_features(text):
+    """quality.encoded() of one text, byte by byte."""
+    n = max(1, -(-len(text) // quality.PASSAGE_BYTES))
+    edges = [k * len(text) // n for k in range(n + 1)]
+    words, at = [], 0
+    for w in __import__("re").finditer(rb"[^ \n\r\t\v\f]+", text):
+        words.append((w.start(), w[0]))
+    out = []
+    for a, b in zip(edges[:-1], edges[1:]):
+        part, row = text[a:b], np.zeros(quality.FEATURES)
+        for x, y in zip(part[:-1], part[1:]):
+            row[int(quality.KIND[x]) * quality.KINDS + int(quality.KIND[y])] += 1
+        row = np.sqrt(row / max(1, row.sum()))
+        own = [(k, w) for k, (at, w) in enumerate(words) if a <= at < b]
+        inside = sum(quality.KIND[x] > 1 for x in part)
+        row[-4] = len(own) / max(1, len(part)) * 5
+        row[-3] = min(4, inside / max(1, len(own)) / 8)
+        row[-2] = sum(k > 0 and words[k - 1][1] == w for k, w in own) / max(1, len(own))
+        row[-1] = len(part) / quality.PASSAGE_BYTES
+        out.append(row)
+    return out
+
+
+def plain_score(model, text):
+    """The model's score of one text, passage by passage."""
+    p, hs, es = model.p, [], []
+    for x in plain_features(text):
+        h = np.tanh((x - model.mean) / model.scale @ p["W"] + p["b"])
+        es.append(p["w"] @ (np.tanh(h @ p["V"]) / (1 + np.exp(-h @ p["U"]))))
+        hs.append(h)
+    a = np.exp(np.array(es) - max(es))
+    return 1 / (1 + np.exp(-(a / a.sum() @ np.array(hs) @ p["u"] + p["c"][0])))
+
+
+def test_quality_model_by_hand(monkeypatch):
+    texts = [(t or "").encode() for t in TEXTS] + [b"same same SAME same\nsame  same", b" "]
+    x, number = quality.encoded(texts)
+    assert np.allclose(x, [row for t in texts for row in plain_features(t)], atol=1e-5) and number.tolist() == [len(plain_features(t)) for t in texts]
+    model = quality.Model(hidden=5, gate=3)
+    label = np.array([k % 3 == 0 for k in range(len(texts))], float)
+    model.fit(x, number, label, rounds=20)
+    assert np.allclose(model.scores(texts), [plain_score(model, t) for t in texts], atol=1e-4)
+    few = model.scaled(x[: int(number[:12].sum())]).astype(float)
+    loss = lambda: -np.mean([np.log(y if k else 1 - y) for k, y in zip(label[:12], model.forward(model.hidden(few), number[:12])["y"])])
+    for k, g in model.gradient(few, number[:12], label[:12]).items():
+        for at in np.ndindex(g.shape) if g.size < 40 else [tuple(R.randrange(n) for n in g.shape) for _ in range(15)]:
+            old, slope = model.p[k][at], []
+            for d in (1e-2, -1e-2) if k == "W" else (1e-4, -1e-4):
+                model.p[k][at] = old + d
+                slope.append(loss() / (2 * d))
+            model.p[k][at] = old
+            assert abs(sum(slope) - g[at]) < 2e-4 + 0.02 * abs(g[at]), (k, at)
+    # a text of several steps has all its passages, and one score whatever it comes with
+    monkeypatch.setattr(quality, "STEP_BYTES", 3000)
+    long = LONG.encode()
+    one, n = quality.by_steps([long, b"x", b""], lambda x: x)
+    assert n.tolist()[1:] == [1, 1] and n[0] == sum(len(plain_features(s)) for s in quality.segments(long)) and b"".join(quality.segments(long)) == long
+    assert np.allclose(model.scores([b"a b", long, b"c"])[1], model.scores([long])[0])
+
+
+def test_quality_trains_on_whole_documents(spark, monkeypatch):
+    import pyarrow as pa
+
+    assert quality.fits_not(pa.table({"k": [1, 2, 3, 4], "n": [512, 5120, 1024, 0]}), 4) == [2]
+    rows = [(k, f"text {k} " * (5000 if k == 3 else 2)) for k in range(12)]
+    seen = []
+    monkeypatch.setattr(quality.Model, "fit", lambda self, x, number, label: seen.append((x, number, label)))
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(10)] + [(None, 1, 0), (11, None, 0)], "doc_id long, quality int, toxic int")
+    quality.learned(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert len(seen[0][1]) == 10 and seen[0][1].max() == -(-len(rows[3][1]) // 512) and sorted(seen[0][2]) == [0.0] * 5 + [1.0] * 5
+    quality.learned(spark.createDataFrame(rows, "doc_id long, text string"), labels, training_passages=20)
+    assert seen[1][1].tolist() == [1] * 9
+
+
+@pytest.mark.parametrize(("query", "modulus", "left", "module", "ids"), [("op2_attention_quality", 5, 0, quality, lambda docs, labels: labels), ("op6_ppm_language", 3, 1, language, lambda docs: docs)])
+def test_held_out_rows_teach_nothing(spark, monkeypatch, query, modulus, left, module, ids):
+    import zlib
+
+    from loomframe.llm import queries
+
+    taught, learned = [], module.learned
+    monkeypatch.setattr(module, "learned", lambda *a: taught.extend(r["doc_id"] for r in ids(*a).collect()) or learned(*a))
+    out = lambda i: zlib.crc32(str(i).encode()) % modulus == left
+    got = queries.QUERIES[query](spark, SF).collect()
+    assert len(got) == 200 and all(r["held_out"] == out(r["doc_id"]) for r in got) and any(r["held_out"] for r in got)
+    assert taught and not any(map(out, taught))
+
+
 def test_wavelet_matrix():
     ids = np.array([R.choice([3, 3, 7, 500, 49407]) for _ in range(3000)])
     m = token_files.WaveletMatrix.of(ids, 16)
@@ -115,15 +203,43 @@ def test_wavelet_matrix():
     assert token_files.WaveletMatrix.of(np.zeros(0, int), 16).decode().tolist() == []
 
 
+def test_wavelet_matrix_opens_only_the_blocks_it_needs(monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", 256)
+    ids = np.random.default_rng(4).integers(0, 50000, 20000)
+    import pyarrow as pa
+
+    row = token_files.packed(0, 0, 0, [1], [20000], ids, 16, pa.int64())
+    m = token_files.opened(16, 20000, row[7], row[8], row[9])
+    assert m.access(12345) == ids[12345]
+    assert all(len(p.open) == 1 for p in m.planes) and len(m.planes[0].blocks) == 10
+    s = int(ids[77])
+    assert m.occurrences(s) == np.flatnonzero(ids == s).tolist() and m.count(s, 70, 1000) == (ids[70:1000] == s).sum() and (m.decode() == ids).all()
+
+
 def test_token_files(spark, docs, none, tmp_path):
     token_files.write_token_files(docs, f"{tmp_path}/t", shard_tokens=500)
     got = token_files.read_token_files(spark, f"{tmp_path}/t").orderBy("start").collect()
-    order, at = sorted(DOCS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")), 0
+    texts = {}
+    for i, t in DOCS:  # documents of one id, in any order
+        texts.setdefault((i, plain.crc(plain.encode("word_bpe_49k.json", t, [1]))), []).append(t)
+    order, at = [(r["doc_id"], texts[r["doc_id"], r["ids_crc32"]].pop()) for r in got], 0
+    assert [i for i, _ in order] == sorted((i for i, _ in DOCS), key=lambda i: (i is not None, i or 0)) and not any(texts.values())
     for r, (i, t) in zip(got, order, strict=True):
         ids = plain.encode("word_bpe_49k.json", t, [1])
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, at, len(ids), plain.crc(ids))
         at += len(ids)
     assert spark.read.parquet(f"{tmp_path}/t").count() > 5
+    # searched from the files
+    whole = [x for i, t in order for x in plain.encode("word_bpe_49k.json", t, [1])]
+    common_id, rare = max(set(whole), key=whole.count), whole[len(whole) // 2]
+    assert {r["token"]: r["n"] for r in token_files.token_counts(spark, f"{tmp_path}/t", [common_id, rare, 1, 49151]).collect()} == {x: whole.count(x) for x in (common_id, rare, 1, 49151)}
+    for x in (rare, 49151):
+        want = [(i, k) for i, t in order for k, y in enumerate(plain.encode("word_bpe_49k.json", t, [1])) if y == x]
+        assert listed(token_files.token_occurrences(spark, f"{tmp_path}/t", x), "doc_id", "at") == sorted(want, key=str)
+    places = [0, 1, 777, len(whole) // 3, len(whole) - 1]
+    assert token_files.tokens_at(spark, f"{tmp_path}/t", [*places, len(whole)]) == {p: whole[p] for p in places}
+    with pytest.raises(Exception, match="bits"):
+        token_files.write_token_files(docs, f"{tmp_path}/narrow", bits=8)
     assert token_files.token_digest(none).count() == 0
 
 
@@ -138,7 +254,9 @@ def test_contamination(spark, docs, none, table_words):
     assert sum(r["n_hit"] for r in decontaminate.contamination(docs, items.limit(0)).collect()) == 0
     kept = decontaminate.decontaminated(docs, items, table_words=table_words)
     assert kept.columns == docs.columns
-    assert kept.count() == sum(not w[-1] for w in want) - (table_words == 20) * sum(not w[-1] and any(v[0] == w[0] and v[-1] for v in want) for w in want)
+    holds = [any(w[k : k + 13] == x[j : j + 13] for _, i in ITEMS if len(x := plain.words(i)) >= 13 for j in range(len(x) - 12) for k in range(len(w) - 12)) for w in (plain.words(t) for _, t in DOCS)]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(w[0]) for w, h in zip(want, holds) if not h and not w[-1])
+    assert sum(h and not w[-1] for w, h in zip(want, holds)) > 0  # a passage in a text that is long enough not to be marked
 
 
 @pytest.mark.parametrize("table_words", [decontaminate.TABLE_WORDS, 20])
@@ -205,6 +323,38 @@ def test_main_text_strips_whole_names_inside_the_article():
     assert main_text.extracted(f"<body><div><h2 id='notice-period'>Notice period</h2>{body}</div></body>").split("\n") == ["Notice period", *text(body)]
 
 
+@pytest.mark.parametrize(
+    ("part", "want"),
+    [
+        ("<p title=it's>Hello there, it's a long text.</p>", ["Hello there, it's a long text."]),
+        ('<p class="a"">A stray quote ends nothing.</p>', ["A stray quote ends nothing."]),
+        ("<p data-x=\"a > b\" title='c > d'>Quoted ends.</p>", ["Quoted ends."]),
+        ("<p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>", ["Where x=2 holds."]),
+        ("<p>An <svg><title>icon</title></svg>icon <span class=ad>Buy</span>and a <button>copy</button>button.</p>", ["An icon and a button."]),
+        ("<p>One &amp;amp; two &am<b>p; three</b> &#8212; 4 &lt; 5 a<!-- -- > -->b<!-->c</p>", ["One &amp; two &amp; three \u2014 4 < 5 abc"]),
+        ("<p>1 < 2, a <3 b</p>", ["1 < 2, a <3 b"]),
+        ("<p>x</p><section class='notice-board'><p>The board said so.</p></section>", ["x", "The board said so."]),
+        ("<p id=side-effects>None are known.</p>", ["None are known."]),
+        ("<p><a href=/x/>linked</a> and not</p><div/><p>after</p></div>", ["linked and not", "after"]),
+        ("<p>a</p><script>if (a</b) '</p>'</script ><p>b</p><textarea><p>c</textarea>", ["a", "b"]),
+    ],
+)
+def test_main_text_reads_tags_as_browsers_do(part, want):
+    body = "<p>The article says this, and it says it at some length.</p>"
+    text = "The article says this, and it says it at some length."
+    assert main_text.extracted(f"<nav><a href=/>Home</a></nav><article>{part}{body}</article><footer>End</footer>").split("\n") == [*want, text]
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a href=", "<a x='", '<p class="', "<!--", "<!", "</", "<script>", "<div>", "<b>", "<a href=x>", "<a href=x><p>", "<div id=x><i>", "</i><b>", "&amp", "<", "<ul><li>"])
+def test_main_text_takes_linear_time(unit):
+    import time
+
+    page = "<article><p>Text before.</p>" + unit * ((1 << 20) // len(unit))
+    began = time.perf_counter()
+    got = main_text.extracted(page)
+    assert time.perf_counter() - began < 20 and got.startswith("Text before.")
+
+
 def test_main_text_of_all_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     html = {r["page_id"]: r["html"] for r in pages.collect()}
@@ -305,7 +455,7 @@ def test_language_keeps_only_what_is_taught(spark):
     assert kept == clean and len(clean) == 4
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     r = np.random.default_rng(3)
     rows = [(i, r.normal(0, 0.4, 8).round(3).tolist()) for i in range(0, 330)]
     rows += [(50, rows[50][1]), (7, rows[7][1]), (8, None), (None, [0.1] * 8), (9, [float("nan")] * 8), (400, [float("inf")] * 8), (10, [0.1, None]), (450, [0.5, 0.5]), (11, [0.25, 0.5])]
@@ -314,11 +464,8 @@ def test_top_k(spark):
     cols = ("query_id", "rank", "vec_id", "score")
     got = listed(exact_topk.top_k(df), *cols)
     assert sorted(set(got)) == plain.top(rows)
-    old, exact_topk.QUERY_BLOCK = exact_topk.QUERY_BLOCK, 2
-    try:
-        assert listed(exact_topk.top_k(df), *cols) == got
-    finally:
-        exact_topk.QUERY_BLOCK = old
+    monkeypatch.setattr(exact_topk, "QUERY_BYTES", 150)  # blocks of two queries
+    assert listed(exact_topk.top_k(df), *cols) == got
     assert exact_topk.top_k(df.limit(0)).count() == 0
 
 
@@ -346,6 +493,21 @@ def test_licence_marks_of_several_notices(spark):
     assert {r["labels"] for r in licenses.licence_marks(spark.createDataFrame([(1, "So you can use it and do with this as you like")], "doc_id long, text string"), notices=free).collect()} == {"free"}
 
 
+def test_licence_marks_by_hand(spark):
+    """labels and score of texts with notices that are whole, changed, cut at either end, repeated and mixed."""
+    texts = [t for t, *_ in licenses.NOTICES] + [t or "" for t in TEXTS]
+    texts += ["this wor\u212a is licensed under a creative commons attribution", "this work is licensed under a Creative\u2003Commons attribution", "THIS WORK IS LICENSED UNDER A CREATIVE COMMONS ATTRIBUTION \u212a"]
+    for t, *_ in licenses.NOTICES:
+        w = t.split()
+        for _ in range(6):
+            some = [x if R.random() < 0.85 else R.choice(w) for x in w]
+            texts.append(" ".join(R.choices(w, k=R.randint(0, 5)) + some[R.randint(0, 3) : len(some) - R.randint(0, 3)] + R.choices(w, k=R.randint(0, 5))))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.licence_marks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(texts):
+        labels, score = plain.notice_marks(t, licenses.PHRASES, licenses.NOTICES, licenses.ALIKE)
+        assert (got[k][0], round(got[k][1], 9)) == (labels, round(score, 9)), t
+
+
 def test_near_duplicates(docs, none):
     got = simhash.near_duplicates(docs)
     want = plain.components([(i, plain.fingerprint(t)) for i, t in DOCS])
@@ -422,7 +584,9 @@ def test_pipeline(spark):
     told = [(r["doc_id"], r["text"]) for r, a, s in zip(good, said, score) if a != "und" and s >= 0.5]
     own = {i: c for i, _, c in plain.components([(i, plain.fingerprint(t)) for i, t in told])}
     single = [(i, t) for i, t in told if own[i] == i]
-    clean = {w[0] for w in plain.contamination(single, items) if not w[-1]}
+    windows = {tuple(w[k : k + 13]) for w in (plain.words(t) for _, t in items) for k in range(len(w) - 12)}
+    holds = {i: any(tuple(w[k : k + 13]) in windows for k in range(len(w) - 12)) for i, w in ((i, plain.words(t)) for i, t in single)}
+    clean = {w[0] for w in plain.contamination(single, items) if not w[-1] and not holds[w[0]]}
     got = pipeline.run(spark, SF).collect()
     want = sorted((i, plain.crc(plain.encode("byte_bpe_50k.json", t, [2]))) for i, t in single if i in clean)
     assert sorted({r["doc_id"] for r in got}) == [i for i, _ in want]
@@ -431,3 +595,59 @@ def test_pipeline(spark):
         totals[r["doc_id"]] = totals.get(r["doc_id"], 0) + r["length"]
     assert totals == {i: len(plain.encode("byte_bpe_50k.json", t, [2])) for i, t in single if i in clean}
     assert [n for n, _ in pipeline.STAGES] == ["quality classifier", "language ID", "SimHash near-dedup", "benchmark decontamination", "best-fit packing"]
+
+
+def crowd(n, seed=2):
+    """n different fingerprints within three bits of one."""
+    r = np.random.default_rng(seed)
+    out = set()
+    while len(out) < n:
+        out.add(int(0x0123456789ABCDEF ^ sum(1 << int(k) for k in r.choice(64, r.integers(0, 4), False))))
+    return np.array(sorted(out), np.uint64)
+
+
+@pytest.mark.parametrize("hot", [2048, 8])
+def test_spanning_links_keep_components(spark, hot, monkeypatch):
+    """Fewer links than fingerprints a bucket, in bounded batches, and the components of all links."""
+    r = np.random.default_rng(6)
+    base = r.integers(0, 1 << 63, 80, np.uint64)
+    near = [b ^ np.uint64(sum(1 << int(k) for k in r.choice(64, n, False))) for b in base for n in (1, 2, 3, 4)]
+    prints = sorted({int(x) for x in [*base, *near, *crowd(300), 0, 7, (1 << 64) - 1]})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    monkeypatch.setattr(simhash, "HOT_BUCKET", hot)
+    df = spark.createDataFrame([(signed(x),) for x in prints], "fp long")
+    links = simhash.linked(df, spanning=True)
+    assert all((x["u"] ^ x["v"]) & (1 << 64) - 1 and ((x["u"] ^ x["v"]) & (1 << 64) - 1).bit_count() <= 3 for x in links.collect())
+    got = {x["node"]: x["root"] for x in components.components(links).collect()}
+    want = {i: c for i, _, c in plain.components([(signed(x), x) for x in prints])}
+    assert {i: c for i, c in got.items()} == {i: c for i, c in want.items() if i in got} and all(sum(c == d for d in want.values()) == 1 for i, c in want.items() if i not in got)
+
+
+def test_a_crowd_of_near_fingerprints_takes_little_memory():
+    import tracemalloc
+
+    keys = crowd(20000)
+    tracemalloc.start()
+    links = sum(len(i) for i, _ in simhash.trie_pairs(keys, 16, 3, components.Forest(len(keys))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 < links < len(keys) and peak < 150 << 20
+
+
+def test_components_of_a_hub_and_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(components, "FEW_LINKS", 4)
+    monkeypatch.setattr(components, "STEP_LINKS", 50)
+    monkeypatch.setattr(components, "TASK_LINKS", 60)
+    edges = [(1000, k) for k in range(1001, 1300)] + [(k, k + 1) for k in range(-50, 50)] + [(1100, 2000), (7, 7), (49, 50), (50, 49)]
+    R.shuffle(edges)
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
+    assert got == {**dict.fromkeys([*range(1000, 1300), 2000], 1000), **dict.fromkeys(range(-50, 51), -50)}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_deduplicated_keeps_one_row_of_each_component(spark):
+    long_text = sentence(300)
+    rows = [(1, long_text), (2, long_text), (2, "other words by far"), (2, "other words by far"), (3, None), (None, ""), (None, "nobody's own words here"), (None, "nobody's own words here"), (4, "nobody's words and others")]
+    docs = spark.createDataFrame([(*r, 1, "x", True) for r in rows], "doc_id long, text string, kept_id int, fp string, nameless boolean").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.deduplicated(docs).collect()), key=str)
+    assert got == sorted([(1, long_text), (2, "other words by far"), (3, None), (None, "nobody's own words here"), (4, "nobody's words and others")], key=str)
