@@ -120,6 +120,7 @@ class Compiler:
 
     def __init__(self, ds: Reader, nodes: tuple[Node, ...]):
         self.ds, self.nodes, self.at = ds, nodes, 0
+        self.picks: list[tuple[str, str]] = []  # entries that the query picks by name
 
     # reading
     def peek(self, *kinds: str) -> Node | None:
@@ -173,6 +174,16 @@ class Compiler:
         got = self.phrase()
         if self.at < len(self.nodes):
             self.fail()
+        return self.checked(self.finished(got))
+
+    def checked(self, result: Result) -> Result:
+        """The result, which fails when it is computed if an entry that is picked by name is not there."""
+        for axis, entry in self.picks:
+            every = result.every_cell
+            result = replace(result, df=self.sure(result.df, axis, entry), order=None if result.order is None else self.sure(result.order, axis, entry), every_cell=None if every is None else lambda every=every, axis=axis, entry=entry: self.sure(every(), axis, entry))
+        return result
+
+    def finished(self, got) -> Result:
         if isinstance(got, Result):
             return got
         if isinstance(got, Scope):
@@ -375,15 +386,21 @@ class Compiler:
             elif self.peek("Axis") and not v.scope.masked and self.nodes[self.at].name == v.scope.axis:
                 self.at += 1
                 entry = self.need("IsEqual").name
-                self.exists(v.scope.axis, entry)
-                return self.after_scalar(v.frame.where(F.col("entry") == entry).select(F.col("__v").alias("value")))
+                return self.after_scalar(self.entry_of(v.frame, v.scope.axis, entry))
             else:
                 self.fail()
         return v
 
-    def exists(self, axis: str, entry: str) -> None:
-        if not self.ds.axis_frame(axis).where(F.col("entry") == entry).limit(1).count():
-            raise KeyError(f"missing entry: {entry} of the axis: {axis}")
+    def sure(self, df: DataFrame, axis: str, entry: str) -> DataFrame:
+        """df, which fails when it is computed if the axis has no such entry."""
+        there = self.ds.axis_frame(axis).where(F.col("entry") == entry).agg(F.count(F.lit(1)).alias("__there"))
+        there = guarded(there, F.col("__there") == 0, f"missing entry: {entry} of the axis: {axis}")
+        return df.crossJoin(F.broadcast(there)).drop("__there")  # one row
+
+    def entry_of(self, frame: DataFrame, axis: str, entry: str) -> DataFrame:
+        """The value __v of one entry of an axis's frame."""
+        got = frame.where(F.col("entry") == entry).agg(F.first("__v").alias("value"), F.count(F.lit(1)).alias("__n"))
+        return guarded(got, F.col("__n") == 0, f"missing entry: {entry} of the axis: {axis}").select("value")
 
     def picked_vector(self) -> DataFrame:
         node = self.need("LookupVector")
@@ -391,10 +408,9 @@ class Compiler:
         axis = self.need("Axis").name
         entry = self.need("IsEqual").name
         frame = self.ds.axis_frame(axis)
-        self.exists(axis, entry)
         if not self.ds.has_vector(axis, node.name) and default is not None:
-            return self.ds.spark.range(1).select(self.constant(default).alias("value"))
-        return self.property(frame, axis, node.name, "__v").where(F.col("entry") == entry).select(F.col("__v").alias("value"))
+            return self.sure(self.ds.spark.range(1).select(self.constant(default).alias("value")), axis, entry)
+        return self.entry_of(self.property(frame, axis, node.name, "__v"), axis, entry)
 
     def eltwise_vector(self, v: Vector, node: Node) -> Vector:
         params, frame, over = dict(node.params), v.frame, None
@@ -540,14 +556,14 @@ class Compiler:
         default = self.value()
         if node := self.take("SquareColumnIs", "SquareRowIs"):
             m = self.ds.matrix(axis, axis, name) if default is None or self.ds.has_matrix(axis, axis, name) else self.constant_matrix(default)
-            self.exists(axis, node.name)
+            self.picks.append((axis, node.name))
             if node.kind == "SquareRowIs":
                 m = Matrix(m.df.select(F.col("col").alias("row"), F.col("row").alias("col"), "value"), m.background)
             return m, F.col("col") == node.name, axis
         other = self.need("Axis").name
         entry = self.need("IsEqual").name
         m = self.ds.matrix(axis, other, name) if default is None or self.ds.has_matrix(axis, other, name) else self.constant_matrix(default)
-        self.exists(other, entry)
+        self.picks.append((other, entry))
         return m, F.col("col") == entry, other
 
     def joined_slice(self, frame: DataFrame, m: Matrix, pick: Column, col: str, other: str) -> DataFrame:
@@ -574,7 +590,7 @@ class Compiler:
                 g = g.transposed()
             elif axis != g.cols.axis:
                 self.fail()
-        self.exists(axis, entry)
+        self.picks.append((axis, entry))
         m = Matrix(g.cells, g.background)
         return Vector(g.rows, self.joined_slice(g.rows.frame, m, F.col("col") == entry, "__v", axis), g.name)
 
@@ -591,8 +607,7 @@ class Compiler:
         if default is not None and not self.ds.has_matrix(first, second, node.name):
             return self.ds.spark.range(1).select(self.constant(default).alias("value"))
         m = self.ds.matrix(first, second, node.name)
-        self.exists(first, row)
-        self.exists(second, col)
+        self.picks += [(first, row), (second, col)]
         found = m.df.where((F.col("row") == row) & (F.col("col") == col)).agg(F.max("value").alias("value"))
         return found if m.background is None else found.select(F.coalesce("value", F.lit(m.background).cast(m.df.schema["value"].dataType)).alias("value"))
 
