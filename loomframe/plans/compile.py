@@ -699,10 +699,10 @@ class Compiler:
         if op.in_order:  # places within the group
             members = members.withColumn("pos", (F.row_number().over(Window.partitionBy("__label").orderBy("pos")) - 1).cast("bigint"))
         sizes = members.groupBy("__label").agg(F.count(F.lit(1)).alias("__size"))
-        joined = g.cells.join(members, "row")
         total = None
-        if g.background is not None:
-            joined, total = joined.join(sizes, "__label"), F.col("__size")
+        if g.background is not None:  # groups' sizes go along with their members, not with the cells
+            members, total = members.join(sizes, "__label"), F.col("__size")
+        joined = g.cells.join(members, "row")
         got = op.reduced(joined, ["__label", "col"], "value", "pos", total, g.background)
         kind = got.schema["reduced"].dataType
         cells = got.select(F.col("__label").alias("row"), "col", F.col("reduced").alias("value"))
