@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, drop, written
 
-#: Links that a task contracts in one go, and links for which a round has one more task.
+#: Links that a task contracts in one go, and links for which there is one task more.
 STEP_LINKS, TASK_LINKS = 1 << 20, 100_000
 #: Nodes of many links whose minima are broadcast, at most.
 HOT_NODES = 50_000
@@ -108,16 +108,18 @@ def beside(rows: DataFrame, least: DataFrame, links: int) -> DataFrame:
     return found.where(F.col("hot").isNotNull()).select("u", "v", F.col("hot").alias("m")).unionByName(rest.select("u", "v", "m"))
 
 
-def components(edges: DataFrame, name: str = "links", contract: bool = True) -> DataFrame:
+def components(edges: DataFrame, name: str = "links") -> DataFrame:
     """Roots of linked nodes: (node, root), root the smallest node reachable; a node without links has no row.
 
-    edges: (u, v) of long, in any direction, repeats allowed, no nulls. Alternates large stars and small stars, which
-    end in one link from each node to its root after some log-many rounds; every round is written to the shared folder,
-    so a lost executor repeats at most one. No node's links are gathered: minima are aggregated before the shuffle, and
-    links of nodes that have many are not shuffled by node. contract: whether each task first drops what its links do not
-    need, which pays where there are many more links than nodes.
+    edges: (u, v) of long, in any direction, repeats allowed, no nulls. Tasks of some TASK_LINKS links first drop those that
+    they do not need. Then large stars and small stars alternate, which end in one link from each node to its root after
+    some log-many rounds; every round is written to the shared folder, so a lost executor repeats at most one. No node's
+    links are gathered: minima are aggregated before the shuffle, and links of nodes that have many are not shuffled by
+    node.
     """
-    now = written(contracted(edges) if contract else edges.select("u", "v"), name)
+    every = written(edges.select("u", "v"), name)
+    now = written(contracted(every.coalesce(1 + every.count() // TASK_LINKS)), name)
+    drop(every)
     mark = None
     while True:
         new = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
@@ -130,7 +132,7 @@ def components(edges: DataFrame, name: str = "links", contract: bool = True) ->
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = beside(down, low, 2 * new["n"]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        last, now = now, written(small.select("e.u", "e.v").where("u <> v").distinct().coalesce(8 + new["n"] // TASK_LINKS), name)
+        last, now = now, written(small.select("e.u", "e.v").where("u <> v").distinct().coalesce(1 + new["n"] // TASK_LINKS), name)
         drop(last)
     ends = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(ends)

@@ -262,7 +262,7 @@ def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def rooted(prints: DataFrame, budget: int) -> DataFrame:
     """(fp, least, root) of every distinct fingerprint of hashed(): its row of the smallest id, as (nameless, doc_id, fp,
     digest) with nameless true for a null id, and the smallest fingerprint that it reaches."""
-    roots = components(linked(prints.select("fp").distinct(), budget, spanning=True), contract=False)  # a forest a bucket
+    roots = components(linked(prints.select("fp").distinct(), budget, spanning=True))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "digest")).alias("least")
     return prints.groupBy("fp").agg(least).join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
