@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, arrow_map, flat, local, sliced, stream, text_bytes
+from .common import STEP_BYTES, arrow_map, flat, local, sliced, stream, text_bytes, trim
 
 #: Bytes of the longest context.
 ORDER = 3
@@ -264,6 +264,9 @@ def learned(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", tra
     taught = np.array([[((which == i) & (half != h)).any() for h in (0, 1)] for i in range(len(languages))])
     fit = (size > 0) & taught[lang, own]
     trees.limits = ranges(len(languages), lang[fit], size[fit], bits[fit])
+    others.destroy()
+    del counted, which, half, keys, n, got
+    trim()
     return trees
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, arrow_map, drop, flat, sliced, stream, text_bytes, written
+from .common import STEP_BYTES, arrow_map, drop, flat, sliced, stream, text_bytes, trim, written
 
 #: Bytes of a passage, at most; a document's passages are of nearly equal length.
 PASSAGE_BYTES = 512
@@ -187,7 +187,10 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     model = Model()
     if sample.num_rows:
         xs = [np.frombuffer(b, np.float16).reshape(-1, FEATURES) for b in sample["x"].to_pylist()]
-        model.fit(np.concatenate(xs), np.array([len(x) for x in xs]), sample["label"].to_numpy())
+        number, label, x = np.array([len(x) for x in xs]), sample["label"].to_numpy(), np.concatenate(xs)
+        del sample, xs
+        model.fit(x, number, label)
+    trim()
     return model
 
 
