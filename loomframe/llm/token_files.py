@@ -11,24 +11,55 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Encoder, bounded, crc, shared_dir, stream, text_bytes, tokenizer_path
+from .common import Encoder, arrow_map, crc, drop, shared_dir, sliced, stream, text_bytes, tokenizer_path, written
 
 #: Tokens after which a shard ends, at the next document's end.
 SHARD_TOKENS = 1 << 21
 #: Bits between two entries of a rank directory.
 RANK_BITS = 512
+#: Bytes of a plane that are compressed together, a multiple of RANK_BITS / 8.
+BLOCK_BYTES = 1 << 15
 
-SHARD_SCHEMA = "part int, seq int, part_start long, n_tokens long, n_docs long, bits int, docs binary, zeros array<long>, ranks array<binary>, planes array<binary>"
+SHARD_SCHEMA = "part int, seq int, part_start long, n_tokens long, n_docs long, bits int, docs binary, zeros array<long>, ranks array<binary>, planes array<array<binary>>"
+
+
+class Plane:
+    """Bytes of a bit-plane in blocks of BLOCK_BYTES, each compressed by itself and opened when it is asked for."""
+
+    def __init__(self, blocks: list[bytes]):
+        self.blocks, self.open = blocks, {}
+
+    @classmethod
+    def of(cls, plane: np.ndarray) -> list[bytes]:
+        z = zstandard.ZstdCompressor(1)
+        return [z.compress(plane[k : k + BLOCK_BYTES].tobytes()) for k in range(0, len(plane), BLOCK_BYTES)]
+
+    def block(self, k: int) -> np.ndarray:
+        if k not in self.open:
+            self.open[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.blocks[k]), np.uint8)
+        return self.open[k]
+
+    def __getitem__(self, at) -> np.ndarray | int:
+        """A byte, or a slice that lies within one block."""
+        k, low = divmod(at.start if isinstance(at, slice) else int(at), BLOCK_BYTES)
+        if not isinstance(at, slice):
+            return self.block(k)[low]
+        return self.block(k)[low : low + at.stop - at.start] if at.stop > at.start else np.zeros(0, np.uint8)
+
+    def whole(self) -> np.ndarray:
+        z = zstandard.ZstdDecompressor()
+        return np.frombuffer(b"".join(z.decompress(x) for x in self.blocks), np.uint8)
 
 
 class WaveletMatrix:
     """A sequence of integers under 2**bits as bit-planes, highest bit first, each stably parted by the one above.
 
     access, rank, select, count and occurrences take O(bits) plane lookups an answer; rank reads a directory of
-    ones before each RANK_BITS bits and counts within one block.
+    ones before each RANK_BITS bits and counts within one block. planes and ranks may be arrays, or a Plane and a
+    function that gives the directory.
     """
 
-    def __init__(self, n: int, bits: int, zeros: list[int], planes: list[np.ndarray], ranks: list[np.ndarray]):
+    def __init__(self, n: int, bits: int, zeros: list[int], planes: list[np.ndarray | Plane], ranks: list[np.ndarray]):
         self.n, self.bits, self.zeros, self.planes, self.ranks = n, bits, zeros, planes, ranks
 
     @classmethod
@@ -51,6 +82,7 @@ class WaveletMatrix:
         a = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits):
             plane = self.planes[self.bits - 1 - level]
+            plane = plane.whole() if isinstance(plane, Plane) else plane
             one = np.unpackbits(plane, count=self.n).view(bool)
             z = self.zeros[self.bits - 1 - level]
             up = np.empty_like(a)
@@ -59,28 +91,22 @@ class WaveletMatrix:
             a = up
         return a
 
-    def _bit(self, k: int, i: np.ndarray) -> np.ndarray:
-        return (self.planes[k][i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1
-
-    def _ones(self, k: int, i: np.ndarray) -> np.ndarray:
-        """Ones of plane k before each place i."""
-        i = np.atleast_1d(np.asarray(i, np.int64))
-        block = i // RANK_BITS
-        out = self.ranks[k][block].astype(np.int64)
-        for j in range(len(i)):
-            at = block[j] * (RANK_BITS // 8)
-            whole = self.planes[k][at : i[j] >> 3]
-            out[j] += int(np.bitwise_count(whole).sum())
-            if i[j] & 7:
-                out[j] += int(self.planes[k][i[j] >> 3] >> (8 - (i[j] & 7))).bit_count()
-        return out
+    def _bit(self, k: int, i: int) -> int:
+        return int(self.planes[k][i >> 3]) >> (7 - (i & 7)) & 1
+
+    def _ones(self, k: int, i: int) -> int:
+        """Ones of plane k before place i."""
+        block, step = i // RANK_BITS, RANK_BITS // 8
+        out = int(self.ranks[k][block]) + int(np.bitwise_count(self.planes[k][block * step : i >> 3]).sum())
+        return out + (int(self.planes[k][i >> 3]) >> (8 - (i & 7))).bit_count() if i & 7 else out
 
     def access(self, i: int) -> int:
+        """The value at place i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at, value = np.array([i]), 0
+        at, value = int(i), 0
         for k in range(self.bits):
-            b = int(self._bit(k, at)[0])
+            b = self._bit(k, at)
             value = value << 1 | b
             at = self.zeros[k] + self._ones(k, at) if b else at - self._ones(k, at)
         return value
@@ -89,7 +115,9 @@ class WaveletMatrix:
         if symbol >> self.bits:
             return 0, 0
         for k in range(self.bits):
-            a, b = self._ones(k, np.array([lo, hi])).tolist()
+            if lo == hi:
+                return 0, 0
+            a, b = self._ones(k, lo), self._ones(k, hi)
             lo, hi = (self.zeros[k] + a, self.zeros[k] + b) if symbol >> (self.bits - 1 - k) & 1 else (lo - a, hi - b)
         return lo, hi
 
@@ -114,7 +142,7 @@ class WaveletMatrix:
             low, high = 0, self.n - 1  # the place of the want-th such bit of plane k
             while low < high:
                 mid = (low + high) // 2
-                ones = int(self._ones(k, np.array([mid + 1]))[0])
+                ones = self._ones(k, mid + 1)
                 if (ones if one else mid + 1 - ones) > want:
                     high = mid
                 else:
@@ -143,13 +171,24 @@ def packed(part: int, seq: int, start: int, docs: list, lengths: list[int], ids:
     table = pa.table({"doc_id": pa.array(docs, id_type), "n_tokens": pa.array(lengths, pa.int64())})
     with pa.ipc.new_stream(sink, table.schema) as w:
         w.write_table(table)
-    return [part, seq, start, m.n, len(docs), bits, z.compress(sink.getvalue()), m.zeros, [z.compress(x.tobytes()) for x in m.ranks], [z.compress(x.tobytes()) for x in m.planes]]
+    return [part, seq, start, m.n, len(docs), bits, z.compress(sink.getvalue()), m.zeros, [z.compress(x.tobytes()) for x in m.ranks], [Plane.of(x) for x in m.planes]]
+
+
+class Ranks:
+    """A plane's rank directory, opened when it is asked for."""
+
+    def __init__(self, data: bytes):
+        self.data, self.open = data, None
 
+    def __getitem__(self, k: int) -> int:
+        if self.open is None:
+            self.open = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.data), np.uint32)
+        return int(self.open[k])
 
-def opened(bits: int, n: int, zeros: list[int], ranks: list[bytes], planes: list[bytes]) -> WaveletMatrix:
-    """The matrix of a shard's row."""
-    z = zstandard.ZstdDecompressor()
-    return WaveletMatrix(n, bits, zeros, [np.frombuffer(z.decompress(x), np.uint8) for x in planes], [np.frombuffer(z.decompress(x), np.uint32) for x in ranks])
+
+def opened(bits: int, n: int, zeros: list[int], ranks: list[bytes], planes: list[list[bytes]]) -> WaveletMatrix:
+    """The matrix of a shard's row; only what an answer needs is decompressed."""
+    return WaveletMatrix(n, bits, zeros, [Plane(x) for x in planes], [Ranks(x) for x in ranks])
 
 
 def listed(docs: bytes) -> pa.Table:
@@ -157,42 +196,54 @@ def listed(docs: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(docs, max_output_size=1 << 31)).read_all()
 
 
+def token_ids(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, bits: int) -> DataFrame:
+    """doc_id, ids: every document's ids with end_id as little-endian integers of 16 or 32 bits."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def step(cols, state):
+        ids, ends = Encoder.of(tokenizer_path(tokenizer)).encode(text_bytes(cols[1]))
+        if max(int(ids.max(initial=0)), end_id) >> bits:
+            raise ValueError(f"the vocabulary of {tokenizer} needs more than {bits} bits")
+        ids = np.insert(ids, ends[1:], end_id).astype("<u2" if bits <= 16 else "<u4")
+        edges = ((ends + np.arange(len(ends))) * ids.itemsize).tolist()
+        data = ids.tobytes()
+        return [cols[0], pa.array([data[a:b] for a, b in zip(edges[:-1], edges[1:])], pa.binary())]
+
+    return stream(docs, step, [F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")], f"doc_id {kind}, ids binary")
+
+
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 1, bits: int = 16, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encodes every document, appends end_id, and writes ids in ascending id order as wavelet-matrix shards.
 
-    The texts are dealt to ranges of ids and encoded there, in one pass. A shard never parts a document. Shards are
-    rows of the Parquet files under path, in order of (part, seq); the commit of Spark's writer makes each whole or
-    absent. A null text is empty: only end_id. A null id sorts first; repeated ids stay apart, in order of text.
+    Texts are encoded where they are, and only ids, of 2 bytes, are dealt to ranges of (doc_id, hash of the ids), so
+    neither long texts nor a much-repeated id make one range large. A shard never parts a document. Shards are rows of
+    the Parquet files under path, in order of (part, seq); the commit of Spark's writer makes each whole or absent. A
+    null text is empty: only end_id. A null id sorts first; repeated ids stay apart, in order of their ids' hash. An id
+    of over bits bits is an error. An empty table gives no shard.
     """
-    from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
 
     id_type = to_arrow_type(docs.schema[id_col].dataType)
-    names = _parse_datatype_string(SHARD_SCHEMA)
-    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in names])
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in _parse_datatype_string(SHARD_SCHEMA)])
+    width = np.dtype("<u2" if bits <= 16 else "<u4")
 
     def run(batches):
-        from .common import sliced
-
         part, seq, start = TaskContext.get().partitionId(), 0, 0
-        enc = Encoder.of(tokenizer_path(tokenizer))
         held_docs, held_len, held_ids, held = [], [], [], 0
 
         def row():
-            got = packed(part, seq, start, held_docs, held_len, np.concatenate(held_ids), bits, id_type)
+            got = packed(part, seq, start, held_docs, held_len, np.frombuffer(b"".join(held_ids), width), bits, id_type)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(got, arrow.types)], schema=arrow)
 
         for batch in batches:
             for few in sliced(batch):
-                ids, ends = enc.encode(text_bytes(few.column(1)))
-                with_end = np.insert(ids, ends[1:], end_id)
-                sizes = np.diff(ends) + 1
-                edges = np.concatenate([[0], np.cumsum(sizes)])
-                for i, d in enumerate(few.column(0).to_pylist()):
+                for d, ids in zip(few.column(0).to_pylist(), few.column(1).to_pylist()):
+                    size = len(ids) // width.itemsize
                     held_docs.append(d)
-                    held_len.append(int(sizes[i]))
-                    held_ids.append(with_end[edges[i] : edges[i + 1]].astype(np.uint32 if bits > 16 else np.uint16))
-                    held += int(sizes[i])
+                    held_len.append(size)
+                    held_ids.append(ids)
+                    held += size
                     if held >= shard_tokens:
                         yield row()
                         seq, start = seq + 1, start + held
@@ -200,9 +251,9 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         if held_docs:
             yield row()
 
-    bounded(docs.sparkSession)
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kept.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
+    ids = written(token_ids(docs, id_col, text_col, tokenizer, end_id, bits).withColumn("tie", F.xxhash64("ids")), "ids")
+    arrow_map(ids.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids"), run, SHARD_SCHEMA).write.parquet(path)
+    drop(ids)
 
 
 def read_token_files(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
@@ -211,29 +262,94 @@ def read_token_files(spark: SparkSession, path: str, id_type: str = "long") -> D
     Each shard is decoded alone; starts within a part are in its shards, and the parts' own starts are sums over one
     row a part.
     """
-    shards = spark.read.parquet(path)
-    totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("t"))  # one row a part
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = totals.select("part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("part_at"))
-
     def step(cols, state):
-        out = {k: [] for k in ("doc_id", "part", "start", "n_tokens", "ids_crc32")}
+        out = {k: [] for k in ("start", "n_tokens", "ids_crc32")}
         ids = []
-        for part, start, n, bits, docs, zeros, ranks, planes in zip(*(c.to_pylist() for c in cols)):
+        for start, n, bits, docs, zeros, ranks, planes in zip(*(c.to_pylist() for c in cols)):
             values, table = opened(bits, n, zeros, ranks, planes).decode(), listed(docs)
             lengths = table["n_tokens"].to_numpy()
             edges = np.concatenate([[0], np.cumsum(lengths)])
             ids.append(table["doc_id"].combine_chunks())
-            out["part"] += [part] * len(lengths)
             out["start"] += (start + edges[:-1]).tolist()
             out["n_tokens"] += lengths.tolist()
             values = values.astype("<u4")
             out["ids_crc32"] += [crc(values[a:b]) for a, b in zip(edges[:-1], edges[1:])]
-        return [pa.concat_arrays(ids), pa.array(out["part"], pa.int32()), *(pa.array(out[k], pa.int64()) for k in ("start", "n_tokens", "ids_crc32"))]
+        return [pa.concat_arrays(ids), *(pa.array(out[k], pa.int64()) for k in ("start", "n_tokens", "ids_crc32"))]
 
-    cols = [F.col(c) for c in ("part", "part_start", "n_tokens", "bits", "docs", "zeros", "ranks", "planes")]
-    rows = stream(shards, step, cols, f"doc_id {id_type}, part int, start long, n_tokens long, ids_crc32 long")
-    return rows.join(parts, "part").select("doc_id", (F.col("start") + F.col("part_at")).alias("start"), "n_tokens", "ids_crc32")
+    cols = [F.col(c) for c in ("first", "n_tokens", "bits", "docs", "zeros", "ranks", "planes")]
+    return stream(shards(spark, path), step, cols, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+
+
+def shards(spark: SparkSession, path: str) -> DataFrame:
+    """The shards under path, each with first: the place of its first token among all."""
+    rows = spark.read.parquet(path)
+    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("t"))  # one row a part
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = totals.select("part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("part_at"))
+    # a row a task that wrote; shards themselves, whole matrices, stay where they are
+    return rows.join(F.broadcast(parts), "part").withColumn("first", F.col("part_start") + F.col("part_at")).drop("part_at")
+
+
+#: Columns of a shard that the functions below open.
+MATRIX = ("bits", "n_tokens", "zeros", "ranks", "planes")
+
+
+def token_counts(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """token, n: how often each of the tokens stands in the files, by rank over every shard; 0 for one that does not."""
+
+    def step(cols, state):
+        made = [opened(*row) for row in zip(*(c.to_pylist() for c in cols))]
+        return [np.array(tokens, np.int64), np.array([sum(m.count(t) for m in made) for t in tokens], np.int64)]
+
+    got = stream(spark.read.parquet(path), step, [F.col(c) for c in MATRIX], "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    asked = spark.createDataFrame([(t,) for t in sorted(set(tokens))], "token long")
+    return asked.join(got, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def token_occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """doc_id, at: every place of the token, counted from its document's first id; by select in every shard. Repeated
+    ids' documents are not told apart."""
+    id_type = None
+
+    def step(cols, state):
+        ids, at = [], []
+        for docs, *row in zip(*(c.to_pylist() for c in cols)):
+            places, table = np.array(opened(*row).occurrences(token), np.int64), listed(docs)
+            edges = np.concatenate([[0], np.cumsum(table["n_tokens"].to_numpy())])
+            of = np.searchsorted(edges, places, "right") - 1
+            ids.append(table["doc_id"].combine_chunks().take(pa.array(of)))
+            at.append(places - edges[of])
+        return [pa.concat_arrays(ids), np.concatenate(at)]
+
+    rows = spark.read.parquet(path)
+    first = rows.select("docs").first()
+    id_type = "long" if first is None else from_arrow(listed(first["docs"]).schema.field("doc_id").type)
+    return stream(rows, step, [F.col(c) for c in ("docs", *MATRIX)], f"doc_id {id_type}, at long")
+
+
+def from_arrow(kind: pa.DataType) -> str:
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    return from_arrow_type(kind).simpleString()
+
+
+def tokens_at(spark: SparkSession, path: str, places: list[int]) -> dict[int, int]:
+    """The token at each of the places, counted over all files; by access in the shards that hold them. Places outside
+    the files are left out."""
+    asked = sorted(set(places))
+
+    def step(cols, state):
+        at, values = [], []
+        for first, *row in zip(*(c.to_pylist() for c in cols)):
+            m = opened(*row)
+            own = [p for p in asked if first <= p < first + m.n]
+            at += own
+            values += [m.access(p - first) for p in own]
+        return [np.array(at, np.int64), np.array(values, np.int64)]
+
+    some = F.exists(F.array(*(F.lit(p).cast("long") for p in asked)), lambda p: (p >= F.col("first")) & (p < F.col("first") + F.col("n_tokens"))) if asked else F.lit(False)
+    got = stream(shards(spark, path).where(some), step, [F.col(c) for c in ("first", *MATRIX)], "place long, token long")
+    return {r["place"]: r["token"] for r in got.collect()}  # a row a place asked for
 
 
 def token_digest(docs: DataFrame, **options) -> DataFrame:
