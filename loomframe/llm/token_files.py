@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import io
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
-from .common import Encoder, arrow_map, crc, drop, shared_dir, sliced, stream, text_bytes, tokenizer_path, written
+from .common import STEP_BYTES, Encoder, arrow_map, crc, shared_dir, sliced, stream, text_bytes, tokenizer_path
 
 #: Tokens after which a shard ends, at the next document's end.
 SHARD_TOKENS = 1 << 21
@@ -19,6 +22,10 @@ SHARD_TOKENS = 1 << 21
 RANK_BITS = 512
 #: Bytes of a plane that are compressed together, a multiple of RANK_BITS / 8.
 BLOCK_BYTES = 1 << 15
+#: Bytes of text whose ids go to one task and one file, about.
+PART_BYTES = 32 * STEP_BYTES
+#: Values that are parted together, so that their places stay in a core's cache.
+PARTED = 1 << 15
 
 SHARD_SCHEMA = "part int, seq int, part_start long, n_tokens long, n_docs long, bits int, docs binary, zeros array<long>, ranks array<binary>, planes array<array<binary>>"
 
@@ -69,12 +76,14 @@ class WaveletMatrix:
         zeros, planes, ranks = [], [], []
         for level in range(bits - 1, -1, -1):
             one = (a >> a.dtype.type(level)) & a.dtype.type(1) != 0
-            low = a[~one]
-            zeros.append(len(low))
             plane = np.packbits(one)
             planes.append(plane)
             ranks.append(directory(plane))
-            a = np.concatenate([low, a[one]])
+            zeros.append(len(a) - int(ranks[-1][-1]))
+            down = np.empty_like(a)
+            for at, (lo, low), (hi, high) in parted(one, zeros[-1]):
+                down[lo : lo + len(low)], down[hi : hi + len(high)] = a[at][low], a[at][high]
+            a = down
         return cls(len(a), bits, zeros, planes, ranks)
 
     def decode(self) -> np.ndarray:
@@ -86,8 +95,9 @@ class WaveletMatrix:
             one = np.unpackbits(plane, count=self.n).view(bool)
             z = self.zeros[self.bits - 1 - level]
             up = np.empty_like(a)
-            up[~one] = a[:z]
-            up[one] = a[z:] | a.dtype.type(1 << level)
+            a[z:] |= a.dtype.type(1 << level)
+            for at, (lo, low), (hi, high) in parted(one, z):
+                up[at][low], up[at][high] = a[lo : lo + len(low)], a[hi : hi + len(high)]
             a = up
         return a
 
@@ -154,6 +164,17 @@ class WaveletMatrix:
         return [self.select(symbol, j) for j in range(self.count(symbol))]
 
 
+def parted(one: np.ndarray, zeros: int) -> Iterator[tuple[slice, tuple[int, np.ndarray], tuple[int, np.ndarray]]]:
+    """Of each PARTED values: their slice; where its zeros begin among all values parted, and their places in the slice;
+    the same of its ones. Places are found without a branch a value, which a mask as an index takes."""
+    lo, hi = 0, zeros
+    for k in range(0, len(one), PARTED):
+        at = slice(k, k + PARTED)
+        low, high = np.flatnonzero(~one[at]), np.flatnonzero(one[at])
+        yield at, (lo, low), (hi, high)
+        lo, hi = lo + len(low), hi + len(high)
+
+
 def directory(plane: np.ndarray) -> np.ndarray:
     """Ones before each RANK_BITS bits, and in all."""
     step = RANK_BITS // 8
@@ -196,30 +217,63 @@ def listed(docs: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(docs, max_output_size=1 << 31)).read_all()
 
 
-def token_ids(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, bits: int) -> DataFrame:
-    """doc_id, ids: every document's ids with end_id as little-endian integers of 16 or 32 bits."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def ranged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """doc_id, tie (a hash of the text), range, text of every document, and the number of ranges of (doc_id, tie), of
+    about PART_BYTES of text each.
+
+    Where ranges end is read from rows drawn by their bytes, about one in STEP_BYTES of text, before any text is encoded.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+    drawn = rows.select("doc_id", "tie", size.alias("size")).where(F.rand(5) * STEP_BYTES < F.col("size"))
+    drawn = drawn.select(F.struct("doc_id", "tie", F.greatest("size", F.lit(STEP_BYTES)).alias("stands_for")).alias("x"))
+    drawn = drawn.agg(F.sort_array(F.collect_list("x")).alias("x")).first()["x"]
+    upto = np.cumsum([x["stands_for"] for x in drawn], dtype=np.int64)
+    n = math.ceil(int(upto[-1]) / PART_BYTES) if len(drawn) else 1
+    ends = [drawn[k] for k in np.unique(np.searchsorted(upto, [int(upto[-1]) * k // n for k in range(1, n)])).tolist()] if n > 1 else []
+    if not ends:
+        return rows.select("doc_id", "tie", F.lit(0).alias("range"), "text"), 1
+    kind = docs.schema[id_col].dataType
+    # sorted by Spark again: whatever a literal made of an id, ranges ascend
+    sorted_ends = F.sort_array(F.array(*(F.struct(literal(x["doc_id"], kind).alias("doc_id"), F.lit(x["tie"]).cast("long").alias("tie")) for x in ends)))
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(len(ends).bit_length()))))
+    # the number of ends up to (doc_id, tie), by halving
+    at = F.aggregate(halves, F.lit(0), lambda lo, half: F.when((lo + half <= len(ends)) & (F.get(sorted_ends, lo + half - 1) <= F.struct("doc_id", "tie")), lo + half).otherwise(lo))
+    return rows.select("doc_id", "tie", at.alias("range"), "text"), len(ends) + 1
+
+
+def literal(x, kind: DataType) -> Column:
+    """A value of a row that was read, as it stands in a query."""
+    if isinstance(kind, StructType) and x is not None:
+        return F.struct(*(literal(v, f.dataType).alias(f.name) for v, f in zip(x, kind.fields)))
+    return F.lit(x).cast(kind)
+
+
+def token_ids(rows: DataFrame, tokenizer: str, end_id: int, bits: int) -> DataFrame:
+    """Of rows from ranged(): doc_id, tie, range, ids: every document's ids with end_id as little-endian integers of 16 or
+    32 bits."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def step(cols, state):
-        ids, ends = Encoder.of(tokenizer_path(tokenizer)).encode(text_bytes(cols[1]))
+        ids, ends = Encoder.of(tokenizer_path(tokenizer)).encode(text_bytes(cols[3]))
         if max(int(ids.max(initial=0)), end_id) >> bits:
             raise ValueError(f"the vocabulary of {tokenizer} needs more than {bits} bits")
         ids = np.insert(ids, ends[1:], end_id).astype("<u2" if bits <= 16 else "<u4")
         edges = ((ends + np.arange(len(ends))) * ids.itemsize).tolist()
         data = ids.tobytes()
-        return [cols[0], pa.array([data[a:b] for a, b in zip(edges[:-1], edges[1:])], pa.binary())]
+        return [*cols[:3], pa.array([data[a:b] for a, b in zip(edges[:-1], edges[1:])], pa.binary())]
 
-    return stream(docs, step, [F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")], f"doc_id {kind}, ids binary")
+    return stream(rows, step, [F.col(c) for c in ("doc_id", "tie", "range", "text")], f"doc_id {kind}, tie long, range int, ids binary")
 
 
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 1, bits: int = 16, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encodes every document, appends end_id, and writes ids in ascending id order as wavelet-matrix shards.
 
-    Texts are encoded where they are, and only ids, of 2 bytes, are dealt to ranges of (doc_id, hash of the ids), so
-    neither long texts nor a much-repeated id make one range large. A shard never parts a document. Shards are rows of
-    the Parquet files under path, in order of (part, seq); the commit of Spark's writer makes each whole or absent. A
-    null text is empty: only end_id. A null id sorts first; repeated ids stay apart, in order of their ids' hash. An id
-    of over bits bits is an error. An empty table gives no shard.
+    Texts are encoded where they are, and only ids, of 2 bytes, are dealt to ranges of (doc_id, hash of the text) of about
+    PART_BYTES, so neither long texts nor a much-repeated id make one range large. A shard never parts a document. Shards
+    are rows of the Parquet files under path, in order of (part, seq); the commit of Spark's writer makes each whole or
+    absent, and nothing else is written. A null text is empty: only end_id. A null id sorts first; repeated ids stay
+    apart, in order of their texts' hash. An id of over bits bits is an error. An empty table gives no shard.
     """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
@@ -251,9 +305,9 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         if held_docs:
             yield row()
 
-    ids = written(token_ids(docs, id_col, text_col, tokenizer, end_id, bits).withColumn("tie", F.xxhash64("ids")), "ids")
-    arrow_map(ids.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids"), run, SHARD_SCHEMA).write.parquet(path)
-    drop(ids)
+    rows, n = ranged(docs, id_col, text_col)
+    dealt = token_ids(rows, tokenizer, end_id, bits).repartitionById(n, "range").sortWithinPartitions("doc_id", "tie")
+    arrow_map(dealt.select("doc_id", "ids"), run, SHARD_SCHEMA).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:

@@ -243,6 +243,41 @@ def test_token_files(spark, docs, none, tmp_path):
     assert token_files.token_digest(none).count() == 0
 
 
+def test_token_files_are_all_that_is_written(spark, docs, tmp_path, monkeypatch):
+    """Each file costs the JVM a few programs that it starts; a small table is one file, a larger one a file a range."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    paths, parquet = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (paths.append(path), parquet(self, path, *a, **b))[1])
+    token_files.write_token_files(docs, f"{tmp_path}/one")
+    assert paths == [f"{tmp_path}/one"] and len(list((tmp_path / "one").glob("*.parquet"))) == 1
+    monkeypatch.setattr(token_files, "STEP_BYTES", 100)
+    monkeypatch.setattr(token_files, "PART_BYTES", 4000)
+    token_files.write_token_files(docs, f"{tmp_path}/more")
+    assert paths[1:] == [f"{tmp_path}/more"] and len(list((tmp_path / "more").glob("*.parquet"))) > 4
+    assert spark.read.parquet(f"{tmp_path}/more").selectExpr("max(part)").first()[0] < 60
+    got = [token_files.read_token_files(spark, f"{tmp_path}/{x}").orderBy("start").collect() for x in ("one", "more")]
+    assert got[0] == got[1] and len(got[0]) == len(DOCS)
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "decimal(9,2)", "date", "timestamp", "binary", "struct<a:string,b:bigint>"])
+def test_token_ranges_ascend(spark, kind, monkeypatch):
+    """Ranges follow the order of ids of any kind, nulls first, and are of like bytes; copies of an id part by text."""
+    monkeypatch.setattr(token_files, "STEP_BYTES", 200)
+    monkeypatch.setattr(token_files, "PART_BYTES", 4000)
+    made = {
+        "string": "if(id < 150, 'many', concat(if(id % 2 = 0, 'é', 'Z'), id))", "double": "if(id % 50 = 0, double('nan'), id - 150.5)", "date": "date_add('2020-03-01', int(id * 7))", "timestamp": "timestamp_millis(id * 86400000 * 7)",
+        "binary": "cast(unhex(hex(id * 7919)) as binary)", "struct<a:string,b:bigint>": "if(id % 40 = 0, null, struct(if(id % 3 = 0, null, string(id % 3)) as a, id as b))",
+    }.get(kind, "id")
+    rows = spark.range(300).selectExpr(f"if(id % 60 = 7, null, cast({made} as {kind})) as doc_id", "repeat(string(id), 10 + int(id) % 50) as text")
+    got, n = token_files.ranged(rows, "doc_id", "text")
+    assert n > 4 and got.count() == rows.count()
+    at = [r["range"] for r in got.orderBy("doc_id", "tie").select("range").collect()]
+    assert at == sorted(at) and at[0] == 0 and at[-1] == n - 1
+    held = [r["b"] for r in got.groupBy("range").agg(F.sum(F.octet_length("text")).alias("b")).collect()]
+    assert len(held) == n and max(held) < 5 * 4000
+
+
 @pytest.mark.parametrize("table_words", [decontaminate.TABLE_WORDS, 20])
 def test_contamination(spark, docs, none, table_words):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
