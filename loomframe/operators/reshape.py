@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dataset import Dataset, Reader, numbered, q, vc
+from ..functions.fnv import group_hashes
 
 
 def reorder_axes(*sets: Dataset, **permutations: Sequence[int] | DataFrame) -> None:
@@ -104,16 +105,8 @@ def collect_group_members(ds: Reader, axis: str, name: str) -> DataFrame:
     return values.groupBy(F.col("value").alias("group")).agg(F.array_sort(F.collect_list(F.col("__place") + 1)).alias("members"))
 
 
-# The offset and prime of the 32-bit FNV-1a hash.
-FNV_OFFSET, FNV_PRIME = 0x811C9DC5, 0x01000193
-
-
 def group_names(ds: Reader, axis: str, name: str, prefix: str) -> DataFrame:
     """group, name: the prefix and the 32-bit FNV-1a hash, in hex, of the group's distinct entries in bytewise order,
-    joined by the byte 1."""
-    values = ds.get_vector(axis, name).where("value <> 0")
-    joined = values.groupBy(F.col("value").alias("group")).agg(F.array_join(F.array_sort(F.collect_set("entry")), "\x01").alias("text"))
-    digits = F.hex(F.col("text").cast("binary"))
-    each = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("bigint"))
-    hashed = F.aggregate(each, F.lit(FNV_OFFSET).cast("bigint"), lambda h, b: (h.bitwiseXOR(b) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return joined.select("group", F.concat(F.lit(prefix), F.lpad(F.lower(F.hex(hashed)), 8, "0")).alias("name"))
+    joined by the byte 1. No group's members form one value."""
+    members = ds.get_vector(axis, name).where("value <> 0").select(F.col("value").alias("group"), "entry")
+    return group_hashes(members).select("group", F.concat(F.lit(prefix), F.lpad(F.lower(F.hex("hash")), 8, "0")).alias("name"))
