@@ -104,7 +104,8 @@ def group_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def group_hashes(members: DataFrame) -> DataFrame:
     """group, hash of rows (group, entry): of the group's distinct entries in bytewise order, joined by SEPARATOR; null entries
     are left out. A large group is spread over tasks, of which each gives a part of 256 numbers."""
-    ordered = members.repartitionByRange("group", "entry").distinct().sortWithinPartitions("group", "entry")
+    # nothing above the ranges may ask for other tasks: of a constant group, a distinct there deals entries anew, by hash
+    ordered = members.distinct().repartitionByRange("group", "entry").sortWithinPartitions("group", "entry")
     schema = StructType().add("group", members.schema["group"].dataType).add("entry", StringType()).add("hash", LongType()).add("factor", LongType()).add("table", ArrayType(LongType()))
     parts = F.sort_array(F.collect_list(F.when(F.col("table").isNotNull(), F.struct("entry", "factor", "table"))))
     whole = ordered.mapInArrow(group_parts, schema).groupBy("group").agg(F.max("hash").alias("hash"), parts.alias("parts"))

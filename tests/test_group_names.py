@@ -56,6 +56,18 @@ def test_groups_cut_by_tasks_and_batches(spark, batch, kind):
     assert len(rows) == len(want) and {int(float(x["group"])): x["name"] for x in rows} == want
 
 
+def test_one_group_that_the_planner_knows(spark):
+    """Of a constant, Catalyst drops the group from what it deals by."""
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, False)
+    try:
+        ds = grouped(spark, spark.range(3000).select(F.col("id").cast("string").alias("entry"), F.lit(7).alias("group")))
+        rows = group_names(ds, "cell", "group", "G").collect()
+    finally:
+        spark.conf.unset(coalesce)
+    assert [tuple(x) for x in rows] == [(7, plain(map(str, range(3000))))]
+
+
 def test_a_large_group_takes_time_in_proportion(spark):
     """Time grew with the square of a group."""
     n = 200_000
